@@ -14,7 +14,12 @@ from pyspark.sql import types as T
 
 from raretide.llm.workspace import Workspace
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk. Without preallocation an instance costs what it holds, however many partitions the state has.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Rows of one group that share a salt when the keeper's text is sent to them.
 ROWS_PER_SALT = 500
 
@@ -34,8 +39,9 @@ def _streamable(spark: SparkSession, path: str) -> str:
 
 def _stream_state(spark: SparkSession, path: str, schema: T.StructType, id_col: str, text: Column, work: Workspace, trigger: dict[str, str]) -> DataFrame:
     """Run the stream over the files of path to its end; return the last state of each digest."""
-    out, before = work.path("state-updates"), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    out, before = work.path("state-updates"), {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         rows = _located(spark.readStream.schema(schema).options(**trigger).parquet(_streamable(spark, path)), id_col, text)
         state = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("me").alias("keeper"))
@@ -48,7 +54,8 @@ def _stream_state(spark: SparkSession, path: str, schema: T.StructType, id_col:
         )
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     ident = T.StructType([T.StructField("id", schema[id_col].dataType), T.StructField("file", T.StringType()), T.StructField("row", T.LongType())])
     kind = T.StructType([T.StructField("digest", T.StringType()), T.StructField("n", T.LongType()), T.StructField("keeper", ident)])
     try:
