@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from raretide.llm.exact_dedup import exact_dedup
 from raretide.llm.minhash import near_duplicates
+from raretide.llm.substring import drop_repeated_passages
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,12 +19,17 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_passages(_documents(spark, sf_dir)).drop("kept_text")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": op5_minhash,
+    "op7_substring": op7_substring,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -40,6 +46,15 @@ ORACLES: dict[str, str] = {
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.seen) AS component_id, s.doc_id = min(r.seen) AS kept
         FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, len(s.s)
     """,
+    "op7_substring": """
+        WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        runs AS (SELECT doc_id, s, array_to_string(w[s:s + 49], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM words)),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY x) AS d FROM runs) WHERE d < doc_id),
+        stay AS (SELECT w.doc_id, string_agg(w.t, ' ' ORDER BY w.i) AS kept, count(*) AS n
+                 FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM words) w ANTI JOIN gone g USING (doc_id, i) GROUP BY w.doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(s.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
+        FROM words d LEFT JOIN stay s USING (doc_id)
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
                sha256(coalesce(text, '')) AS text_sha256
