@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raretide.llm.exact_dedup import exact_dedup
-from raretide.llm import licenses
+from raretide.llm import licenses, line_dedup
 from raretide.llm.minhash import near_duplicates
 from raretide.llm.packing import pack
 from raretide.llm.substring import drop_repeated_passages
@@ -27,6 +27,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(_documents(spark, sf_dir)).drop("kept_text")
 
@@ -43,6 +48,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op5_minhash": op5_minhash,
+    "op6_line_dedup": op6_line_dedup,
     "op7_substring": op7_substring,
     "op8_packing": op8_packing,
     "op10_exact_dedup": op10_exact_dedup,
@@ -62,6 +68,7 @@ ORACLES: dict[str, str] = {
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.seen) AS component_id, s.doc_id = min(r.seen) AS kept
         FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, len(s.s)
     """,
+    "op6_line_dedup": line_dedup.oracle_sql(),
     "op7_substring": """
         WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         runs AS (SELECT doc_id, s, array_to_string(w[s:s + 49], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM words)),
