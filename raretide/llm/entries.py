@@ -11,15 +11,40 @@ from pyspark.sql import functions as F
 from raretide.llm.decontam import decontaminate
 from raretide.llm.exact_dedup import exact_dedup
 from raretide.llm import licenses, line_dedup
+from raretide.llm.langid import identify, identify_pages
 from raretide.llm.minhash import near_duplicates
 from raretide.llm.packing import pack
+from raretide.llm.quality import grade_quality
 from raretide.llm.substring import drop_repeated_passages
+from raretide.llm.toxicity import score_toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grade_quality(_documents(spark, sf_dir), _labels(spark, sf_dir)).drop("tails")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over documents: the lang column is the declared tag, the source the host; they have no address."""
+    return identify(_documents(spark, sf_dir), declared=F.col("lang"), host=F.col("source"))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with all its evidence: markup language, address suffix and host of raw pages."""
+    return identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_documents(spark, sf_dir))
 
@@ -51,7 +76,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op3_licenses": op3_licenses,
+    "op4_language": op4_language,
+    "language_of_pages": language_of_pages,
     "op5_minhash": op5_minhash,
     "op6_line_dedup": op6_line_dedup,
     "op7_substring": op7_substring,
