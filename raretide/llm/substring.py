@@ -81,24 +81,17 @@ def _segments(window: int, seed: int):
             first, count = starts[head], np.diff(np.r_[head, len(starts)])
             key1, key2 = Spans(h)(first, count + window - 1)
             doc = owner[first]
-            same = doc[1:] == doc[:-1]
-            after = np.zeros(len(first), np.int64)
-            before = np.zeros(len(first), np.int64)
-            after[:-1][same] = key1[1:][same]
-            before[1:][same] = key1[:-1][same]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id").take(pa.array(doc)),
                     b.column("body").take(pa.array(doc)),
                     pa.array((first - words.first[doc]).astype(np.int32)),
-                    pa.array(count.astype(np.int32)),
+                    pa.array(count.astype(np.int16)),
                     pa.array(grams[seeds[head]].view(np.int64)),
                     pa.array(key1),
                     pa.array(key2),
-                    pa.array(before),
-                    pa.array(after),
                 ],
-                names=["doc_id", "body", "place", "edges", "seed", "key1", "key2", "before", "after"],
+                names=["doc_id", "body", "place", "edges", "seed", "key1", "key2"],
             )
 
     return run
@@ -157,18 +150,25 @@ def repeated_passages(docs: DataFrame, work: Workspace, *, id_col: str = "doc_id
     """
     source = _source(docs, id_col, text_col).filter("doc_id IS NOT NULL")
     kind = source.schema["doc_id"].dataType.simpleString()
-    segments = work.table(source.mapInArrow(_segments(window, seed), f"doc_id {kind}, body long, place int, edges int, seed long, key1 long, key2 long, before long, after long"), "segments")
-    nodes = segments.groupBy("key1", "key2").agg(
-        F.min("doc_id").alias("source_id"),
-        F.max("doc_id").alias("last_id"),
-        F.min("seed").alias("seed"),
-        *(f(c).alias(f"{c}_{name}") for c in ("before", "after") for f, name in ((F.min, "lo"), (F.max, "hi"))),
-    )
+    segments = work.table(source.mapInArrow(_segments(window, seed), f"doc_id {kind}, body long, place int, edges short, seed long, key1 long, key2 long"), "segments")
+    # equal segments have equal seeds: a seed within one document clears all its segments
+    seeds = segments.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("seed")
+    everything, segments = segments, work.table(segments.join(seeds, "seed"), "candidates")
+    work.drop(everything)
+    nodes = segments.groupBy("key1", "key2").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last_id"), F.min("seed").alias("seed"))
     nodes = work.table(nodes, "nodes")
     repeated = nodes.filter("source_id < last_id")
+    # neighbours of repeated segments in their documents; 0: a document's end, or a segment that does not repeat
+    by_doc = W.partitionBy("doc_id", "body").orderBy("place")
+    found = segments.select("doc_id", "body", "place", "edges", "key1", "key2").join(repeated.select("key1", "key2", "source_id"), ["key1", "key2"])
+    adjoins = F.col("place") + F.col("edges") == F.lead("place").over(by_doc)
+    follows = F.lag(F.col("place") + F.col("edges")).over(by_doc) == F.col("place")
+    found = found.withColumns({"after": F.when(adjoins, F.lead("key1").over(by_doc)).otherwise(0), "before": F.when(follows, F.lag("key1").over(by_doc)).otherwise(0)})
+    found = work.table(found, "found")
+    turns = found.groupBy("key1", "key2").agg(*(f(c).alias(f"{c}_{name}") for c in ("before", "after") for f, name in ((F.min, "lo"), (F.max, "hi"))))
     # a link holds where the only successor has this as its only predecessor
-    ahead = repeated.filter("after_lo = after_hi AND after_lo <> 0").select("key1", "key2", F.col("after_lo").alias("next"))
-    behind = repeated.filter("before_lo = before_hi AND before_lo <> 0").select(F.col("key1").alias("next"), F.col("before_lo").alias("key1"))
+    ahead = turns.filter("after_lo = after_hi AND after_lo <> 0").select("key1", "key2", F.col("after_lo").alias("next"))
+    behind = turns.filter("before_lo = before_hi AND before_lo <> 0").select(F.col("key1").alias("next"), F.col("before_lo").alias("key1"))
     linked = ahead.join(behind, ["next", "key1"]).select("key1", "key2").distinct().withColumn("linked", F.lit(True))
 
     forks = nodes.groupBy("seed").agg(F.min("key1").alias("lo1"), F.max("key1").alias("hi1"), F.min("key2").alias("lo2"), F.max("key2").alias("hi2")).filter("lo1 <> hi1 OR lo2 <> hi2").select("seed")
@@ -182,9 +182,7 @@ def repeated_passages(docs: DataFrame, work: Workspace, *, id_col: str = "doc_id
     earlier = edges.join(earliest, ["edge1", "edge2"]).filter("earliest < doc_id").groupBy("key1", "key2").agg(F.array_sort(F.collect_set("nth")).alias("nths"))
     earlier = work.table(earlier, "earlier")
 
-    found = repeated.select("key1", "key2", "source_id").join(linked, ["key1", "key2"], "left")
-    whole = segments.select("doc_id", "body", "place", "edges", "key1", "key2").join(found, ["key1", "key2"]).filter("doc_id > source_id")
-    by_doc = W.partitionBy("doc_id", "body").orderBy("place")
+    whole = found.select("doc_id", "body", "place", "edges", "key1", "key2", "source_id").filter("doc_id > source_id").join(linked, ["key1", "key2"], "left")
     ends_before = F.lag(F.col("place") + F.col("edges")).over(by_doc)
     starts = F.when((F.lag("linked").over(by_doc)) & (ends_before == F.col("place")) & (F.lag("source_id").over(by_doc) == F.col("source_id")), 0).otherwise(1)
     paths = whole.withColumn("starts", starts).withColumn("nth_path", F.sum("starts").over(by_doc))
