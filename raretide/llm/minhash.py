@@ -3,9 +3,11 @@
 One hash of each distinct shingle fills one bin of the signature; an empty bin copies the first filled bin of its own
 fixed random order (optimal densification), so bins of two sets agree with the probability of their similarity.
 Bands of the signature are bucket keys. In a bucket every member is compared with a centre only, so candidate pairs
-are linear in members. Links are confirmed on the full sets. A bucket whose members then belong to several components
-gets its next centres, smallest component first, until no two of its components are left uncompared: stars bound the
-pairs of the common case, and no link inside a bucket is lost.
+are linear in members, and each member is confirmed, on the full sets, against the centre that it meets most often.
+In a bucket whose members then belong to several components, the member with the fewest shingles of its own is the next
+centre. Once that finds no more links, the pairs left across components are compared as well, unless the shingles that
+a document shares with nobody, or maps of the parity of both sets, rule a link out: stars bound the pairs of the common case, and no link inside a bucket is
+lost.
 
 With 40 bands of 5 bins a pair at similarity 0.75 shares no bucket with probability 2e-5, at 0.8 with 1e-7.
 """
@@ -16,8 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raretide.llm import kernels as K
@@ -25,8 +26,10 @@ from raretide.llm.components import connected_components
 from raretide.llm.workspace import Workspace
 
 U = np.uint64
-#: Centres that a mixed bucket gets in each further round.
-CENTRES = 4
+#: Classes of sizes per factor e, in joins of members by size.
+CLASSES = 50
+#: Bits of a set's parity map: bit k is the parity of the number of its shingles that fall there.
+PARITY = 1024
 
 
 def shingle_sets(text: pa.Array, width: int) -> list[np.ndarray]:
@@ -100,7 +103,9 @@ def _sets(width: int):
             sets = shingle_sets(b.column("text"), width)
             ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["rep", "items"])
+            bits = np.stack([np.packbits(np.bincount((s & U(PARITY - 1)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1) for s in sets]).view(np.int64)
+            at = np.arange(len(sets) + 1, dtype=np.int32) * bits.shape[1]
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.ListArray.from_arrays(pa.array(at), pa.array(bits.reshape(-1)))], names=["rep", "items", "bits"])
 
     return run
 
@@ -138,37 +143,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rows_in = work.table(lone.join(shared.select("bucket", "centre"), "bucket"), "shared")
         work.drop(lone, classes)
         reps = rows_in.select("rep").distinct()
-        sets = work.table(source.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep").mapInArrow(_sets(width), f"rep {id_type}, items array<long>"), "sets")
+        sets = work.table(source.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep").mapInArrow(_sets(width), f"rep {id_type}, items array<long>, bits array<long>"), "sets")
 
-        def fits(n: str, m: str) -> str:
-            return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
-
-        star = rows_in.filter("rep <> centre.rep").filter(fits("n", "centre.n")).groupBy(F.col("centre.rep").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("often"))
-        star = work.table(star, "star")
-        first = star.groupBy("b").agg(F.max_by("a", F.struct("often", "a")).alias("a")).select("a", "b")
+        star = rows_in.filter("rep <> centre.rep").filter(_fits("n", "centre.n", percent)).groupBy(F.col("centre.rep").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("often"))
+        first = work.table(star.groupBy("b").agg(F.max_by("a", F.struct("often", "a")).alias("a")).select("a", "b"), "first")
         links = work.table(_confirmed(first, sets, percent), "links")
-        tested = work.table(first, "tested")
-        comps = work.table(connected_components(links, work), "components")
-        # the other stars matter only where they would join two components
-        rest = _apart(star.select("a", "b").join(tested, ["a", "b"], "left_anti"), comps)
-        rest = work.table(rest, "rest")
-        links = work.table(links.unionByName(_confirmed(rest, sets, percent)), "links")
-        tested = work.table(tested.unionByName(rest), "tested")
-        served = rows_in.select("bucket", F.col("centre.rep").alias("rep")).distinct()
-        rows_in = rows_in.select("bucket", "rep", "n")
+        tested, rows_in = first, rows_in.select("bucket", "rep", "n")
         while True:
             comps = work.table(connected_components(links, work), "components")
             mixed = work.table(_mixed(rows_in, comps), "mixed")
-            centres = _next_centres(mixed, served)
-            centres = work.table(centres, "centres")
-            if centres.isEmpty():
+            rows_in = mixed.select("bucket", "rep", "n")  # a bucket within one component stays so
+            room = work.table(_room(mixed, sets, percent), "room")
+            again = work.table(_best_stars(mixed, room, percent).join(tested, ["a", "b"], "left_anti"), "again")
+            new = work.table(_confirmed(again, sets, percent), "new")
+            if new.isEmpty():
                 break
-            pairs = centres.join(mixed, "bucket").filter("component <> c_component").filter(fits("n", "c_n")).select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")).distinct()
-            pairs = work.table(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            links = work.table(links.unionByName(_confirmed(pairs, sets, percent)), "links")
-            tested = work.table(tested.unionByName(pairs), "tested")
-            served = work.table(served.unionByName(centres.select("bucket", F.col("c_rep").alias("rep"))), "served")
-            work.drop(mixed)
+            links = work.table(links.unionByName(new), "links")
+            tested = work.table(tested.unionByName(again), "tested")
+        pairs = work.table(_viable(mixed, room, percent).join(tested.unionByName(again), ["a", "b"], "left_anti"), "pairs")
+        links = work.table(links.unionByName(_confirmed(pairs, sets, percent)), "links")
         work.drop(sets)
         final = connected_components(links.unionByName(members), work).withColumnRenamed("node", "doc_id")
         out = signed.select("doc_id", "n_shingles").join(final, "doc_id", "left")
@@ -176,29 +169,75 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return work.keep(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
+def _fits(n: str, m: str, percent: int) -> str:
+    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
+
+
 def _labelled(rows: DataFrame, comps: DataFrame, node: str, label: str) -> DataFrame:
     named = comps.select(F.col("node").alias(node), F.col("component").alias(label))
     return rows.join(named, node, "left").withColumn(label, F.coalesce(label, node))
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    return _labelled(_labelled(pairs, comps, "a", "ca"), comps, "b", "cb").filter("ca <> cb").select("a", "b")
-
-
 def _mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows of buckets that hold several components, with the component and its size there."""
+    """Rows of buckets that hold several components; in_largest: those of the component with most members there."""
     named = _labelled(rows, comps, "rep", "component")
     groups = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
     whole = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("size", "component")).alias("largest")).filter("components > 1")
-    return named.join(groups.join(whole, "bucket"), ["bucket", "component"]).select("bucket", "rep", "n", "component", "size", (F.col("component") == F.col("largest.component")).alias("in_largest"))
+    return named.join(whole, "bucket").select("bucket", "rep", "n", "component", (F.col("component") == F.col("largest.component")).alias("in_largest"))
+
+
+def _room(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rep, own, bits, least, most: shingles that no other member of a mixed bucket has, and the sizes a partner can have.
+
+    With ``c = n - own`` shingles left to share, 100 * i >= p * (n + m - i) needs m <= (100 + p) / p * c - n. Members
+    without room for any partner are absent.
+    """
+    members = mixed.select("rep", "n").distinct()
+    items = sets.join(members, "rep").select("rep", F.explode("items").alias("item"))
+    own = items.groupBy("item").agg(F.count(F.lit(1)).alias("holders"), F.min("rep").alias("rep")).filter("holders = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    room = members.join(own, "rep", "left").join(sets.select("rep", "bits"), "rep").withColumn("own", F.coalesce("own", F.lit(0)))
+    most = f"least(({100 + percent} * (n - own)) div {percent} - n, (100 * n) div {percent})"
+    return room.select("rep", "own", "bits", F.expr(f"({percent} * n + 99) div 100").alias("least"), F.expr(most).alias("most")).filter("most >= least")
+
+
+def _near(x: str, xn: str, y: str, yn: str, percent: int) -> Column:
+    """Whether the parity maps let two sets be similar enough: where they differ, the sets differ.
+
+    Of two sets at 100 * i >= p * u at most (100 - p) / (100 + p) of the sum of their sizes are in one of them only.
+    """
+    apart = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    return apart * (100 + percent) <= (100 - percent) * (F.col(xn) + F.col(yn))
+
+
+def _best_stars(mixed: DataFrame, room: DataFrame, percent: int) -> DataFrame:
+    """One pair for each member of a mixed bucket: with the member that has the least of its own, of all its buckets.
+
+    Of a group of reworked copies that is the one nearest to what they were made from.
+    """
+    rows = mixed.join(room, "rep")
+    centres = rows.groupBy("bucket").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("part"), "rep", "n", "component", "least", "most", "bits")).alias("c"))
+    met = rows.join(centres, "bucket").filter("component <> c.component AND n BETWEEN c.least AND c.most AND c.n BETWEEN least AND most").filter(_near("bits", "n", "c.bits", "c.n", percent))
+    best = met.groupBy("rep").agg(F.min(F.struct("c.part", "c.rep")).alias("c"))
+    return best.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
 
 
-def _next_centres(mixed: DataFrame, served: DataFrame) -> DataFrame:
-    """A few members of each mixed bucket that were no centre yet, from the smallest components first.
+def _viable(mixed: DataFrame, room: DataFrame, percent: int) -> DataFrame:
+    """All pairs a < b of a mixed bucket, across components, that leave both room for each other.
 
-    Members of the largest component need no turn: every pair across components has its other end elsewhere.
+    The sizes are met inside the join, whose key holds their class: a copy with many changes of its own finds no
+    partner and is compared with none, however large its group.
     """
-    waiting = mixed.filter("NOT in_largest").join(served, ["bucket", "rep"], "left_anti")
-    turn = W.partitionBy("bucket").orderBy("size", "component", "rep")
-    few = waiting.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= CENTRES)
-    return few.select("bucket", F.col("rep").alias("c_rep"), F.col("n").alias("c_n"), F.col("component").alias("c_component"))
+    rows = mixed.join(room, "rep")
+    size_class = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1))) * CLASSES).cast("int")
+    left = rows.filter("NOT in_largest").select("bucket", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"), F.col("least").alias("xl"), F.col("most").alias("xm"), F.col("bits").alias("xb"), F.explode(F.sequence(size_class("least"), size_class("most"))).alias("class"))
+    right = rows.select("bucket", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), F.col("least").alias("yl"), F.col("most").alias("ym"), F.col("bits").alias("yb"), size_class("n").alias("class"))
+    pairs = left.join(right, ["bucket", "class"]).filter("xc <> yc AND yn BETWEEN xl AND xm AND xn BETWEEN yl AND ym").filter(_near("xb", "xn", "yb", "yn", percent))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates keeps. Rows that repeat an identifier share its fate."""
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).filter("NOT kept").select(F.col("doc_id").alias("of")).distinct()
+    whole = docs.select(F.struct("*").alias("whole"))
+    kept = whole.join(gone, F.col("whole").getField(id_col) == F.col("of"), "left_anti")
+    return kept.select(*(F.col("whole").getField(c).alias(c) for c in docs.columns))
