@@ -166,3 +166,15 @@ def identify_pages(pages: DataFrame, **how) -> DataFrame:
     suffix = F.regexp_extract(F.coalesce("page_host", F.lit("")), r"\.([a-z]+)$", 1)
     out = identify(rows, id_col="page_id", text_col="page_text", declared=F.col("tag"), suffix=F.when(suffix != "", suffix), host=F.col("page_host"), **how)
     return out.withColumnRenamed("doc_id", "page_id")
+
+
+def without_unknown_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, **how) -> DataFrame:
+    """The rows of docs, with all their columns, that identify keeps. Rows of one identifier are judged by their texts."""
+    body = F.xxhash64(text_col)
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), body.alias("body")).alias("row_key"), F.col(text_col).alias("row_text"), *(c.alias(n) for n, c in (("row_tag", declared), ("row_host", host)) if c is not None))
+    judged = identify(rows, id_col="row_key", text_col="row_text", declared=F.col("row_tag") if declared is not None else None, host=F.col("row_host") if host is not None else None, **how)
+    gone = judged.filter("NOT kept").select(F.col("doc_id.id").alias("of"), F.col("doc_id.body").alias("of_body")).distinct()
+    whole = docs.select(F.struct("*").alias("whole"))
+    own = F.col("whole").getField
+    kept = whole.join(gone, own(id_col).eqNullSafe(F.col("of")) & (F.xxhash64(own(text_col)) == F.col("of_body")), "left_anti")
+    return kept.select(*(own(c).alias(c) for c in docs.columns))
