@@ -11,6 +11,7 @@ tokens, which is cut every ``length`` tokens: all sequences are full but the las
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,50 +26,100 @@ from raretide.llm.workspace import Workspace
 #: Rounds whose tokens are summed up as one block in the prefix sum over rounds.
 BLOCK = 65536
 #: Entries after which a worker's memo of encoded words starts anew.
-MEMO = 400_000
+MEMO = 1_000_000
+#: Letters (bytes above ASCII are looked at again), then symbols; an apostrophe may bind letters to the tokenizer.
+LETTERS_SYMBOLS = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 class Encoder:
     """Token ids of whole texts, as little-endian 32-bit bytes; equal to encoding the text at once.
 
     The tokenizer drops white space and never joins over it, so texts are encoded by their ASCII-space-free chunks,
-    and each chunk once. A chunk of letters and one closing full stop or comma is two pieces to the tokenizer, and
-    ASCII letters are folded by it, so such chunks share the entry of their folded letters.
+    and each chunk once. A chunk of letters is one word to the tokenizer, whose last token is marked as its end:
+    many of them are encoded as one string and parted at those marks. Symbols that follow are a word of their own, and
+    ASCII letters are folded by the tokenizer, so such chunks share the entries of their folded letters and symbols.
     """
 
+    _kept: dict[str, Encoder] = {}
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.narrow = max(vocabulary.values()) < 1 << 16
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
 
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def learn(self, chunks: set[bytes]) -> None:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        parts, direct = {}, []
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The worker's own, kept from task to task."""
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
+
+    def _single(self, chunks: list[bytes]) -> list[bytes]:
+        return [np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, "<u4").tobytes() for c in chunks]
+
+    def _letters(self, chunks: list[bytes]) -> list[bytes]:
+        out = []
+        for at in range(0, len(chunks), 1000):
+            some = chunks[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                out += self._single(some)
+                continue
+            raw, ends = ids.tobytes(), (ends * 4).tolist()
+            out += [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _plain(self, words: list[bytes]) -> list[bytes]:
+        """Folded ASCII letters: one word each, which the tokenizer's model takes as it is."""
+        tokenize, ids, ends = self.tokenizer.model.tokenize, [], [0]
+        for w in words:
+            ids += [t.id for t in tokenize(w.decode())]
+            ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        return [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        memo, parts, letters, rest = self.memo, [], set(), set()
         for c in chunks:
-            stem, end = (c[:-1], c[-1:]) if c[-1:] in b".," and len(c) > 1 else (c, b"")
-            if stem.isalpha() or end and not stem.isascii() and stem.decode().isalpha():
-                parts[c] = (stem.lower(), end)
+            found = LETTERS_SYMBOLS(c)
+            if found:
+                stem, end = found.groups()
+                if stem.isascii():
+                    stem = stem.lower()
+                elif not stem.decode().isalpha():
+                    rest.add(c)
+                    continue
+                letters.add(stem)
+                if end:
+                    rest.add(end)
+                parts.append((c, stem, end))
             else:
-                direct.append(c)
-        new = list({p for pair in parts.values() for p in pair if p and p not in self.memo} | {c for c in direct if c not in self.memo})
-        self.memo.update(zip(new, self._encode(new), strict=True))
-        for c, (stem, end) in parts.items():
-            self.memo[c] = self.memo[stem] + (self.memo[end] if end else b"")
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        new = {w for words in split for w in words}.difference(self.memo)
+                rest.add(c)
+        new = [x for x in letters if x not in memo]
+        plain, other = [x for x in new if x.isascii()], [x for x in new if not x.isascii()]
+        memo.update(zip(plain, self._plain(plain), strict=True))
+        memo.update(zip(other, self._letters(other), strict=True))
+        new = [x for x in rest if x not in memo]
+        memo.update(zip(new, self._single(new), strict=True))
+        for c, stem, end in parts:
+            memo[c] = memo[stem] + memo[end] if end else memo[stem]
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        raw, offsets = K.buffers(texts)
+        raw, ends = raw.tobytes(), offsets.tolist()
+        split = [raw[i:j].split() for i, j in zip(ends, ends[1:], strict=False)]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        new = set().union(*split).difference(self.memo)
         if new:
-            if len(self.memo) > MEMO:
-                new = {w for words in split for w in words}
-            self.learn(new)
+            self._learn(new)
         memo = self.memo
         return [b"".join([memo[w] for w in words]) for words in split]
 
@@ -77,13 +128,13 @@ def _tokens(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, row, encode = TaskContext.get().partitionId(), 0, Encoder(path)
+        part, row, encode = TaskContext.get().partitionId(), 0, Encoder.of(path)
         end = np.array([end_id], "<u4").tobytes()
-        for b in K.pieces(batches, "text"):
-            ids = [x + end for x in encode(b.column("text").to_pylist())]
+        for b in K.pieces(batches, "text", 1 << 19):
+            ids = [x + end for x in encode(b.column("text"))]
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n, dtype=np.int64)), b.column("doc_id"), b.column("source"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() if _narrow(encode) else x for x in ids], pa.binary())],
+                [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n, dtype=np.int64)), b.column("doc_id"), b.column("source"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() if encode.narrow else x for x in ids], pa.binary())],
                 names=["part", "row", "doc_id", "source", "doc_tokens", "ids"],
             )
             row += n
@@ -91,18 +142,12 @@ def _tokens(path: str, end_id: int):
     return run
 
 
-def _narrow(encode: Encoder) -> bool:
-    return encode.tokenizer.get_vocab_size() <= 65536
-
-
 def _cut(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        width = "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 65536 else "<u4"
+        width = "<u2" if Encoder.of(path).narrow else "<u4"
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                c = b.slice(at, 200)
+            for at in range(0, b.num_rows, 50):
+                c = b.slice(at, 50)
                 cuts = c.column("cuts")
                 which = np.repeat(np.arange(len(cuts)), np.diff(cuts.offsets.to_numpy()))
                 start, length, sequence, offset = (cuts.flatten().field(i).to_numpy() for i in range(4))
@@ -131,11 +176,11 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, quantum: int =
     kinds = {c: t for c, t in source.dtypes}
     with Workspace(docs.sparkSession, "packing") as work:
         tokens = source.mapInArrow(_tokens(tokenizer, end_id), f"part int, row long, doc_id {kinds['doc_id']}, source {kinds['source']}, doc_tokens long, ids binary")
-        tokens = work.table(tokens, "tokens")
+        tokens = work.keep(tokens)  # part and row name a document only as long as nothing computes them anew
         schedule = _schedule(tokens.drop("ids"), shares, length, quantum)
-        cuts = schedule.groupBy("part", "row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts"))
+        cuts = work.keep(schedule.groupBy("part", "row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts")))
         pieces = tokens.join(cuts, ["part", "row"]).mapInArrow(_cut(tokenizer), f"doc_id {kinds['doc_id']}, source {kinds['source']}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-        return work.keep(pieces)
+        return pieces
 
 
 def _schedule(rows: DataFrame, shares: DataFrame | None, length: int, quantum: int) -> DataFrame:
