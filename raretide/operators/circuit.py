@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-STREAM = W.partitionBy("circuit").orderBy("seq")
+def _in_circuit():
+    return W.partitionBy("circuit").orderBy("seq")
 
 
 def channel(noise: Column, before: Column, after: Column, gate: str, measure: str, reset: str) -> Column:
@@ -20,7 +21,7 @@ def channel(noise: Column, before: Column, after: Column, gate: str, measure: st
 
 def classified(stream: DataFrame, noise: str, gate: str, measure: str, reset: str) -> DataFrame:
     """The stream with the channel of each noise instruction, null for others."""
-    return stream.withColumn("channel", channel(F.col("name") == noise, F.lag("name").over(STREAM), F.lead("name").over(STREAM), gate, measure, reset))
+    return stream.withColumn("channel", channel(F.col("name") == noise, F.lag("name").over(_in_circuit()), F.lead("name").over(_in_circuit()), gate, measure, reset))
 
 
 def only_channel(stream: DataFrame, wanted: str, **names: str) -> DataFrame:
@@ -30,4 +31,4 @@ def only_channel(stream: DataFrame, wanted: str, **names: str) -> DataFrame:
 
 def layers(stream: DataFrame, tick: str) -> DataFrame:
     """The number of ticks up to and with each instruction."""
-    return stream.withColumn("layer", F.sum(F.when(F.col("name") == tick, 1).otherwise(0)).over(STREAM))
+    return stream.withColumn("layer", F.sum(F.when(F.col("name") == tick, 1).otherwise(0)).over(_in_circuit()))
