@@ -34,4 +34,4 @@ def load() -> None:
         importlib.import_module(f"raretide.plans.{module}")
 
 
-MODULES: tuple[str, ...] = ("spectra", "relations", "kernels")
+MODULES: tuple[str, ...] = ("spectra", "relations", "studies", "kernels")
