@@ -1,6 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed terms over all passages (consecutive runs of words) of all documents.
+   Terms of more than a hundredth of them, and of four times as many as the mean term, carry no weight.
 2. A randomised SVD of the TF-IDF matrix of those passages, in one distributed pass: every task adds up its part of
    Z = A'A Omega, blocks of Z are summed in a tree, and the driver factors the small matrix (single-pass Nystroem).
    The latent space is whitened, so that no frequent term dominates a cosine.
@@ -27,9 +28,11 @@ TERMS = 1 << TERM_BITS
 #: Rows of Z that are summed as one unit, and how many tasks' parts meet in one sum.
 ROWS, FAN_IN = 1024, 64
 #: Words of a block; windows start at block borders.
-BLOCK = 4
+BLOCK = 2
 #: Window lengths; an item is searched with the one nearest to its own length.
 SCALES = (8, 16, 24, 32, 48, 64)
+#: Blocks between the windows of a scale: the shorter they are, the more a word off the item counts.
+STRIDES = {8: 1, 16: 1, 24: 2, 32: 4, 48: 6, 64: 8}
 
 
 def _words(text: pa.Array) -> tuple[K.Words, np.ndarray, np.ndarray]:
@@ -53,8 +56,8 @@ def _frequencies(passage: int):
             words, _, term = _words(b.column("text"))
             starts = _runs(words, passage)
             of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(term)]))
-            pairs = np.unique(of * TERMS + term)
-            df += np.bincount(pairs % TERMS, minlength=TERMS)
+            pairs = np.sort((of * TERMS + term).astype(np.uint32 if len(starts) < 1 << (32 - TERM_BITS) else np.int64))
+            df += np.bincount(pairs[np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])] & (TERMS - 1), minlength=TERMS) if len(pairs) else 0
             total += len(starts)
         found = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[found, -1]), pa.array(np.r_[df[found], total])], names=["term", "n"])
@@ -71,7 +74,7 @@ def _projected(passage: int, model):
         idf, omega = model.value
         z = np.zeros(omega.shape, np.float64)
         weighted = (idf[:, None] * omega).astype(np.float32)
-        for b in K.pieces(batches, "text", 1 << 19):
+        for b in K.pieces(batches, "text", 1 << 18):
             words, _, term = _words(b.column("text"))
             starts = _runs(words, passage)
             if not len(starts):
@@ -106,13 +109,15 @@ class Latent:
 
     def __init__(self, table: np.ndarray):
         self.table = table
+        self.weighs = table.any(axis=1)
 
     @staticmethod
-    def fit(docs: DataFrame, passage: int, rank: int, seed: int, work: Workspace) -> Latent:
+    def fit(docs: DataFrame, passage: int, rank: int, common: float, seed: int, work: Workspace) -> Latent:
         counted = docs.mapInArrow(_frequencies(passage), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most TERMS + 1 rows
         n = {r.term: r.n for r in counted}
         total, df = n.get(-1, 0), np.array([n.get(i, 0) for i in range(TERMS)])
-        idf = np.where(df > 0, np.log((total + 1) / (df + 1)), np.log(total + 1)).astype(np.float32)
+        usual = df.sum() / max(1, np.count_nonzero(df))
+        idf = np.where(df > max(common * total, 4 * usual), 0, np.log((total + 1) / (df + 1))).astype(np.float32)  # unseen terms weigh most
         omega = np.random.RandomState(seed).standard_normal((TERMS, rank)).astype(np.float32)
         if not total:
             return Latent(np.zeros((TERMS, rank), np.float32))
@@ -143,6 +148,7 @@ class Queries:
 
     def __init__(self, items: list[tuple[int, str]], latent: Latent):
         self.parts: list[tuple[int, np.ndarray]] = []  # item, word hashes
+        kinds: list[np.ndarray] = []
         vectors: dict[int, list] = {}
         for item, text in items:
             _, h, term = _words(pa.array([text or ""]))
@@ -153,10 +159,23 @@ class Queries:
                     scale = min(SCALES, key=lambda s: abs(np.log(s / len(h[at:end]))))
                     vectors.setdefault(scale, []).append((len(self.parts), latent.table[term[at:end]].sum(0)))
                     self.parts.append((item, h[at:end]))
+                    kinds.append(np.unique(term[at:end])[:64])
+        self.kinds, self.bits = kinds, None
+        self.size = np.array([len(h) for _, h in self.parts])
+        self.different = np.array([len(k) for k in kinds])
         self.scales = {s: (np.array([i for i, _ in v]), _unit(np.stack([x for _, x in v])).astype(np.float32)) for s, v in vectors.items()}
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
+    def marks(self) -> np.ndarray:
+        """Of each part, a bit for each of its first 64 different terms; a worker makes them once."""
+        if self.bits is None:
+            self.bits = np.zeros((len(self.kinds), TERMS), U)
+            for i, k in enumerate(self.kinds):
+                self.bits[i, k] = U(1) << np.arange(len(k)).astype(U)
+        return self.bits
+
+
+def in_common(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, by bits of one integer."""
     masks: dict[int, int] = {}
     for i, w in enumerate(a.tolist()):
@@ -171,36 +190,70 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+#: Candidates that are filtered at once.
+CHUNK = 2048
+
+
+def _enough(queries: Queries, part: np.ndarray, low: np.ndarray, high: np.ndarray, term: np.ndarray, overlap: float) -> np.ndarray:
+    """Candidates in whose stretch [low, high) enough different terms of the part stand for the wanted overlap.
+
+    A common subsequence of ``overlap`` of the m words leaves m - that many out, and with each at most one term.
+    """
+    out = np.zeros(len(part), bool)
+    for i in range(0, len(part), CHUNK):
+        p, a, b = part[i : i + CHUNK], low[i : i + CHUNK], high[i : i + CHUNK]
+        at = a[:, None] + np.arange(int((b - a).max()))
+        bit = queries.marks().take(p[:, None] * TERMS + term.take(at, mode="clip"))
+        bit[at >= b[:, None]] = 0
+        found = np.bitwise_or.reduce(bit, axis=1)
+        m = queries.size[p]
+        out[i : i + CHUNK] = np.bitwise_count(found) >= queries.different[p] - (m - np.ceil(overlap * m))
+    return out
+
+
+def _leaks_of(text: pa.Array, latent: Latent, queries: Queries, cosine: float, overlap: float, answer: float) -> dict[tuple[int, int], tuple]:
+    """(text, item) -> overlap, cosine, place of the best stretch, for each leak in the texts."""
+    words, h, term = _words(text)
+    if not len(h):
+        return {}
+    starts = _runs(words, BLOCK)
+    # running sums over the words that have weight, and how many of them stand before each block
+    content = np.flatnonzero(latent.weighs[term])
+    sums = np.zeros((len(content) + 1, latent.table.shape[1]), np.float32)
+    np.cumsum(latent.table[term[content]], axis=0, out=sums[1:])
+    before = np.searchsorted(content, np.r_[starts, len(term)])
+    of = np.searchsorted(words.first, starts, "right") - 1
+    head = np.searchsorted(starts, words.first[:-1])[of]
+    last = np.searchsorted(starts, words.first[1:])[of]  # the block after the text's last one
+    best: dict[tuple[int, int], tuple] = {}
+    for scale, (parts, vectors) in queries.scales.items():
+        at = np.arange(0, len(starts))
+        at = at[(at - head) % STRIDES[scale] == 0]
+        window = sums[before[np.minimum(at + scale // BLOCK, last[at])]] - sums[before[at]]
+        size = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9)
+        near = vectors @ window.T
+        j, i = np.divmod(np.flatnonzero(near >= cosine * size), len(window))  # part by part: one part's terms stay in the cache
+        part, doc, m = parts[j], of[at[i]], queries.size[parts[j]]
+        low = np.maximum(words.first[doc], starts[at[i]] - m // 4)
+        high = np.minimum(words.first[doc + 1], starts[at[i]] + np.maximum(scale, m) + m // 4)
+        for k in np.flatnonzero(_enough(queries, part, low, high, term, overlap)).tolist():
+            item, item_words = queries.parts[part[k]]
+            key, stretch = (int(doc[k]), item), h[low[k] : high[k]]
+            shared = in_common(item_words, stretch) / len(item_words)
+            if shared >= overlap and (key not in best or shared > best[key][0]):
+                tail = item_words[-max(3, len(item_words) // 4) :]
+                if in_common(tail, stretch) >= answer * len(tail):
+                    best[key] = (shared, float(near[j[k], i[k]] / size[i[k]]), int(starts[at[i[k]]] - words.first[doc[k]]))
+    return best
+
+
 def _search(model, cosine: float, overlap: float, answer: float):
+    """One row for each leak."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         latent, queries = model.value
-        for b in K.pieces(batches, "text", 1 << 19):
-            words, h, term = _words(b.column("text"))
-            if not len(h):
-                continue
-            starts = _runs(words, BLOCK)
-            sums = np.zeros((len(starts) + 1, latent.table.shape[1]), np.float32)
-            np.cumsum(np.add.reduceat(latent.table[term], starts, axis=0), axis=0, out=sums[1:])
-            of = np.searchsorted(words.first, starts, "right") - 1
-            last = np.searchsorted(starts, words.first[1:])[of]  # the block after the text's last one
-            best: dict[tuple[int, int], tuple] = {}
-            for scale, (parts, vectors) in queries.scales.items():
-                at = np.arange(0, len(starts))
-                stride = max(1, scale // 4 // BLOCK)
-                at = at[(at - np.searchsorted(starts, words.first[:-1])[of]) % stride == 0]
-                window = _unit(sums[np.minimum(at + scale // BLOCK, last[at])] - sums[at])
-                near = window @ vectors.T
-                for i, j in zip(*np.nonzero(near >= cosine), strict=True):
-                    item, item_words = queries.parts[parts[j]]
-                    doc, m = of[at[i]], len(item_words)
-                    low = max(words.first[doc], starts[at[i]] - m // 2)
-                    high = min(words.first[doc + 1], starts[at[i]] + max(scale, m) + m // 2)
-                    shared = common(item_words, h[low:high]) / m
-                    key = (int(doc), item)
-                    if shared >= overlap and (key not in best or shared > best[key][0]):
-                        tail = item_words[-max(3, m // 4) :]
-                        if common(tail, h[low:high]) >= answer * len(tail):
-                            best[key] = (shared, float(near[i, j]), int(starts[at[i]] - words.first[doc]))
+        for b in K.pieces(batches, "text", 1 << 18):
+            best = _leaks_of(b.column("text"), latent, queries, cosine, overlap, answer)
             if best:
                 docs = pa.array([k[0] for k in best])
                 yield pa.RecordBatch.from_arrays(
@@ -211,36 +264,60 @@ def _search(model, cosine: float, overlap: float, answer: float):
     return run
 
 
-def leaked_items(docs: DataFrame, benchmark: DataFrame, work: Workspace, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", passage: int = 64, rank: int = 48, cosine: float = 0.3, overlap: float = 0.6, answer: float = 0.5, block: int = 4096, seed: int = 9) -> DataFrame:
+def _judged(model, cosine: float, overlap: float, answer: float):
+    """One row for each document, in one pass: how many items leak, and the item of the largest overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        latent, queries = model.value
+        for b in K.pieces(batches, "text", 1 << 18):
+            count, top = [0] * b.num_rows, [None] * b.num_rows
+            for (doc, item), (shared, _, _) in _leaks_of(b.column("text"), latent, queries, cosine, overlap, answer).items():
+                count[doc] += 1
+                top[doc] = max(top[doc] or (0.0, 0), (shared, -item))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(count, pa.int64()), pa.array([t and -t[1] for t in top], pa.int64()), pa.array([t and t[0] for t in top], pa.float64())],
+                names=["doc_id", "n_items", "item_id", "overlap"],
+            )
+
+    return run
+
+
+def leaked_items(docs: DataFrame, benchmark: DataFrame, work: Workspace, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", passage: int = 64, rank: int = 48, common: float = 0.01, cosine: float = 0.55, overlap: float = 0.6, answer: float = 0.5, block: int = 512, seed: int = 9) -> DataFrame:
     """doc_id, body, item_id, overlap (part of the item's words in common order), cosine, place (word): one row for each leak."""
     source = _source(docs, id_col, text_col).filter("text IS NOT NULL")
     kind = source.schema["doc_id"].dataType.simpleString()
     out = None
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    latent = None
-    after = None
-    while True:  # blocks of the query set, in the order of its identifiers
-        part = items if after is None else items.filter((F.col("item_id") > after[0]) | ((F.col("item_id") == after[0]) & (F.col("text") > after[1])))
-        rows = part.orderBy("item_id", "text").limit(block).collect()
-        if not rows:
-            break
-        after = tuple(rows[-1])
-        latent = latent or Latent.fit(source, passage, rank, seed, work)
-        model = docs.sparkSession.sparkContext.broadcast((latent, Queries([tuple(r) for r in rows], latent)))
+    for model, _ in _blocks(source, benchmark, work, item_col, item_text_col, passage, rank, common, block, seed):
         found = work.table(source.mapInArrow(_search(model, cosine, overlap, answer), f"doc_id {kind}, body long, item_id long, overlap double, cosine double, place long"), "leaks")
         out = found if out is None else out.unionByName(found)
-        if len(rows) < block:
-            break
     if out is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, body long, item_id long, overlap double, cosine double, place long")
     return out
 
 
+def _blocks(source: DataFrame, benchmark: DataFrame, work: Workspace, item_col: str, item_text_col: str, passage: int, rank: int, common: float, block: int, seed: int):
+    """The query set in blocks of bounded size, in the order of its identifiers: (broadcast model and queries, whether it is all)."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    latent = after = None
+    while True:
+        part = items if after is None else items.filter((F.col("item_id") > after[0]) | ((F.col("item_id") == after[0]) & (F.col("text") > after[1])))
+        rows = part.orderBy("item_id", "text").limit(block + 1).collect()
+        if not rows:
+            return
+        whole = after is None and len(rows) <= block
+        last, rows = len(rows) <= block, rows[:block]
+        after = tuple(rows[-1])
+        latent = latent or Latent.fit(source, passage, rank, common, seed, work)
+        yield source.sparkSession.sparkContext.broadcast((latent, Queries([tuple(r) for r in rows], latent))), whole
+        if last:
+            return
+
+
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("body"), F.col(text_col).alias("text"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", passage: int = 64, rank: int = 48, common: float = 0.01, cosine: float = 0.55, overlap: float = 0.6, answer: float = 0.5, block: int = 512, seed: int = 9) -> DataFrame:
     """One row per row of docs: doc_id, n_items, item_id (of the largest overlap), overlap, kept.
 
     kept is false for documents in which some benchmark item stands, at least ``overlap`` of its words in order and
@@ -251,6 +328,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     identifiers are allowed. Other columns are not read.
     """
     with Workspace(docs.sparkSession, "decontam") as work:
+        source = _source(docs, id_col, text_col)
+        kind = source.schema["doc_id"].dataType.simpleString()
+        for model, whole in _blocks(source.filter("text IS NOT NULL"), benchmark, work, "item_id", "text", passage, rank, common, block, seed):
+            if whole:  # the usual case: one block of queries, and so one pass that judges every row where it stands
+                judged = source.drop("body").mapInArrow(_judged(model, cosine, overlap, answer), f"doc_id {kind}, n_items long, item_id long, overlap double")
+                return judged.withColumn("kept", F.col("n_items") == 0)
+            break
+        how = {"passage": passage, "rank": rank, "common": common, "cosine": cosine, "overlap": overlap, "answer": answer, "block": block, "seed": seed}
         found = leaked_items(docs, benchmark, work, id_col=id_col, text_col=text_col, **how)
         best = found.groupBy("doc_id", "body").agg(F.countDistinct("item_id").alias("n_items"), F.max(F.struct("overlap", (-F.col("item_id")).alias("minus"))).alias("best"))
         best = work.keep(best.select(F.col("doc_id").alias("of"), F.col("body").alias("of_body"), "n_items", (-F.col("best.minus")).alias("item_id"), F.col("best.overlap").alias("overlap")))

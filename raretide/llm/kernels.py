@@ -98,7 +98,6 @@ class Words:
             after[heads[heads > 0] - 1] = False
         ends = np.flatnonzero(inside & ~after) + 1
         self.size = ends - self.start
-        self.inside = inside
         self.first = np.searchsorted(self.start, self.offsets)
         self.count = np.diff(self.first)
 
@@ -106,12 +105,16 @@ class Words:
         """A 64-bit hash of each word."""
         if not len(self.start):
             return np.zeros(0, U)
-        letters = self.bytes[self.inside]
-        heads = np.cumsum(self.size) - self.size
-        place = np.arange(len(letters)) - np.repeat(heads, self.size)
+        # prefix sums of a polynomial in the place; a word's own is a difference, shifted back to its start
+        inverse = U(pow(int(base), -1, 1 << 64))
         with np.errstate(over="ignore"):
-            terms = (letters.astype(U) + U(1)) * powers(base, int(self.size.max()))[place]
-            return mix(np.add.reduceat(terms, heads) + self.size.astype(U) * BASE2)
+            sums = np.zeros(len(self.bytes) + 1, U)
+            terms = self.bytes.astype(U)
+            terms += U(1)
+            terms *= powers(base, len(terms))
+            np.cumsum(terms, out=sums[1:])
+            own = (sums[self.start + self.size] - sums[self.start]) * powers(inverse, len(terms))[self.start]
+            return mix(own + self.size.astype(U) * BASE2)
 
     def text_of(self) -> np.ndarray:
         """Index of the text that each word stands in."""
