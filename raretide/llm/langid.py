@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,11 +123,11 @@ def identify(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         if not names:
             return source.select("doc_id", none.alias("lang"), F.lit(0.0).alias("confidence"), none.alias("text_lang"), "declared", F.lit(0).cast("long").alias("n_grams"), F.lit(False).alias("kept"))
         known = source.withColumn("declared", F.when(F.col("declared").isin(names), F.col("declared")))
-        counted = known.select("text", "declared").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()  # at most languages * 2**BITS rows
+        counted = known.select("text", "declared").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # at most languages * 2**BITS rows
         table = np.full((1 << BITS, len(names)), ALPHA)
-        place = {n: i for i, n in enumerate(names)}
-        for r in counted:
-            table[r.gram, place[r.lang]] += r.n
+        for i, name in enumerate(names):
+            own = counted.filter(pa.compute.equal(counted["lang"], name))
+            table[own["gram"].to_numpy(), i] += own["n"].to_numpy()
         shared = spark.sparkContext.broadcast(np.log(table / table.sum(0)).astype(np.float32))
         size = len(names)
         read = work.table(known.mapInArrow(_likelihoods(shared), f"doc_id {kind}, declared string, suffix string, host string, domain string, n_grams long, text_log array<double>"), "likelihoods")
