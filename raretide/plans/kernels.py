@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from raretide.functions import gf2
-from raretide.operators import codes, decode, fit, splitting
+from raretide.operators import codes, decode, fit, memory, splitting
 from raretide.operators import spectrum as S
 from raretide.plans import base as X
 from raretide.plans.catalogue import query
@@ -70,3 +70,47 @@ def streaming_spectrum(spark, sf):
     shots = lambda df: df.select(F.col("l_quantity").cast("int").alias("w"), (F.col("l_returnflag") == "R").alias("fail"))
     out = spectrum_stream(spark, f"{sf}/lineitem.parque[t]", schema, shots, f"{place}/out", f"{place}/stream")
     return out.select(F.col("w").cast("long").alias("w"), "t", "f")
+
+
+#: The [[18, 4, 4]] code's polynomials (fixed values): x + 1 + y^2 and y + 1 + x^2 over Z_3 x Z_3.
+BB18 = (3, 3, [(1, 0), (0, 0), (0, 2)], [(0, 1), (0, 0), (2, 0)])
+
+
+@query()
+def mechanism_counts(spark, sf):
+    """Mechanisms of the 18-qubit code's two-cycle memory, in all and by noise channel."""
+    circuit = memory.memory_circuit(*BB18, 2, 0.003)
+    out = None
+    for name, channels in (("full", None), *((c, {c}) for c in ("cz", "meas", "prep", "gate_idle", "meas_idle"))):
+        part = memory.mechanisms(spark, circuit, channels).agg(F.count(F.lit(1)).alias("mechanisms"), F.round(F.sum("p"), 9).alias("rate")).select(F.lit(name).alias("channel"), "mechanisms", "rate")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def min_weight_logicals(spark, sf):
+    """All logical sets of at most three columns in the Z sector of the 18-qubit code's memory, by weight."""
+    circuit = memory.memory_circuit(*BB18, 2, 0.003)
+    columns = memory.masks(memory.mechanisms(spark, circuit), [i for i, k in enumerate(circuit.kinds) if k == 0])
+    out = None
+    for w in (1, 2, 3):
+        part = memory.logicals_of_weight(columns, w).agg(F.count(F.lit(1)).alias("logicals")).select(F.lit(w).cast("long").alias("w"), "logicals")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def circuit_spectrum(spark, sf):
+    """Failure spectrum of the 18-qubit code's memory circuit: mechanisms drawn by weight, decoded by min-sum + OSD."""
+    circuit = memory.memory_circuit(*BB18, 2, 0.003)
+    mechs = memory.mechanisms(spark, circuit).orderBy("dets", "obs").collect()  # as many as the circuit has
+    h = np.zeros((len(circuit.detectors), len(mechs)), np.uint8)
+    for i, r in enumerate(mechs):
+        h[r.dets, i] = 1
+    at = lambda c, n: spark.createDataFrame([(int(x), i) for i, r in enumerate(mechs) for x in r[c]], f"{n} long, col long")
+    plan = spark.createDataFrame([(w, 60) for w in (1, 2, 3, 4, 6, 8)], "w int, shots long")
+    faults = decode.shots_of_weight(spark, plan, len(mechs), 17)
+    synd = decode.syndromes_of(faults, at("dets", "row"), ["w", "shot"])
+    answers = decode.decode_distinct(synd, h, np.array([r.p for r in mechs]))
+    result = decode.failures(faults, synd.join(answers, "syndrome"), at("obs", "k"), ["w", "shot"])
+    return S.failure_spectrum(result.withColumnRenamed("failed", "fail")).select(F.col("w").cast("long").alias("w"), "t", "f")

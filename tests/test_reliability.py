@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from raretide.functions import gf2
 from raretide.functions.decoders import BpOsd, ensemble
 from raretide.functions.numeric import log_factorials
-from raretide.operators import codes, decode, dem, fit, splitting
+from raretide.operators import codes, decode, dem, fit, memory, splitting
 from raretide.operators import spectrum as S
 from raretide.plans import catalogue, kernels
 from raretide.sources import artifacts
@@ -211,3 +211,30 @@ def test_artifacts(spark, tmp_path):
     assert [tuple(x) for x in artifacts.progress_lines(lines).collect()] == [(12, 7)]
     g = [x.p for x in artifacts.log_grid(spark, 1e-4, 1e-2, 3).collect()]
     assert g == pytest.approx([1e-4, 1e-3, 1e-2])
+
+
+def test_memory_circuit_has_the_known_mechanisms(spark, sf_dir):
+    got = {x.channel: x.mechanisms for x in catalogue.QUERIES["mechanism_counts"](spark, sf_dir).collect()}
+    assert got == {"full": 1062, "cz": 1062, "meas": 45, "prep": 45, "gate_idle": 72, "meas_idle": 72}
+    q = memory.components("DEPOLARIZE2", [0, 1], 0.003)
+    assert len(q) == 15 and q[0][0] == pytest.approx(0.00020028056129117733, rel=1e-12)
+
+
+def test_min_weight_logicals_by_brute_force(spark, sf_dir):
+    circuit = memory.memory_circuit(*kernels.BB18, 2, 0.003)
+    columns = memory.masks(memory.mechanisms(spark, circuit), [i for i, k in enumerate(circuit.kinds) if k == 0]).collect()
+    d, o = (np.array([r[c] for r in columns]) for c in ("det", "obs"))
+    want = 0
+    for i in range(len(d)):
+        rest = np.arange(i + 1, len(d))
+        x, y = d[rest] ^ d[i], o[rest] ^ o[i]
+        for k in range(len(rest)):
+            hit = (x[k] == d[rest[k] + 1 :]) & (y[k] != o[rest[k] + 1 :])
+            want += int(hit.sum())
+    got = {r.w: r.logicals for r in catalogue.QUERIES["min_weight_logicals"](spark, sf_dir).collect()}
+    assert got == {1: 0, 2: 0, 3: want}
+
+
+def test_circuit_spectrum_rises_with_weight(spark, sf_dir):
+    got = {x.w: x.f / x.t for x in catalogue.QUERIES["circuit_spectrum"](spark, sf_dir).collect()}
+    assert got[1] == 0 and got[8] > got[2]
