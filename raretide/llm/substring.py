@@ -152,7 +152,8 @@ def repeated_passages(docs: DataFrame, work: Workspace, *, id_col: str = "doc_id
     kind = source.schema["doc_id"].dataType.simpleString()
     segments = work.table(source.mapInArrow(_segments(window, seed), f"doc_id {kind}, body long, place int, edges short, seed long, key1 long, key2 long"), "segments")
     # equal segments have equal seeds: a seed within one document clears all its segments
-    seeds = segments.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("seed")
+    # (written first, so that the join stands alone in its stage and a hot seed's rows can be split)
+    seeds = work.table(segments.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("seed"), "seeds")
     everything, segments = segments, work.table(segments.join(seeds, "seed"), "candidates")
     work.drop(everything)
     nodes = segments.groupBy("key1", "key2").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last_id"), F.min("seed").alias("seed"))
