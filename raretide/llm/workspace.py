@@ -33,6 +33,11 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows of an Arrow batch: Spark's default is meant for narrow rows and would hold tens of megabytes of text on each
+#: side of every Python worker. A session that names its own number keeps it.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),)
+
+
 class Workspace:
     """A private folder under the shared one. Use as a context manager; leaving it deletes its tables."""
 
@@ -42,6 +47,9 @@ class Workspace:
         self._count = itertools.count()
         self._paths: dict[int, str] = {}
         self._end = weakref.finalize(self, _delete, spark, self.root)
+        for key, default, rows in BATCHES:
+            if spark.conf.get(key) == default:
+                spark.conf.set(key, rows)
 
     def __enter__(self) -> Workspace:
         return self
