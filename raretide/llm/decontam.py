@@ -5,9 +5,13 @@
 2. A randomised SVD of the TF-IDF matrix of those passages, in one distributed pass: every task adds up its part of
    Z = A'A Omega, blocks of Z are summed in a tree, and the driver factors the small matrix (single-pass Nystroem).
    The latent space is whitened, so that no frequent term dominates a cosine.
-3. Benchmark items, taken in blocks of bounded size as the stated query set, meet all windows of all documents by
-   cosine. Each candidate is checked on the words themselves: the longest common subsequence must hold most of the
-   item's words in order, and most of its answer, the words it ends with. Reworded copies pass, chance does not.
+3. Benchmark items, taken in blocks of bounded size as the stated query set, meet all windows of all documents in an
+   inverted index of each item's rarest words. A subsequence of ``overlap`` of m words leaves at most r = m - overlap * m
+   of them out, so that of any r + t words t stand in the window: no window that the judge would take is missed, at
+   whatever cosine, and an item of frequent words only is searched like any other.
+4. Candidates are judged on the words themselves, those of the largest latent cosine first: the longest common
+   subsequence must hold most of the item's words in order, and most of its answer, the words it ends with. Reworded
+   copies pass, chance does not.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ BLOCK = 2
 SCALES = (8, 16, 24, 32, 48, 64)
 #: Blocks between the windows of a scale: the shorter they are, the more a word off the item counts.
 STRIDES = {8: 1, 16: 1, 24: 2, 32: 4, 48: 6, 64: 8}
+#: The most frequent terms, which are multiplied as dense columns.
+DENSE = 1024
+#: Of the words that a judged window holds, so many are asked for by the index: t of r + t.
+SEEDS = 4
 
 
 def _words(text: pa.Array) -> tuple[K.Words, np.ndarray, np.ndarray]:
@@ -71,7 +79,9 @@ def _projected(passage: int, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        idf, omega = model.value
+        idf, omega, dense = model.value
+        column = np.full(TERMS, -1)
+        column[dense] = np.arange(len(dense))
         z = np.zeros(omega.shape, np.float64)
         weighted = (idf[:, None] * omega).astype(np.float32)
         for b in K.pieces(batches, "text", 1 << 18):
@@ -80,18 +90,21 @@ def _projected(passage: int, model):
             if not len(starts):
                 continue
             of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(term)]))
-            use = idf[term] > 0
-            term, of = term[use], of[use]
-            if not len(term):
-                continue
-            heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            y = np.zeros((len(starts), omega.shape[1]), np.float32)
-            square = np.add.reduceat(idf[term] ** 2, heads)  # of the row's norm; repeats within a passage are rare
-            y[of[heads]] = np.add.reduceat(weighted[term], heads, axis=0) / square[:, None]
-            order = np.argsort(term.astype(np.uint16), kind="stable")
-            sorted_term = term[order]
-            first = np.flatnonzero(np.r_[True, sorted_term[1:] != sorted_term[:-1]])
-            z[sorted_term[first]] += np.add.reduceat(y[of[order]], first, axis=0)
+            square = np.add.reduceat(idf[term] ** 2, starts)  # of the row's norm; repeats within a passage are rare
+            often = column[term] >= 0
+            counts = np.bincount(of[often] * len(dense) + column[term[often]], minlength=len(starts) * len(dense)).reshape(len(starts), len(dense)).astype(np.float32)
+            y = counts @ weighted[dense]
+            term, of = term[~often], of[~often]
+            if len(term):
+                heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                y[of[heads]] += np.add.reduceat(weighted[term], heads, axis=0)
+            y /= np.maximum(square, 1e-9)[:, None]
+            z[dense] += counts.T @ y
+            if len(term):
+                order = np.argsort(term.astype(np.uint16), kind="stable")
+                sorted_term = term[order]
+                first = np.flatnonzero(np.r_[True, sorted_term[1:] != sorted_term[:-1]])
+                z[sorted_term[first]] += np.add.reduceat(y[of[order]], first, axis=0)
         z *= idf[:, None]
         for i in range(0, TERMS, ROWS):
             yield pa.RecordBatch.from_arrays([pa.array([i // ROWS]), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([z[i : i + ROWS].astype(np.float32).tobytes()], pa.binary())], names=["block", "part", "z"])
@@ -104,24 +117,29 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block")[:1], "part": pa.array([table.column("part")[0].as_py() // FAN_IN]), "z": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
+def weights(df: np.ndarray, total: int, common: float) -> np.ndarray:
+    """Inverse document frequencies, unseen terms weigh most, frequent ones nothing."""
+    usual = df.sum() / max(1, np.count_nonzero(df))
+    idf = np.log((total + 1) / (df + 1))
+    return np.where(df > max(common * total, 4 * usual), 0, idf).astype(np.float32)
+
+
 class Latent:
-    """The latent vector of a term: idf * v / s, as a table of TERMS rows."""
+    """The latent vector of a term: idf * v / s, as a table of TERMS rows; and how many passages hold it."""
 
-    def __init__(self, table: np.ndarray):
-        self.table = table
-        self.weighs = table.any(axis=1)
+    def __init__(self, table: np.ndarray, df: np.ndarray):
+        self.table, self.df = table, df
 
     @staticmethod
     def fit(docs: DataFrame, passage: int, rank: int, common: float, seed: int, work: Workspace) -> Latent:
         counted = docs.mapInArrow(_frequencies(passage), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most TERMS + 1 rows
         n = {r.term: r.n for r in counted}
         total, df = n.get(-1, 0), np.array([n.get(i, 0) for i in range(TERMS)])
-        usual = df.sum() / max(1, np.count_nonzero(df))
-        idf = np.where(df > max(common * total, 4 * usual), 0, np.log((total + 1) / (df + 1))).astype(np.float32)  # unseen terms weigh most
+        idf = weights(df, total, common)
         omega = np.random.RandomState(seed).standard_normal((TERMS, rank)).astype(np.float32)
         if not total:
-            return Latent(np.zeros((TERMS, rank), np.float32))
-        model = docs.sparkSession.sparkContext.broadcast((idf, omega))  # its size is fixed: TERMS * (rank + 1) numbers
+            return Latent(np.zeros((TERMS, rank), np.float32), df)
+        model = docs.sparkSession.sparkContext.broadcast((idf, omega, np.sort(np.argsort(-df, kind="stable")[:DENSE])))  # its size is fixed: TERMS * (rank + 1) numbers
         parts = work.table(docs.mapInArrow(_projected(passage, model), "block long, part long, z binary"), "z")
         while True:
             parts = work.table(parts.groupBy("block", F.expr(f"part div {FAN_IN}")).applyInArrow(_added, "block long, part long, z binary"), "z")
@@ -136,7 +154,7 @@ class Latent:
         core = omega.T @ z
         low = np.linalg.cholesky((core + core.T) / 2 + 1e-9 * np.trace(core) / rank * np.eye(rank))
         v, s, _ = np.linalg.svd(np.linalg.solve(low, z.T).T, full_matrices=False)
-        return Latent((idf[:, None] * v / np.maximum(s, 1e-9 * s[0])).astype(np.float32))
+        return Latent((idf[:, None] * v / np.maximum(s, 1e-9 * s[0])).astype(np.float32), df)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -146,25 +164,39 @@ def _unit(x: np.ndarray) -> np.ndarray:
 class Queries:
     """A block of benchmark passages, by scale."""
 
-    def __init__(self, items: list[tuple[int, str]], latent: Latent):
+    def __init__(self, items: list[tuple[int, str]], latent: Latent, overlap: float):
         self.parts: list[tuple[int, np.ndarray]] = []  # item, word hashes
         kinds: list[np.ndarray] = []
-        vectors: dict[int, list] = {}
+        scales, vectors, seeds = [], [], []
         for item, text in items:
             _, h, term = _words(pa.array([text or ""]))
             longest = SCALES[-1]
             for at in range(0, max(1, len(h) - longest // 2), longest):  # a short rest belongs to the part before it
                 end = at + longest if len(h) - at - longest > longest // 2 else len(h)
                 if len(h[at:end]):
-                    scale = min(SCALES, key=lambda s: abs(np.log(s / len(h[at:end]))))
-                    vectors.setdefault(scale, []).append((len(self.parts), latent.table[term[at:end]].sum(0)))
+                    m = end - at
+                    need = max(1, int(np.ceil(overlap * m - 1e-9)))
+                    rare = np.argsort(latent.df[term[at:end]], kind="stable")[: m - need + min(SEEDS, need)]
+                    seeds += [(x, len(self.parts)) for x in np.unique(h[at:end][rare]).tolist()]
+                    scales.append(min(SCALES, key=lambda s: abs(np.log(s / m))))
+                    vectors.append(latent.table[term[at:end]].sum(0))
                     self.parts.append((item, h[at:end]))
                     kinds.append(np.unique(term[at:end])[:64])
         self.kinds, self.bits = kinds, None
         self.size = np.array([len(h) for _, h in self.parts])
         self.different = np.array([len(k) for k in kinds])
-        self.scales = {s: (np.array([i for i, _ in v]), _unit(np.stack([x for _, x in v])).astype(np.float32)) for s, v in vectors.items()}
-
+        self.need = np.maximum(1, np.ceil(overlap * self.size - 1e-9)).astype(int)
+        self.asked = np.minimum(SEEDS, self.need)
+        self.scale = np.array(scales)
+        self.stride = np.array([STRIDES[s] * BLOCK for s in scales])
+        self.vectors = _unit(np.stack(vectors)).astype(np.float32) if vectors else np.zeros((0, latent.table.shape[1]), np.float32)
+        # the index: words in order, and the parts of each
+        seeds.sort()
+        self.seed, heads = np.unique(np.array([w for w, _ in seeds], U), return_index=True)
+        self.of_seed = np.array([p for _, p in seeds], np.int64)
+        self.heads = np.r_[heads, len(seeds)]
+        self.may = np.zeros(TERMS, bool)
+        self.may[(self.seed >> U(64 - TERM_BITS)).astype(np.int64)] = True
 
     def marks(self) -> np.ndarray:
         """Of each part, a bit for each of its first 64 different terms; a worker makes them once."""
@@ -194,7 +226,7 @@ def in_common(a: np.ndarray, b: np.ndarray) -> int:
 CHUNK = 2048
 
 
-def _enough(queries: Queries, part: np.ndarray, low: np.ndarray, high: np.ndarray, term: np.ndarray, overlap: float) -> np.ndarray:
+def _enough(queries: Queries, part: np.ndarray, low: np.ndarray, high: np.ndarray, term: np.ndarray) -> np.ndarray:
     """Candidates in whose stretch [low, high) enough different terms of the part stand for the wanted overlap.
 
     A common subsequence of ``overlap`` of the m words leaves m - that many out, and with each at most one term.
@@ -206,54 +238,85 @@ def _enough(queries: Queries, part: np.ndarray, low: np.ndarray, high: np.ndarra
         bit = queries.marks().take(p[:, None] * TERMS + term.take(at, mode="clip"))
         bit[at >= b[:, None]] = 0
         found = np.bitwise_or.reduce(bit, axis=1)
-        m = queries.size[p]
-        out[i : i + CHUNK] = np.bitwise_count(found) >= queries.different[p] - (m - np.ceil(overlap * m))
+        out[i : i + CHUNK] = np.bitwise_count(found) >= queries.different[p] - (queries.size[p] - queries.need[p])
+    return out
+
+
+def _candidates(h: np.ndarray, term: np.ndarray, first: np.ndarray, queries: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """part, text, start of the windows whose stretch holds as many of the part's rarest words as the judge's overlap implies."""
+    at = np.flatnonzero(queries.may[term])
+    k = np.searchsorted(queries.seed, h[at])
+    known = queries.seed.take(k, mode="clip") == h[at]
+    at, k = at[known], k[known]
+    n = queries.heads[k + 1] - queries.heads[k]
+    place = np.repeat(at, n)
+    part = queries.of_seed[np.repeat(queries.heads[k] - np.cumsum(n) + n, n) + np.arange(len(place))]
+    order = np.argsort(part.astype(np.uint16) if len(queries.size) < 1 << 16 else part, kind="stable")
+    part, place = part[order], place[order]
+    m, asked = queries.size[part], queries.asked[part]
+    reach = np.maximum(queries.scale[part], m) + 2 * (m // 2)  # words of a stretch
+    then = np.arange(len(part)) + asked - 1
+    inside = then < len(part)
+    then = np.where(inside, then, 0)
+    doc = np.searchsorted(first, place, "right") - 1
+    here = np.flatnonzero(inside & (part[then] == part) & (place[then] - place < reach) & (place[then] < first[doc + 1]))
+    part, doc, begin, end, m = part[here], doc[here], place[here], place[then[here]], m[here]
+    head, stride = first[doc], queries.stride[part]
+    low = np.maximum(0, -((head - (end - np.maximum(queries.scale[part], m) - m // 2 + 1)) // stride))
+    high = np.minimum((begin + m // 2 - head) // stride, (first[doc + 1] - 1 - head) // stride)
+    n = np.maximum(0, high - low + 1)
+    of = np.repeat(np.arange(len(n)), n)
+    start = head[of] + (low[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * stride[of]
+    code = np.unique(part[of] * (len(h) + 1) + start)
+    part, start = np.divmod(code, len(h) + 1)
+    return part, np.searchsorted(first, start, "right") - 1, start
+
+
+def _cosines(part: np.ndarray, start: np.ndarray, end: np.ndarray, term: np.ndarray, latent: Latent, queries: Queries) -> np.ndarray:
+    """Latent cosines of parts and windows [start, end)."""
+    out = np.zeros(len(part))
+    for i in range(0, len(part), CHUNK):
+        p, a, n = part[i : i + CHUNK], start[i : i + CHUNK], (end - start)[i : i + CHUNK]
+        heads = np.cumsum(n) - n
+        window = np.add.reduceat(latent.table[term[np.repeat(a - heads, n) + np.arange(n.sum())]], heads, axis=0)
+        out[i : i + CHUNK] = np.einsum("ij,ij->i", _unit(window), queries.vectors[p])
     return out
 
 
-def _leaks_of(text: pa.Array, latent: Latent, queries: Queries, cosine: float, overlap: float, answer: float) -> dict[tuple[int, int], tuple]:
+def _leaks_of(text: pa.Array, latent: Latent, queries: Queries, overlap: float, answer: float) -> dict[tuple[int, int], tuple]:
     """(text, item) -> overlap, cosine, place of the best stretch, for each leak in the texts."""
     words, h, term = _words(text)
-    if not len(h):
+    if not len(h) or not len(queries.size):
         return {}
-    starts = _runs(words, BLOCK)
-    # running sums over the words that have weight, and how many of them stand before each block
-    content = np.flatnonzero(latent.weighs[term])
-    sums = np.zeros((len(content) + 1, latent.table.shape[1]), np.float32)
-    np.cumsum(latent.table[term[content]], axis=0, out=sums[1:])
-    before = np.searchsorted(content, np.r_[starts, len(term)])
-    of = np.searchsorted(words.first, starts, "right") - 1
-    head = np.searchsorted(starts, words.first[:-1])[of]
-    last = np.searchsorted(starts, words.first[1:])[of]  # the block after the text's last one
+    part, doc, start = _candidates(h, term, words.first, queries)
+    m = queries.size[part]
+    low = np.maximum(words.first[doc], start - m // 2)
+    high = np.minimum(words.first[doc + 1], start + np.maximum(queries.scale[part], m) + m // 2)
+    enough = np.flatnonzero(_enough(queries, part, low, high, term))
+    part, doc, start, low, high = part[enough], doc[enough], start[enough], low[enough], high[enough]
+    near = _cosines(part, start, np.minimum(start + queries.scale[part], words.first[doc + 1]), term, latent, queries)
     best: dict[tuple[int, int], tuple] = {}
-    for scale, (parts, vectors) in queries.scales.items():
-        at = np.arange(0, len(starts))
-        at = at[(at - head) % STRIDES[scale] == 0]
-        window = sums[before[np.minimum(at + scale // BLOCK, last[at])]] - sums[before[at]]
-        size = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9)
-        near = vectors @ window.T
-        j, i = np.divmod(np.flatnonzero(near >= cosine * size), len(window))  # part by part: one part's terms stay in the cache
-        part, doc, m = parts[j], of[at[i]], queries.size[parts[j]]
-        low = np.maximum(words.first[doc], starts[at[i]] - m // 4)
-        high = np.minimum(words.first[doc + 1], starts[at[i]] + np.maximum(scale, m) + m // 4)
-        for k in np.flatnonzero(_enough(queries, part, low, high, term, overlap)).tolist():
-            item, item_words = queries.parts[part[k]]
-            key, stretch = (int(doc[k]), item), h[low[k] : high[k]]
-            shared = in_common(item_words, stretch) / len(item_words)
-            if shared >= overlap and (key not in best or shared > best[key][0]):
-                tail = item_words[-max(3, len(item_words) // 4) :]
-                if in_common(tail, stretch) >= answer * len(tail):
-                    best[key] = (shared, float(near[j[k], i[k]] / size[i[k]]), int(starts[at[i[k]]] - words.first[doc[k]]))
+    for k in np.argsort(-near, kind="stable").tolist():
+        item, item_words = queries.parts[part[k]]
+        key, stretch = (int(doc[k]), item), h[low[k] : high[k]]
+        if key in best and best[key][0] == 1.0:
+            continue
+        length = in_common(item_words, stretch)
+        shared = length / len(item_words)
+        if length >= queries.need[part[k]] and (key not in best or shared > best[key][0]):
+            tail = item_words[-max(3, len(item_words) // 4) :]
+            if in_common(tail, stretch) >= answer * len(tail):
+                best[key] = (shared, float(near[k]), int(start[k] - words.first[doc[k]]))
     return best
 
 
-def _search(model, cosine: float, overlap: float, answer: float):
+def _search(model, overlap: float, answer: float):
     """One row for each leak."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         latent, queries = model.value
         for b in K.pieces(batches, "text", 1 << 18):
-            best = _leaks_of(b.column("text"), latent, queries, cosine, overlap, answer)
+            best = _leaks_of(b.column("text"), latent, queries, overlap, answer)
             if best:
                 docs = pa.array([k[0] for k in best])
                 yield pa.RecordBatch.from_arrays(
@@ -264,14 +327,14 @@ def _search(model, cosine: float, overlap: float, answer: float):
     return run
 
 
-def _judged(model, cosine: float, overlap: float, answer: float):
+def _judged(model, overlap: float, answer: float):
     """One row for each document, in one pass: how many items leak, and the item of the largest overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         latent, queries = model.value
         for b in K.pieces(batches, "text", 1 << 18):
             count, top = [0] * b.num_rows, [None] * b.num_rows
-            for (doc, item), (shared, _, _) in _leaks_of(b.column("text"), latent, queries, cosine, overlap, answer).items():
+            for (doc, item), (shared, _, _) in _leaks_of(b.column("text"), latent, queries, overlap, answer).items():
                 count[doc] += 1
                 top[doc] = max(top[doc] or (0.0, 0), (shared, -item))
             yield pa.RecordBatch.from_arrays(
@@ -282,20 +345,20 @@ def _judged(model, cosine: float, overlap: float, answer: float):
     return run
 
 
-def leaked_items(docs: DataFrame, benchmark: DataFrame, work: Workspace, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", passage: int = 64, rank: int = 48, common: float = 0.01, cosine: float = 0.55, overlap: float = 0.6, answer: float = 0.5, block: int = 512, seed: int = 9) -> DataFrame:
+def leaked_items(docs: DataFrame, benchmark: DataFrame, work: Workspace, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", passage: int = 64, rank: int = 48, common: float = 0.01, overlap: float = 0.6, answer: float = 0.5, block: int = 512, seed: int = 9) -> DataFrame:
     """doc_id, body, item_id, overlap (part of the item's words in common order), cosine, place (word): one row for each leak."""
     source = _source(docs, id_col, text_col).filter("text IS NOT NULL")
     kind = source.schema["doc_id"].dataType.simpleString()
     out = None
-    for model, _ in _blocks(source, benchmark, work, item_col, item_text_col, passage, rank, common, block, seed):
-        found = work.table(source.mapInArrow(_search(model, cosine, overlap, answer), f"doc_id {kind}, body long, item_id long, overlap double, cosine double, place long"), "leaks")
+    for model, _ in _blocks(source, benchmark, work, item_col, item_text_col, passage, rank, common, overlap, block, seed):
+        found = work.table(source.mapInArrow(_search(model, overlap, answer), f"doc_id {kind}, body long, item_id long, overlap double, cosine double, place long"), "leaks")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, body long, item_id long, overlap double, cosine double, place long")
     return out
 
 
-def _blocks(source: DataFrame, benchmark: DataFrame, work: Workspace, item_col: str, item_text_col: str, passage: int, rank: int, common: float, block: int, seed: int):
+def _blocks(source: DataFrame, benchmark: DataFrame, work: Workspace, item_col: str, item_text_col: str, passage: int, rank: int, common: float, overlap: float, block: int, seed: int):
     """The query set in blocks of bounded size, in the order of its identifiers: (broadcast model and queries, whether it is all)."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     latent = after = None
@@ -308,7 +371,7 @@ def _blocks(source: DataFrame, benchmark: DataFrame, work: Workspace, item_col:
         last, rows = len(rows) <= block, rows[:block]
         after = tuple(rows[-1])
         latent = latent or Latent.fit(source, passage, rank, common, seed, work)
-        yield source.sparkSession.sparkContext.broadcast((latent, Queries([tuple(r) for r in rows], latent))), whole
+        yield source.sparkSession.sparkContext.broadcast((latent, Queries([tuple(r) for r in rows], latent, overlap))), whole
         if last:
             return
 
@@ -317,12 +380,12 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("body"), F.col(text_col).alias("text"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", passage: int = 64, rank: int = 48, common: float = 0.01, cosine: float = 0.55, overlap: float = 0.6, answer: float = 0.5, block: int = 512, seed: int = 9) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", passage: int = 64, rank: int = 48, common: float = 0.01, overlap: float = 0.6, answer: float = 0.5, block: int = 512, seed: int = 9) -> DataFrame:
     """One row per row of docs: doc_id, n_items, item_id (of the largest overlap), overlap, kept.
 
     kept is false for documents in which some benchmark item stands, at least ``overlap`` of its words in order and
-    ``answer`` of those it ends with, near a window whose latent cosine is at least ``cosine``. Words are runs of
-    letters and digits, folded to lower case. An item that is longer than the largest window is searched in parts,
+    ``answer`` of those it ends with, within half its length of a window of its length; no latent cosine and no
+    frequency of a word keeps a window from being judged. Words are runs of letters and digits, folded to lower case. An item that is longer than the largest window is searched in parts,
     and one found part counts. Null and empty texts, and an empty benchmark, leave everything kept; so do items
     without words. Ties go to the smaller item. Rows that repeat an identifier are told apart by their texts; null
     identifiers are allowed. Other columns are not read.
@@ -330,12 +393,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     with Workspace(docs.sparkSession, "decontam") as work:
         source = _source(docs, id_col, text_col)
         kind = source.schema["doc_id"].dataType.simpleString()
-        for model, whole in _blocks(source.filter("text IS NOT NULL"), benchmark, work, "item_id", "text", passage, rank, common, block, seed):
+        for model, whole in _blocks(source.filter("text IS NOT NULL"), benchmark, work, "item_id", "text", passage, rank, common, overlap, block, seed):
             if whole:  # the usual case: one block of queries, and so one pass that judges every row where it stands
-                judged = source.drop("body").mapInArrow(_judged(model, cosine, overlap, answer), f"doc_id {kind}, n_items long, item_id long, overlap double")
+                judged = source.drop("body").mapInArrow(_judged(model, overlap, answer), f"doc_id {kind}, n_items long, item_id long, overlap double")
                 return judged.withColumn("kept", F.col("n_items") == 0)
             break
-        how = {"passage": passage, "rank": rank, "common": common, "cosine": cosine, "overlap": overlap, "answer": answer, "block": block, "seed": seed}
+        how = {"passage": passage, "rank": rank, "common": common, "overlap": overlap, "answer": answer, "block": block, "seed": seed}
         found = leaked_items(docs, benchmark, work, id_col=id_col, text_col=text_col, **how)
         best = found.groupBy("doc_id", "body").agg(F.countDistinct("item_id").alias("n_items"), F.max(F.struct("overlap", (-F.col("item_id")).alias("minus"))).alias("best"))
         best = work.keep(best.select(F.col("doc_id").alias("of"), F.col("body").alias("of_body"), "n_items", (-F.col("best.minus")).alias("item_id"), F.col("best.overlap").alias("overlap")))

@@ -235,6 +235,43 @@ def test_decontamination(spark, odd, odd_rows, nothing):
     assert decontam.decontaminate(odd, benchmark.limit(0)).filter("NOT kept").count() == 0
 
 
+def _subsequence(a, b):
+    """Length of the longest common subsequence, row by row."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+    return row[-1]
+
+
+def test_decontamination_finds_what_brute_force_finds(spark):
+    """Copies with 20 to 40 % of their words replaced, or with words put in between; a few words make up most of the text."""
+    r = random.Random(16)
+    text = lambda n: [f"w{int(3000 ** r.random())}" for _ in range(n)]
+    items = [text(r.randrange(25, 60)) for _ in range(40)]
+    rows, leaks, planted = [], set(), set()
+    for i in range(240):
+        w, k = text(r.randrange(30, 200)), i % 40
+        share = r.uniform(0.2, 0.4)
+        if i % 3:
+            copy = [f"w{r.randrange(3000)}" if r.random() < share else x for x in items[k]]
+        else:
+            copy = [y for x in items[k] for y in ([x, f"w{r.randrange(3000)}"] if r.random() < 2 * share else [x])]
+        tail = items[k][-max(3, len(items[k]) // 4) :]
+        planted.add((i, k))
+        if _subsequence(items[k], copy) >= 0.6 * len(items[k]) and _subsequence(tail, copy) >= 0.5 * len(tail):
+            leaks.add((i, k))
+        at = r.randrange(len(w))
+        w[at:at] = copy
+        rows.append((i, " ".join(w), "en", "s"))
+    rows += [(1000 + i, " ".join(text(150)), "en", "s") for i in range(60)]
+    docs = table(spark, rows)
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontam.decontaminate(docs, benchmark).collect() if not x.kept}
+    assert len(leaks) > 120 and leaks <= found <= planted
+
+
 def test_common_subsequence():
     r = random.Random(7)
     for _ in range(200):
