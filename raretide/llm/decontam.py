@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed terms over all passages (consecutive runs of words) of all documents.
-   Terms of more than a hundredth of them, and of four times as many as the mean term, carry no weight.
+   Terms of more than a hundredth of them, and of four times as many as the mean term, carry a small weight, never none.
 2. A randomised SVD of the TF-IDF matrix of those passages, in one distributed pass: every task adds up its part of
    Z = A'A Omega, blocks of Z are summed in a tree, and the driver factors the small matrix (single-pass Nystroem).
    The latent space is whitened, so that no frequent term dominates a cosine.
@@ -37,6 +37,8 @@ BLOCK = 2
 SCALES = (8, 16, 24, 32, 48, 64)
 #: Blocks between the windows of a scale: the shorter they are, the more a word off the item counts.
 STRIDES = {8: 1, 16: 1, 24: 2, 32: 4, 48: 6, 64: 8}
+#: The least weight of a term, and the weight of a frequent one.
+FLOOR = 0.1
 #: The most frequent terms, which are multiplied as dense columns.
 DENSE = 1024
 #: Of the words that a judged window holds, so many are asked for by the index: t of r + t.
@@ -98,7 +100,7 @@ def _projected(passage: int, model):
             if len(term):
                 heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                 y[of[heads]] += np.add.reduceat(weighted[term], heads, axis=0)
-            y /= np.maximum(square, 1e-9)[:, None]
+            y /= square[:, None]
             z[dense] += counts.T @ y
             if len(term):
                 order = np.argsort(term.astype(np.uint16), kind="stable")
@@ -118,10 +120,10 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def weights(df: np.ndarray, total: int, common: float) -> np.ndarray:
-    """Inverse document frequencies, unseen terms weigh most, frequent ones nothing."""
+    """Inverse document frequencies, none below FLOOR; unseen terms weigh most, frequent ones least."""
     usual = df.sum() / max(1, np.count_nonzero(df))
-    idf = np.log((total + 1) / (df + 1))
-    return np.where(df > max(common * total, 4 * usual), 0, idf).astype(np.float32)
+    idf = np.maximum(np.log((total + 1) / (df + 1)), FLOOR)
+    return np.where(df > max(common * total, 4 * usual), FLOOR, idf).astype(np.float32)
 
 
 class Latent:

@@ -272,6 +272,26 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert len(leaks) > 120 and leaks <= found <= planted
 
 
+def test_decontamination_of_frequent_items(spark):
+    """An item in a third of all documents, and one of words that every document has."""
+    r = random.Random(17)
+    usual = [f"c{i}" for i in range(60)]
+    everywhere, common = words(r, 59, 100000), [r.choice(usual) for _ in range(30)]
+    rows, leaks = [], set()
+    for i in range(300):
+        w = [r.choice(usual) if r.random() < 0.6 else x for x in words(r, 200, 3000)]
+        if i % 3 == 0 or i == 100:
+            at, k = r.randrange(len(w)), int(i == 100)
+            w[at:at] = common if k else everywhere
+            leaks.add((i, k))
+        rows.append((i, " ".join(w), "en", "s"))
+    benchmark = spark.createDataFrame([(0, " ".join(everywhere)), (1, " ".join(common))], "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontam.decontaminate(table(spark, rows), benchmark).collect() if not x.kept}
+    assert found == leaks
+    df = np.r_[np.full(100, 1000), np.ones(1000)]
+    assert (decontam.weights(df, 1000, 0.01) > 0).all()
+
+
 def test_common_subsequence():
     r = random.Random(7)
     for _ in range(200):
