@@ -32,11 +32,9 @@ def gf2_rank(spark, sf):
     return spark.createDataFrame(rows, "matrix string, rank long")
 
 
-@query()
-def bp_osd_decode(spark, sf):
-    """Failures by weight of min-sum + OSD on the 72-qubit code; as many shots of a weight as lineitem has rows for it."""
+def decoded(spark, plan):
+    """w, t, f of min-sum + OSD on the 72-qubit code, for plan (w, shots)."""
     hx, hz = bb6(spark)
-    plan = S.failure_spectrum(X.shots(spark, sf)).filter("w <= 8").select("w", F.lit(200).cast("long").alias("shots"))
     faults = decode.shots_of_weight(spark, plan, 72, 11)
     checks = codes.parity_checks(spark, *BB6).filter("kind = 'X'").select("row", "col")
     synd = decode.syndromes_of(faults, checks, ["w", "shot"])
@@ -46,6 +44,18 @@ def bp_osd_decode(spark, sf):
     return S.failure_spectrum(result.withColumnRenamed("failed", "fail")).select(F.col("w").cast("long").alias("w"), "t", "f")
 
 
+@query()
+def bp_osd_decode(spark, sf):
+    """Failures by weight of min-sum + OSD on the 72-qubit code; a fixed plan of 200 shots of each weight up to 8 that lineitem has."""
+    return decoded(spark, S.failure_spectrum(X.shots(spark, sf)).filter("w <= 8").select("w", F.lit(200).cast("long").alias("shots")))
+
+
+@query()
+def bp_osd_decode_all(spark, sf):
+    """Failures by weight of min-sum + OSD on the 72-qubit code; as many shots of every weight as lineitem has rows for it."""
+    return decoded(spark, S.failure_spectrum(X.shots(spark, sf)).select("w", F.col("t").alias("shots")))
+
+
 @query()
 def fit_ansatz(spark, sf):
     return fit.fit_spectra(S.failure_spectrum(X.shots(spark, sf), ["channel"]), "channel", 1.0)

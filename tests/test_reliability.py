@@ -158,6 +158,14 @@ def test_decoding_query_corrects_what_the_distance_allows(spark, sf_dir):
     assert got[1][1] == got[2][1] == 0 and got[8][1] > got[3][1]
 
 
+def test_decoding_of_all_shots(spark, sf_dir):
+    """Every weight of lineitem, with as many shots as it has rows."""
+    want = {int(x.l_quantity): x["count"] for x in spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_quantity").count().collect()}
+    got = {x.w: (x.t, x.f) for x in catalogue.QUERIES["bp_osd_decode_all"](spark, sf_dir).collect()}
+    assert {w: t for w, (t, _) in got.items()} == want and len(want) == 50
+    assert got[1][1] == got[2][1] == 0 and got[8][1] > 0
+
+
 def test_shots_have_their_weight_and_repeat(spark):
     plan = spark.createDataFrame([(0, 5), (3, 20), (10, 20)], "w int, shots long")
     first = decode.shots_of_weight(spark, plan, 30, 4)
