@@ -44,7 +44,3 @@ def per_round(ler: Column, rounds: int) -> Column:
     """1 - (1 - L)**(1 / rounds), L clipped to [0, 1)."""
     return 1 - F.pow(1 - F.least(F.greatest(ler, F.lit(0.0)), F.lit(1 - 1e-12)), F.lit(1.0 / rounds))
 
-
-def log_mean_exp(x: Column) -> Column:
-    """An aggregate: ln of the mean of exp(x); the largest x is taken out of a collected few."""
-    return F.log(F.avg(F.exp(x)))

@@ -7,8 +7,9 @@ import tempfile
 import numpy as np
 from pyspark.sql import functions as F
 
-from raretide.functions import gf2
+from raretide.functions import gf2, relay
 from raretide.operators import codes, decode, fit, memory, splitting
+from raretide.operators import montecarlo as mc
 from raretide.operators import spectrum as S
 from raretide.plans import base as X
 from raretide.plans.catalogue import query
@@ -75,7 +76,11 @@ def splitting_chain(spark, sf):
 @query(f"WITH {X.SPEC} SELECT CAST(w AS BIGINT) AS w, t, f FROM spec")
 def streaming_spectrum(spark, sf):
     schema = X.read(spark, sf, "lineitem").schema
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"file://{tempfile.mkdtemp()}"
     place = f"{shared}/spectrum-{spark.sparkContext.applicationId}-{abs(hash(sf))}-{np.random.default_rng().integers(1 << 40)}"
     shots = lambda df: df.select(F.col("l_quantity").cast("int").alias("w"), (F.col("l_returnflag") == "R").alias("fail"))
     out = spectrum_stream(spark, f"{sf}/lineitem.parque[t]", schema, shots, f"{place}/out", f"{place}/stream")
@@ -124,3 +129,57 @@ def circuit_spectrum(spark, sf):
     answers = decode.decode_distinct(synd, h, np.array([r.p for r in mechs]))
     result = decode.failures(faults, synd.join(answers, "syndrome"), at("obs", "k"), ["w", "shot"])
     return S.failure_spectrum(result.withColumnRenamed("failed", "fail")).select(F.col("w").cast("long").alias("w"), "t", "f")
+
+
+def _bb18(noise, rounds):
+    return memory.memory_circuit(*BB18, rounds, noise)
+
+
+@query()
+def mc_sweep(spark, sf):
+    """Direct Monte Carlo of the 18-qubit code's memory over rates and cycles; ten shots for each supplier at every point."""
+    shots = 10 * X.read(spark, sf, "supplier").count()
+    noises = [memory.Noise.uniform(p) for p in (0.003, 0.006, 0.012)]
+    return mc.sweep(spark, _bb18, noises, (2, 3), shots, relay.named("relay", legs=6, seed=3), 23)
+
+
+@query()
+def mc_frozen_calibration(spark, sf):
+    """The same at a rate for which the decoder was not calibrated: its priors are those of another rate."""
+    shots = 10 * X.read(spark, sf, "supplier").count()
+    return mc.sweep(spark, _bb18, [memory.Noise.uniform(0.012)], (2,), shots, relay.named("relay", legs=6, seed=3), 23, calibration=memory.Noise.uniform(0.003))
+
+
+@query()
+def channel_variants(spark, sf):
+    """Mechanisms and summed rates of the 18-qubit memory's variants: each channel alone, without it, and measurement times five."""
+    circuit = memory.memory_circuit(*BB18, 2, memory.Noise.measurement_ratio(0.003, 2.0))
+    variants = [("full", circuit)]
+    for c in memory.CHANNELS:
+        variants += [(f"{c}__iso", memory.varied(circuit, isolate=c)), (f"{c}__abl", memory.varied(circuit, ablate=c))]
+    fivefold = {"meas": 5.0, "meas_idle": 5.0}
+    variants += [("x5", memory.varied(circuit, factors=fivefold)), ("x5 meas__abl", memory.varied(circuit, ablate="meas", factors=fivefold))]
+    out = None
+    for name, variant in variants:
+        part = memory.mechanisms(spark, variant).agg(F.count(F.lit(1)).alias("mechanisms"), F.round(F.sum("p"), 9).alias("rate")).select(F.lit(name).alias("variant"), "mechanisms", "rate")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def adaptive_spectrum(spark, sf):
+    """Failure spectrum of the 18-qubit memory's Z sector, each weight with as many shots as its predicted failures need."""
+    circuit = memory.memory_circuit(*BB18, 2, 0.003)
+    model = mc.Model.of(spark, circuit, kind=0)
+    return mc.adaptive_sampling(spark, model, relay.named("relay", legs=6, seed=3), range(1, 17), 29, target=30, most=10 * X.read(spark, sf, "supplier").count(), stop_after_zeros=2)
+
+
+@query()
+def decoder_comparison(spark, sf):
+    """Failures of each registered decoder on the same shots of the 18-qubit memory."""
+    model = mc.Model.of(spark, _bb18(memory.Noise.uniform(0.006), 2))
+    shots, out = 10 * X.read(spark, sf, "supplier").count(), None
+    for name, settings in (("relay", {"legs": 6, "seed": 3}), ("bposd", {}), ("trivial", {})):
+        part = mc.count_failures(spark, model, relay.named(name, **settings), [(None, shots)], 31).select(F.lit(name).alias("decoder"), "t", "f")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -165,7 +165,7 @@ def _stride_sql() -> str:
     for s in (2, 3, 4, 5):
         parts.append(f"""dec{s} AS (SELECT * FROM spec WHERE w < 10 OR (w - (SELECT min(w) FROM spec)) % {s} = 0 OR w = (SELECT max(w) FROM spec)),
         {X.filled(f'dec{s}', f'fil{s}')}, err{s} AS (SELECT {s} AS stride, p, {X.LER} AS ler FROM fil{s}, grid GROUP BY p)""")
-    return f"WITH {X.SPEC}, {X.GRID}, {', '.join(parts)}, exact AS (SELECT p, {X.LER} AS ler0 FROM spec, grid GROUP BY p) SELECT CAST(stride AS BIGINT) AS stride, p, round(ler / ler0 - 1, 8) AS error FROM ({' UNION ALL '.join(f'SELECT * FROM err{s}' for s in (2, 3, 4, 5))}) JOIN exact USING (p)"
+    return f"WITH {X.SPEC}, {X.GRID}, {', '.join(parts)}, exact AS (SELECT p, {X.LER} AS ler0 FROM spec, grid GROUP BY p) SELECT CAST(stride AS BIGINT) AS stride, p, round(ler / ler0 - 1, 8) + 0.0 AS error FROM ({' UNION ALL '.join(f'SELECT * FROM err{s}' for s in (2, 3, 4, 5))}) JOIN exact USING (p)"
 
 
 @query(_stride_sql())
@@ -177,7 +177,7 @@ def stride_cost(spark, sf):
     for s in (2, 3, 4, 5):
         part = S.reweight(S.fill(S.decimate(spec, s, 10)), grid, X.N).select(F.lit(s).cast("long").alias("stride"), "p", "ler")
         out = part if out is None else out.unionByName(part)
-    return out.join(exact, "p").select("stride", "p", F.round(F.col("ler") / F.col("ler0") - 1, 8).alias("error"))
+    return out.join(exact, "p").select("stride", "p", (F.round(F.col("ler") / F.col("ler0") - 1, 8) + 0.0).alias("error"))
 
 
 @query(f"""WITH {X.SPEC}, {X.GRID}, l AS (SELECT p, {X.LER} AS ler FROM spec, grid GROUP BY p), steps AS (SELECT p, ler, lead(p) OVER (ORDER BY p) AS p1, lead(ler) OVER (ORDER BY p) AS l1 FROM l), asked(q) AS (VALUES (CAST(0.0002 AS DOUBLE)), (CAST(0.002 AS DOUBLE)), (CAST(0.01 AS DOUBLE)))
@@ -219,11 +219,11 @@ def scaled_channel(spark, sf):
 @query("""WITH pool AS (SELECT DISTINCT l_suppkey AS q FROM lineitem), layers AS (SELECT DISTINCT l_linenumber AS layer FROM lineitem), active AS (SELECT DISTINCT l_linenumber AS layer, l_suppkey AS q FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)
     SELECT CAST(layer AS BIGINT) AS layer, count(*) AS idle FROM (SELECT layer, q FROM layers, pool EXCEPT SELECT layer, q FROM active) GROUP BY layer""")
 def idle_qubits(spark, sf):
-    """Qubits of the pool that a layer leaves alone: the size of the pool less the layer's active ones."""
+    """Qubits of the pool that a layer leaves alone: the size of the pool less the layer's active ones; layers that use all are absent."""
     line = X.read(spark, sf, "lineitem")
     pool = line.agg(F.countDistinct("l_suppkey").alias("n"))
     active = line.groupBy(F.col("l_linenumber").cast("long").alias("layer")).agg(F.countDistinct(F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45), F.col("l_suppkey"))).alias("busy"))
-    return active.join(F.broadcast(pool), F.lit(True)).select("layer", (F.col("n") - F.col("busy")).alias("idle"))
+    return active.join(F.broadcast(pool), F.lit(True)).select("layer", (F.col("n") - F.col("busy")).alias("idle")).filter("idle > 0")
 
 
 POLY_A, POLY_B = [(3, 0), (0, 1), (0, 2)], [(0, 3), (1, 0), (2, 0)]
