@@ -30,3 +30,14 @@ def odd_overlaps(checks: DataFrame) -> DataFrame:
     """Pairs of an X and a Z check that share an odd number of qubits; empty for a valid code."""
     x, z = (checks.filter(F.col("kind") == k).select(F.col("row").alias(k), "col") for k in ("X", "Z"))
     return x.join(z, "col").groupBy("X", "Z").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1")
+
+
+def gate_layers(spark: SparkSession, l: int, m: int, a: list[tuple[int, int]], b: list[tuple[int, int]]) -> DataFrame:  # noqa: E741
+    """kind, row, layer (1 ..), qubit: a monomial couples every check to a qubit of its own, so each is one layer."""
+    half, out = l * m, None
+    for layer, (monomial, of_a) in enumerate([(x, True) for x in a] + [(x, False) for x in b], 1):
+        one = circulant(spark, l, m, [monomial])
+        x = one.select(F.lit("X").alias("kind"), "row", F.lit(layer).cast("long").alias("layer"), (F.col("col") + (0 if of_a else half)).alias("qubit"))
+        z = one.select(F.lit("Z").alias("kind"), F.col("col").alias("row"), F.lit(layer).cast("long").alias("layer"), (F.col("row") + (half if of_a else 0)).alias("qubit"))
+        out = x.unionByName(z) if out is None else out.unionByName(x).unionByName(z)
+    return out

@@ -31,6 +31,18 @@ def chain(seed_config: np.ndarray, fails, q: float, q_next: float, steps: int, r
     return float(top + np.log(np.exp(logs - top).mean())), float(weights.mean()), x
 
 
+def rungs(high: float, low: float, columns: float, distance: int, most: int = 200) -> list[float]:
+    """Rates of a ladder from high to the first at most low, each a step that one fault's worth of weight bridges.
+
+    The weight at a rate is its mean, ``columns * rate``, or half the distance where that is more.
+    """
+    out = [high]
+    while out[-1] > low and len(out) <= most:
+        weight = max(distance / 2, columns * out[-1])
+        out.append(out[-1] * 2.0 ** (-1 / np.sqrt(weight)))
+    return [float(p) for p in out]
+
+
 def first_four(x: np.ndarray) -> bool:
     """A failure with a known law, q**4: all of the first four columns."""
     return bool(x[:4].all())

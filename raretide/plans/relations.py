@@ -307,6 +307,7 @@ def resume_antijoin(spark, sf):
     return spark.range(1, 61).select(F.col("id").alias("w")).join(done, "w", "left_anti")
 
 
+#: Expanded columns, columns per unit of rate and distance of the 72-qubit memory (fixed values).
 LADDER18 = """WITH RECURSIVE ladder(i, p) AS (SELECT 0, CAST(6e-3 AS DOUBLE) UNION ALL
     SELECT i + 1, p * power(2.0, -1.0 / sqrt(greatest(CAST(6 AS DOUBLE) / 2, 46224 * p / 15))) FROM ladder WHERE p > 3e-3 AND i < 200)
     SELECT CAST(i AS BIGINT) AS i, round(p, 12) AS p FROM ladder"""
@@ -314,7 +315,10 @@ LADDER18 = """WITH RECURSIVE ladder(i, p) AS (SELECT 0, CAST(6e-3 AS DOUBLE) UNI
 
 @query(LADDER18.replace("2.0", "2.0::DOUBLE"))
 def eq18_ladder(spark, sf):
-    return spark.sql(LADDER18)
+    """Rates from 6e-3 down, each by 2 ** (-1 / sqrt(mean weight there)), of a code of distance 6."""
+    from raretide.operators.splitting import rungs
+
+    return spark.createDataFrame(list(enumerate(rungs(6e-3, 3e-3, 46224 / 15, 6))), "i long, p double").select("i", F.round("p", 12).alias("p"))
 
 
 @query("WITH n AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1) SELECT coalesce(r_name, 'all') AS family, CAST(sum(n) AS BIGINT) AS codes FROM n JOIN region ON r_regionkey = n_regionkey GROUP BY ROLLUP (r_name)")

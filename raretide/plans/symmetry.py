@@ -36,14 +36,14 @@ def pair_orbits(spark, sf):
     return Y.orbits(pairs, L, M).groupBy("rx", "ry").agg(F.count(F.lit(1)).alias("size"))
 
 
-@query(f"WITH {BB6_SQL} SELECT kind, row, row_number() OVER (PARTITION BY kind, row ORDER BY col) AS layer, col AS qubit FROM checks")
-def gate_layers(spark, sf):
-    """Each check's gates in layers; a layer is a matching of checks and qubits only in the order of the monomials, this is the order of qubits."""
-    from pyspark.sql import Window as W
+LAYERS = f"""{BB6_SQL}, monos(layer, part, i, j) AS (VALUES (1, 'A', 3, 0), (2, 'A', 0, 1), (3, 'A', 0, 2), (4, 'B', 0, 3), (5, 'B', 1, 0), (6, 'B', 2, 0)),
+    gates AS (SELECT layer, part, r AS x, ((r // 6 + i) % 6) * 6 + (r % 6 + j) % 6 AS y FROM range(0, 36) rows(r), monos)"""
 
-    checks = codes.parity_checks(spark, *BB6)
-    layer = F.row_number().over(W.partitionBy("kind", "row").orderBy("col"))
-    return checks.select("kind", "row", layer.cast("long").alias("layer"), F.col("col").alias("qubit"))
+
+@query(f"WITH {LAYERS} SELECT 'X' AS kind, CAST(x AS BIGINT) AS row, CAST(layer AS BIGINT) AS layer, CAST(y + CASE WHEN part = 'A' THEN 0 ELSE 36 END AS BIGINT) AS qubit FROM gates UNION ALL SELECT 'Z', CAST(y AS BIGINT), CAST(layer AS BIGINT), CAST(x + CASE WHEN part = 'A' THEN 36 ELSE 0 END AS BIGINT) FROM gates")
+def gate_layers(spark, sf):
+    """Each check's gates in layers, one to a monomial: within a layer and kind no check and no qubit stands twice."""
+    return codes.gate_layers(spark, *BB6)
 
 
 @query(f"WITH {BB6_SQL} SELECT kind, count(*) AS entries, count(DISTINCT row) AS checks, min(n) AS lightest, max(n) AS heaviest FROM (SELECT kind, row, count(*) OVER (PARTITION BY kind, row) AS n FROM checks) GROUP BY kind")
