@@ -5,6 +5,7 @@ Everything here works on the raw UTF-8 bytes of a whole batch at once; no per-wo
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,19 +24,12 @@ SAME = np.arange(256, dtype=np.uint8)
 
 BASE = U(0x9E3779B97F4A7C15)
 BASE2 = U(0xC2B2AE3D27D4EB4F)
-
-
-def powers(base: U, n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B006
-    """base**0 .. base**(n-1) modulo 2**64; the table grows by doubling and is kept."""
-    have = _kept.get(int(base))
-    if have is None or len(have) < n:
-        size = max(1024, 1 << int(n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            have = np.full(size, base, U)
-            have[0] = U(1)
-            have = np.multiply.accumulate(have)
-        _kept[int(base)] = have
-    return have[:n]
+#: What two independent hashes of a word start from.
+STARTS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344))
+#: The first k bytes of a little-endian lane of eight.
+LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Words of more bytes are hashed one by one.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,20 +95,33 @@ class Words:
         self.first = np.searchsorted(self.start, self.offsets)
         self.count = np.diff(self.first)
 
-    def hashes(self, base: U = BASE) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        if not len(self.start):
+    def hashes(self, which: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word; those of ``which`` 0 and 1 are independent.
+
+        Bytes enter in lanes of eight, each followed by a bijective mix: words of one size up to eight bytes never
+        share a hash, and no arithmetic structure of longer ones survives. Words over LONG bytes take a keyed BLAKE2b.
+        """
+        n = len(self.start)
+        if not n:
             return np.zeros(0, U)
-        # prefix sums of a polynomial in the place; a word's own is a difference, shifted back to its start
-        inverse = U(pow(int(base), -1, 1 << 64))
+        lanes = np.zeros(len(self.bytes) // 8 + 2, U)
+        lanes.view(np.uint8)[: len(self.bytes)] = self.bytes
+
+        def lane(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+            place, shift = at >> 3, ((at & 7) << 3).astype(U)
+            return (lanes[place] >> shift | lanes[place + 1] << U(1) << (U(63) - shift)) & LANE[np.minimum(left, 8)]
+
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(self.bytes) + 1, U)
-            terms = self.bytes.astype(U)
-            terms += U(1)
-            terms *= powers(base, len(terms))
-            np.cumsum(terms, out=sums[1:])
-            own = (sums[self.start + self.size] - sums[self.start]) * powers(inverse, len(terms))[self.start]
-            return mix(own + self.size.astype(U) * BASE2)
+            out = mix(lane(self.start, self.size) ^ mix(self.size.astype(U) * BASE + STARTS[which]))
+            more, done = np.flatnonzero((self.size > 8) & (self.size <= LONG)), 8
+            while len(more):
+                out[more] = mix(out[more] * BASE2 ^ lane(self.start[more] + done, self.size[more] - done))
+                done += 8
+                more = more[self.size[more] > done]
+        for i in np.flatnonzero(self.size > LONG).tolist():
+            word = self.bytes[self.start[i] : self.start[i] + self.size[i]]
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=bytes([which + 1])).digest(), "little")
+        return out
 
     def text_of(self) -> np.ndarray:
         """Index of the text that each word stands in."""

@@ -45,21 +45,33 @@ def _first_minimum(v: np.ndarray, width: int) -> np.ndarray:
 
 
 class Spans:
-    """Two hashes of any run of words, from prefix sums of a polynomial modulo 2**64."""
-
-    def __init__(self, h: np.ndarray):
-        n = len(h) + 1
-        self.parts = []
-        with np.errstate(over="ignore"):
-            for base in (K.BASE, K.BASE2):
-                inverse = U(pow(int(base), -1, 1 << 64))
-                sums = np.zeros(n, U)
-                np.cumsum(h * K.powers(base, n)[:-1], out=sums[1:])
-                self.parts.append((sums, K.powers(inverse, n)))
+    """Two independent hashes of any run of words.
+
+    Runs of 2, 4, 8 .. words are hashed pair by pair, a bijective mix at each step, once for all places; a run of any
+    length is the chain of those that its length consists of.
+    """
+
+    def __init__(self, words: K.Words, longest: int):
+        self.levels = []
+        for which in (0, 1):
+            level = [words.hashes(which)]
+            for k in range(min(longest, max(1, len(level[0]))).bit_length() - 1):
+                last, step = level[-1], 1 << k
+                with np.errstate(over="ignore"):
+                    level.append(K.mix(last[:-step] * K.BASE + last[step:]))
+            self.levels.append(level)
 
     def __call__(self, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        with np.errstate(over="ignore"):
-            return tuple(K.mix((sums[start + length] - sums[start]) * back[start] + length.astype(U)).view(np.int64) for sums, back in self.parts)
+        out = []
+        for level in self.levels:
+            value, at = length.astype(U), start.copy()
+            for k in range(len(level) - 1, -1, -1):
+                has = np.flatnonzero(length >> k & 1)
+                with np.errstate(over="ignore"):
+                    value[has] = K.mix(value[has] * K.BASE2 + level[k][at[has]])
+                at[has] += 1 << k
+            out.append(value.view(np.int64))
+        return tuple(out)
 
 
 def _segments(window: int, seed: int):
@@ -79,7 +91,7 @@ def _segments(window: int, seed: int):
             seeds = at[starts]
             head = np.flatnonzero(np.r_[True, (seeds[1:] != seeds[:-1]) | (owner[starts][1:] != owner[starts][:-1])])
             first, count = starts[head], np.diff(np.r_[head, len(starts)])
-            key1, key2 = Spans(h)(first, count + window - 1)
+            key1, key2 = Spans(words, 2 * window - seed)(first, count + window - 1)
             doc = owner[first]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -103,7 +115,7 @@ def _edges(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.pieces(batches, "text"):
             words = K.Words(b.column("text"), K.SPACES, K.SAME)
-            spans = Spans(words.hashes())
+            spans = Spans(words, window)
             cuts = b.column("cuts")
             flat = cuts.flatten()
             which = np.repeat(np.arange(len(cuts)), np.diff(cuts.offsets.to_numpy()))

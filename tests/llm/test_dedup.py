@@ -170,3 +170,44 @@ def test_passages(spark, odd_rows, nothing):
     with Workspace(spark, "t") as work:
         runs = repeated_passages(table(spark, rows), work).filter("source_id IS NOT NULL").collect()
     assert runs and all(x.source_id < x.doc_id and x.end - x.start >= 50 for x in runs)
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """A word of 2**n letters and its complement: equal under any polynomial modulo a power of two from some n on."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_unequal_words_are_never_equal(spark):
+    """Words without arithmetic likeness and with it, in documents that differ in nothing else."""
+    r = random.Random(8)
+    rows = []
+    for n in (3, 6, 10, 12):
+        for k, word in enumerate(thue_morse(n)):
+            rows.append((100 * n + k, " ".join([word] * 60), "en", "s"))
+            rows.append((100 * n + 10 + k, " ".join(words(random.Random(n), 40) + [word] + words(random.Random(n + 1), 40)), "en", "s"))
+    a, b = (" ".join(r.choice(("x", "y")) for _ in range(2000)) for _ in "ab")
+    letters, other = thue_morse(10)
+    rows += [(7, a, "en", "s"), (8, b, "en", "s"), (9, " ".join(letters), "en", "s"), (10, " ".join(other), "en", "s")]
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted((tuple(x) for x in drop_repeated_passages(table(spark, rows)).collect()), key=key) == sorted(_passages_brute(rows, 50), key=key)
+    assert {x.doc_id: x.component_id for x in near_duplicates(table(spark, rows)).collect()} == _near_brute(rows)
+
+
+def test_near_duplicates_of_chains_and_repeated_identifiers(spark):
+    """Copies of copies, each reworked a little more, of several sizes; links that no bucket's centre has a part in."""
+    r = random.Random(9)
+    rows = []
+    for chain in range(12):
+        w = words(r, 40 + 15 * chain, 100000)
+        for k in range(14):
+            rows.append((1000 * chain + r.randrange(1000), " ".join(w), "en", "s"))
+            for _ in range(1 + chain // 4):
+                w[r.randrange(len(w))] = f"c{r.randrange(30)}"
+            if k % 5 == 4:
+                w = w[: -len(w) // 12]
+    rows += [(5, rows[20][1], "en", "s"), (5, rows[90][1] + " and some more", "en", "s")]
+    want = _near_brute(rows)
+    assert {x.doc_id: x.component_id for x in near_duplicates(table(spark, rows)).collect()} == want
