@@ -15,7 +15,7 @@ from raretide.llm.workspace import Workspace
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+    return both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a < b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:

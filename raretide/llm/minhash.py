@@ -2,12 +2,15 @@
 
 One hash of each distinct shingle fills one bin of the signature; an empty bin copies the first filled bin of its own
 fixed random order (optimal densification), so bins of two sets agree with the probability of their similarity.
-Bands of the signature are bucket keys. In a bucket every member is compared with a centre only, so candidate pairs
-are linear in members, and each member is confirmed, on the full sets, against the centre that it meets most often.
-In a bucket whose members then belong to several components, the member with the fewest shingles of its own is the next
-centre. Once that finds no more links, the pairs left across components are compared as well, unless the shingles that
-a document shares with nobody, or maps of the parity of both sets, rule a link out: stars bound the pairs of the common case, and no link inside a bucket is
-lost.
+Bands of the signature are bucket keys. Equal sets are one class, so copies never meet in a bucket. In a bucket every
+member is compared with a centre only, the member with the fewest shingles of its own, so candidate pairs are linear in
+members; each is confirmed on the full sets.
+
+A star alone can miss a link between two members that are both unlike the centre. Two exact bounds leave little to look
+for: shingles that no other member holds can be in no intersection, so that most documents have no room for any partner;
+and of two similar sets the rarest shingles (a quarter and one of the larger, a seventh and one of the smaller) have one
+in common. Members that a centre has not brought together are joined by those rare shingles, the most popular
+group of each shingle with the others only, never with itself. No link inside a bucket is lost.
 
 With 40 bands of 5 bins a pair at similarity 0.75 shares no bucket with probability 2e-5, at 0.8 with 1e-7.
 """
@@ -26,8 +29,6 @@ from raretide.llm.components import connected_components
 from raretide.llm.workspace import Workspace
 
 U = np.uint64
-#: Classes of sizes per factor e, in joins of members by size.
-CLASSES = 50
 #: Bits of a set's parity map: bit k is the parity of the number of its shingles that fall there.
 PARITY = 1024
 
@@ -105,7 +106,11 @@ def _sets(width: int):
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             bits = np.stack([np.packbits(np.bincount((s & U(PARITY - 1)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1) for s in sets]).view(np.int64)
             at = np.arange(len(sets) + 1, dtype=np.int32) * bits.shape[1]
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.ListArray.from_arrays(pa.array(at), pa.array(bits.reshape(-1)))], names=["rep", "items", "bits"])
+            body = np.array([s.sum(dtype=U) for s in sets], U).view(np.int64)  # tells the sets of a repeated identifier apart
+            yield pa.RecordBatch.from_arrays(
+                [b.column("rep"), pa.array(body), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.ListArray.from_arrays(pa.array(at), pa.array(bits.reshape(-1)))],
+                names=["rep", "body", "items", "bits"],
+            )
 
     return run
 
@@ -134,105 +139,107 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     with Workspace(spark, "minhash") as work:
         signed = work.table(source.mapInArrow(_signatures(width, bands, rows), f"doc_id {id_type}, n_shingles long, key1 long, key2 long, buckets array<long>"), "signed")
         real = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-        classes = real.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
-        classes = work.table(classes, "classes")
-        members = work.table(real.select("doc_id", "key1", "key2", "n_shingles").join(classes.filter("size > 1"), ["key1", "key2", "n_shingles"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "members")
-        lone = real.join(classes.select("key1", "key2", "n_shingles", F.col("rep").alias("doc_id")), ["key1", "key2", "n_shingles", "doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
-        lone = work.table(lone, "bucketed")
-        shared = lone.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("centre"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
-        rows_in = work.table(lone.join(shared.select("bucket", "centre"), "bucket"), "shared")
-        work.drop(lone, classes)
-        reps = rows_in.select("rep").distinct()
-        sets = work.table(source.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep").mapInArrow(_sets(width), f"rep {id_type}, items array<long>, bits array<long>"), "sets")
-
-        star = rows_in.filter("rep <> centre.rep").filter(_fits("n", "centre.n", percent)).groupBy(F.col("centre.rep").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("often"))
-        first = work.table(star.groupBy("b").agg(F.max_by("a", F.struct("often", "a")).alias("a")).select("a", "b"), "first")
-        links = work.table(_confirmed(first, sets, percent), "links")
-        tested, rows_in = first, rows_in.select("bucket", "rep", "n")
-        while True:
-            comps = work.table(connected_components(links, work), "components")
-            mixed = work.table(_mixed(rows_in, comps), "mixed")
-            rows_in = mixed.select("bucket", "rep", "n")  # a bucket within one component stays so
-            room = work.table(_room(mixed, sets, percent), "room")
-            again = work.table(_best_stars(mixed, room, percent).join(tested, ["a", "b"], "left_anti"), "again")
-            new = work.table(_confirmed(again, sets, percent), "new")
-            if new.isEmpty():
-                break
-            links = work.table(links.unionByName(new), "links")
-            tested = work.table(tested.unionByName(again), "tested")
-        pairs = work.table(_viable(mixed, room, percent).join(tested.unionByName(again), ["a", "b"], "left_anti"), "pairs")
-        links = work.table(links.unionByName(_confirmed(pairs, sets, percent)), "links")
-        work.drop(sets)
+        same = ["key1", "key2", "n_shingles"]
+        classes = work.table(real.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("buckets").alias("buckets")), "classes")
+        members = real.select("doc_id", *same).join(classes.filter("size > 1").select("rep", *same), same).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+        lone = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
+        shared = lone.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("bucket")
+        met = work.table(lone.join(shared, "bucket"), "met")
+        reps = met.select(F.col("rep").alias("doc_id")).distinct()
+        sets = source.join(reps, "doc_id").withColumnRenamed("doc_id", "rep").mapInArrow(_sets(width), f"rep {id_type}, body long, items array<long>, bits array<long>")
+        sets = work.table(sets, "sets")
+        room = work.table(_room(sets, percent), "room")
+
+        stars = work.table(_stars(met.join(room.drop("body", "bits"), ["rep", "n"])), "stars")
+        likely = _alike(stars.select("a", "b"), room, percent)
+        links = work.table(_confirmed(likely, sets, percent), "links")
+        rare = work.table(_rare_items(sets, _labelled(room, stars, links), percent), "rare")
+        pairs = work.table(_by_rare_items(rare, percent), "pairs")
+        links = links.unionByName(_confirmed(pairs, sets, percent))
         final = connected_components(links.unionByName(members), work).withColumnRenamed("node", "doc_id")
         out = signed.select("doc_id", "n_shingles").join(final, "doc_id", "left")
         out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         return work.keep(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
-def _fits(n: str, m: str, percent: int) -> str:
-    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
+def _room(sets: DataFrame, percent: int) -> DataFrame:
+    """rep, body, n, own, bits, least, most: the shingles that no other set has, and the sizes a partner can have.
 
+    With ``c = n - own`` shingles left to share, 100 * i >= p * (n + m - i) needs m <= (100 + p) / p * c - n. Sets
+    without room for any partner are absent.
+    """
+    items = sets.select("rep", "body", F.explode("items").alias("item"))
+    own = items.groupBy("item").agg(F.count(F.lit(1)).alias("holders"), F.min(F.struct("rep", "body")).alias("of")).filter("holders = 1").groupBy("of.rep", "of.body").agg(F.count(F.lit(1)).alias("own"))
+    room = sets.select("rep", "body", F.size("items").cast("long").alias("n"), "bits").join(own, ["rep", "body"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    most = f"least(({100 + percent} * (n - own)) div {percent} - n, (100 * n) div {percent})"
+    return room.select("rep", "body", "n", "own", "bits", F.expr(f"({percent} * n + 99) div 100").alias("least"), F.expr(most).alias("most")).filter("most >= least")
 
-def _labelled(rows: DataFrame, comps: DataFrame, node: str, label: str) -> DataFrame:
-    named = comps.select(F.col("node").alias(node), F.col("component").alias(label))
-    return rows.join(named, node, "left").withColumn(label, F.coalesce(label, node))
 
+def _stars(rows: DataFrame) -> DataFrame:
+    """a, b, part: each member b of a bucket with its centre a, where the sizes leave both room for each other.
 
-def _mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows of buckets that hold several components; in_largest: those of the component with most members there."""
-    named = _labelled(rows, comps, "rep", "component")
-    groups = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-    whole = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("size", "component")).alias("largest")).filter("components > 1")
-    return named.join(whole, "bucket").select("bucket", "rep", "n", "component", (F.col("component") == F.col("largest.component")).alias("in_largest"))
+    The centre is the member with the smallest part of its own: of a group of reworked copies the one nearest to what
+    they were made from.
+    """
+    centre = F.min(F.struct((F.col("own") / F.col("n")).alias("part"), "rep", "n", "least", "most")).alias("c")
+    near = rows.join(rows.groupBy("bucket").agg(centre), "bucket").filter("rep <> c.rep AND n BETWEEN c.least AND c.most AND c.n BETWEEN least AND most")
+    return near.groupBy(F.col("c.rep").alias("a"), F.col("rep").alias("b")).agg(F.min("c.part").alias("part"))
 
 
-def _room(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """rep, own, bits, least, most: shingles that no other member of a mixed bucket has, and the sizes a partner can have.
+def _labelled(room: DataFrame, stars: DataFrame, links: DataFrame) -> DataFrame:
+    """room with label: a number for a member's best confirmed centre, or for itself; members of one label are connected.
 
-    With ``c = n - own`` shingles left to share, 100 * i >= p * (n + m - i) needs m <= (100 + p) / p * c - n. Members
-    without room for any partner are absent.
+    Its upper bits grow with the centre's part of its own, so that the smallest of several labels is a popular one.
     """
-    members = mixed.select("rep", "n").distinct()
-    items = sets.join(members, "rep").select("rep", F.explode("items").alias("item"))
-    own = items.groupBy("item").agg(F.count(F.lit(1)).alias("holders"), F.min("rep").alias("rep")).filter("holders = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-    room = members.join(own, "rep", "left").join(sets.select("rep", "bits"), "rep").withColumn("own", F.coalesce("own", F.lit(0)))
-    most = f"least(({100 + percent} * (n - own)) div {percent} - n, (100 * n) div {percent})"
-    return room.select("rep", "own", "bits", F.expr(f"({percent} * n + 99) div 100").alias("least"), F.expr(most).alias("most")).filter("most >= least")
+    best = stars.join(links, ["a", "b"]).groupBy(F.col("b").alias("rep")).agg(F.min(F.struct("part", F.col("a").alias("rep"))).alias("centre"))
+    centre = F.coalesce("centre", F.struct((F.col("own") / F.col("n")).alias("part"), "rep"))
+    label = F.shiftleft((centre.part * 8191).cast("long"), 50).bitwiseOR(F.shiftrightunsigned(F.xxhash64(centre.rep), 14))
+    return room.join(best, "rep", "left").withColumn("label", label).drop("centre")
+
+
+def _maps_agree(percent: int) -> Column:
+    apart = sum((F.bit_count(F.get("x_bits", F.lit(i)).bitwiseXOR(F.get("y_bits", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    return apart * (100 + percent) <= (100 - percent) * (F.col("x_n") + F.col("y_n"))
 
 
-def _near(x: str, xn: str, y: str, yn: str, percent: int) -> Column:
-    """Whether the parity maps let two sets be similar enough: where they differ, the sets differ.
+def _alike(pairs: DataFrame, room: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose parity maps let the sets be similar enough: where the maps differ, the sets differ.
 
     Of two sets at 100 * i >= p * u at most (100 - p) / (100 + p) of the sum of their sizes are in one of them only.
     """
-    apart = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
-    return apart * (100 + percent) <= (100 - percent) * (F.col(xn) + F.col(yn))
+    side = lambda node, s: room.select(F.col("rep").alias(node), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits"))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(_maps_agree(percent)).select("a", "b")
 
 
-def _best_stars(mixed: DataFrame, room: DataFrame, percent: int) -> DataFrame:
-    """One pair for each member of a mixed bucket: with the member that has the least of its own, of all its buckets.
+def _rare_items(sets: DataFrame, room: DataFrame, percent: int) -> DataFrame:
+    """rep, label, n, least, most, bits, item, indexed, main: the rarest shingles of each set, among those of several labels.
 
-    Of a group of reworked copies that is the one nearest to what they were made from.
+    Two sets of sizes m <= n at similarity p share at least p * n and 2p / (1 + p) * m shingles (p as a part). In one
+    order of all shingles, here from rare to frequent, the first n - p * n + 1 of the larger and the first
+    m - 2p / (1 + p) * m + 1 of the smaller (indexed) therefore have one in common. main is one label of the
+    shingle's, that of the most popular centre.
     """
-    rows = mixed.join(room, "rep")
-    centres = rows.groupBy("bucket").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("part"), "rep", "n", "component", "least", "most", "bits")).alias("c"))
-    met = rows.join(centres, "bucket").filter("component <> c.component AND n BETWEEN c.least AND c.most AND c.n BETWEEN least AND most").filter(_near("bits", "n", "c.bits", "c.n", percent))
-    best = met.groupBy("rep").agg(F.min(F.struct("c.part", "c.rep")).alias("c"))
-    return best.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+    room = room.select("rep", "body", "n", "least", "most", "bits", "label")
+    items = sets.join(room.select("rep", "body", "label"), ["rep", "body"]).select("body", "label", F.explode("items").alias("item"))
+    held = items.groupBy("item").agg(F.count(F.lit(1)).cast("int").alias("holders"), F.min("label").alias("main"), F.max("label").alias("hi")).filter("main <> hi").drop("hi")
+    # what sets of one label hold comes before all others in the order, but can be in no pair: it counts without being listed
+    shared = items.select("item", "body").join(held, "item").groupBy("body").agg(F.array_sort(F.collect_list(F.struct("holders", "item", "main"))).alias("items"))
+    alone = room.join(shared, "body").withColumn("alone", F.col("n") - F.size("items"))
+    probe, index = f"n - ({percent} * n + 99) div 100 + 1 - alone", f"n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1 - alone"
+    first = alone.filter(f"{probe} > 0").select("rep", "label", "n", "least", "most", "bits", F.explode(F.expr(f"transform(slice(items, 1, int({probe})), (x, i) -> struct(x.item AS item, i < {index} AS indexed, x.main AS main))")).alias("x"))
+    return first.select("rep", "label", "n", "least", "most", "bits", "x.*")
 
 
-def _viable(mixed: DataFrame, room: DataFrame, percent: int) -> DataFrame:
-    """All pairs a < b of a mixed bucket, across components, that leave both room for each other.
+def _by_rare_items(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of different labels that share a rare shingle; each shingle's main label is met by the others only.
 
-    The sizes are met inside the join, whose key holds their class: a copy with many changes of its own finds no
-    partner and is compared with none, however large its group.
+    Sizes and parity maps are compared inside the join, so that it gives out next to nothing but links.
     """
-    rows = mixed.join(room, "rep")
-    size_class = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1))) * CLASSES).cast("int")
-    left = rows.filter("NOT in_largest").select("bucket", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"), F.col("least").alias("xl"), F.col("most").alias("xm"), F.col("bits").alias("xb"), F.explode(F.sequence(size_class("least"), size_class("most"))).alias("class"))
-    right = rows.select("bucket", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), F.col("least").alias("yl"), F.col("most").alias("ym"), F.col("bits").alias("yb"), size_class("n").alias("class"))
-    pairs = left.join(right, ["bucket", "class"]).filter("xc <> yc AND yn BETWEEN xl AND xm AND xn BETWEEN yl AND ym").filter(_near("xb", "xn", "yb", "yn", percent))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda rows, s: rows.select("item", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "label", "n", "least", "most", "indexed", "bits")))
+    left, right = side(rare.filter("label <> main"), "x"), side(rare, "y")
+    fits = "x_label <> y_label AND x_n BETWEEN y_least AND y_most AND y_n BETWEEN x_least AND x_most"
+    pairs = left.join(right, "item").filter(F.expr(f"{fits} AND ((y_indexed AND y_n <= x_n) OR (x_indexed AND x_n <= y_n))") & _maps_agree(percent))
+    return pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
