@@ -10,6 +10,7 @@ tokens, which is cut every ``length`` tokens: all sequences are full but the las
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -23,21 +24,77 @@ from pyspark.sql import functions as F
 from raretide.llm import kernels as K
 from raretide.llm.workspace import Workspace
 
+U = np.uint64
 #: Rounds whose tokens are summed up as one block in the prefix sum over rounds.
 BLOCK = 65536
-#: Entries after which a worker's memo of encoded words starts anew.
-MEMO = 1_000_000
+#: Entries after which a worker's memo of encoded units starts anew.
+MEMO = 2_000_000
 #: Letters (bytes above ASCII are looked at again), then symbols; an apostrophe may bind letters to the tokenizer.
 LETTERS_SYMBOLS = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+LETTER, SYMBOL = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+SYMBOL[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
+
+class Memo:
+    """Token ids of units of text, by two independent 64-bit hashes of a unit: an open-addressing table in arrays."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.count = bits, 0
+        self.key = np.zeros((2, 1 << bits), U)
+        self.entry = np.full(1 << bits, -1, np.int32)
+        self.first, self.size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
+        self.ids, self.used = np.zeros(1 << bits, np.uint32), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each pair of hashes (2 x n), -1 where there is none."""
+        out = np.full(h.shape[1], -1, np.int32)
+        slot, left = (h[0] >> U(64 - self.bits)).astype(np.int64), np.arange(h.shape[1])
+        while len(left):
+            e = self.entry[slot]
+            hit = (self.key[0, slot] == h[0, left]) & (self.key[1, slot] == h[1, left]) & (e >= 0)
+            out[left[hit]] = e[hit]
+            on = ~hit & (e >= 0)
+            left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def _place(self, h: np.ndarray, entry: np.ndarray) -> None:
+        slot, left = (h[0] >> U(64 - self.bits)).astype(np.int64), np.arange(h.shape[1])
+        while len(left):
+            free = np.flatnonzero(self.entry[slot] < 0)
+            at, who = np.unique(slot[free], return_index=True)
+            taken = left[free[who]]
+            self.key[:, at], self.entry[at] = h[:, taken], entry[taken]
+            on = np.ones(len(left), bool)
+            on[free[who]] = False
+            left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+
+    def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
+        """New, distinct pairs of hashes and the ids of each."""
+        n = self.count + len(ids)
+        if 2 * n > 1 << self.bits:
+            live = np.flatnonzero(self.entry >= 0)
+            key, entry = self.key[:, live], self.entry[live]
+            self.bits = max(self.bits + 1, (2 * n).bit_length())
+            self.key, self.entry = np.zeros((2, 1 << self.bits), U), np.full(1 << self.bits, -1, np.int32)
+            self._place(key, entry)
+            self.first, self.size = np.resize(self.first, 1 << self.bits), np.resize(self.size, 1 << self.bits)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (self.used + len(flat)))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.first[self.count : n], self.size[self.count : n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self._place(h, np.arange(self.count, n, dtype=np.int32))
+        self.count, self.used = n, self.used + len(flat)
 
 
 class Encoder:
-    """Token ids of whole texts, as little-endian 32-bit bytes; equal to encoding the text at once.
+    """Token ids of whole texts; equal to encoding each text at once.
 
-    The tokenizer drops white space and never joins over it, so texts are encoded by their ASCII-space-free chunks,
-    and each chunk once. A chunk of letters is one word to the tokenizer, whose last token is marked as its end:
-    many of them are encoded as one string and parted at those marks. Symbols that follow are a word of their own, and
-    ASCII letters are folded by the tokenizer, so such chunks share the entries of their folded letters and symbols.
+    The tokenizer drops white space and never joins over it, so texts are encoded by their ASCII-space-free chunks. It
+    folds ASCII letters, takes a run of them as one word, and symbols that follow as words of their own: such a chunk
+    is two units, its folded letters and its symbols, any other chunk is one. Each different unit is encoded once.
     """
 
     _kept: dict[str, Encoder] = {}
@@ -51,7 +108,8 @@ class Encoder:
         self.narrow = max(vocabulary.values()) < 1 << 16
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = Memo()
+        self.parts: dict[bytes, list[int]] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -60,68 +118,84 @@ class Encoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def _single(self, chunks: list[bytes]) -> list[bytes]:
-        return [np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, "<u4").tobytes() for c in chunks]
+    def _single(self, chunks: list[bytes]) -> list[list[int]]:
+        return [self.tokenizer.encode(c.decode(), add_special_tokens=False).ids for c in chunks]
 
-    def _letters(self, chunks: list[bytes]) -> list[bytes]:
+    def _letters(self, chunks: list[bytes]) -> list[list[int]]:
+        """Words of letters: encoded as one string, and parted at the tokens that end a word."""
         out = []
         for at in range(0, len(chunks), 1000):
             some = chunks[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.closing[ids]) + 1
+            ids = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids
+            ends = (np.flatnonzero(self.closing[ids]) + 1).tolist()
             if len(ends) != len(some) or ends[-1] != len(ids):
                 out += self._single(some)
-                continue
-            raw, ends = ids.tobytes(), (ends * 4).tolist()
-            out += [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+            else:
+                out += [ids[i:j] for i, j in zip([0, *ends], ends, strict=False)]
         return out
 
-    def _plain(self, words: list[bytes]) -> list[bytes]:
+    def _plain(self, words: list[bytes]) -> list[list[int]]:
         """Folded ASCII letters: one word each, which the tokenizer's model takes as it is."""
-        tokenize, ids, ends = self.tokenizer.model.tokenize, [], [0]
-        for w in words:
-            ids += [t.id for t in tokenize(w.decode())]
-            ends.append(4 * len(ids))
-        raw = np.array(ids, "<u4").tobytes()
-        return [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        memo, parts, letters, rest = self.memo, [], set(), set()
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(w.decode())] for w in words]
+
+    def _other(self, chunks: list[bytes]) -> list[list[int]]:
+        """Chunks that are not plain letters; letters beyond ASCII and the symbols after them are encoded apart."""
+        if len(self.parts) > MEMO // 4:
+            self.parts.clear()
+        cut, letters, rest = [], set(), set()
         for c in chunks:
             found = LETTERS_SYMBOLS(c)
-            if found:
-                stem, end = found.groups()
-                if stem.isascii():
-                    stem = stem.lower()
-                elif not stem.decode().isalpha():
-                    rest.add(c)
-                    continue
+            stem, end = found.groups() if found and found[1].decode().isalpha() else (b"", c)
+            cut.append((stem, end))
+            if stem and stem not in self.parts:
                 letters.add(stem)
-                if end:
-                    rest.add(end)
-                parts.append((c, stem, end))
-            else:
-                rest.add(c)
-        new = [x for x in letters if x not in memo]
-        plain, other = [x for x in new if x.isascii()], [x for x in new if not x.isascii()]
-        memo.update(zip(plain, self._plain(plain), strict=True))
-        memo.update(zip(other, self._letters(other), strict=True))
-        new = [x for x in rest if x not in memo]
-        memo.update(zip(new, self._single(new), strict=True))
-        for c, stem, end in parts:
-            memo[c] = memo[stem] + memo[end] if end else memo[stem]
-
-    def __call__(self, texts: pa.Array) -> list[bytes]:
-        raw, offsets = K.buffers(texts)
-        raw, ends = raw.tobytes(), offsets.tolist()
-        split = [raw[i:j].split() for i, j in zip(ends, ends[1:], strict=False)]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = set().union(*split).difference(self.memo)
-        if new:
-            self._learn(new)
-        memo = self.memo
-        return [b"".join([memo[w] for w in words]) for words in split]
+            if end and end not in self.parts:
+                rest.add(end)
+        self.parts.update(zip(letters, self._letters(list(letters)), strict=True))
+        self.parts.update(zip(rest, self._single(list(rest)), strict=True))
+        return [(self.parts[stem] if stem else []) + (self.parts[end] if end else []) for stem, end in cut]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the end of each text's."""
+        words = K.Words(texts, K.SPACES, K.SAME)
+        raw, start, end = words.bytes, words.start, words.start + words.size
+        other = np.flatnonzero(~LETTER[raw])  # bytes
+        stem = np.minimum(np.r_[other, len(raw)][np.searchsorted(other, start)], end)
+        odd = np.r_[0, np.cumsum(~SYMBOL[raw])]
+        plain = (stem > start) & (odd[end] == odd[stem])
+        two = plain & (stem < end)
+        # units: the letters of a plain chunk and its symbols; any other chunk as it is
+        at = np.repeat(np.arange(len(start)), 1 + two)
+        second = np.r_[False, at[1:] == at[:-1]]
+        low = np.where(second, stem[at], start[at])
+        high = np.where(plain[at] & ~second, stem[at], end[at])
+        letters = plain[at] & ~second
+        inside = np.zeros(len(raw) + 1, np.int8)
+        inside[low[letters]] += 1  # no two begin or end at one place
+        inside[high[letters]] -= 1
+        words.bytes = np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, K.LOWER[raw], raw)
+        words.start, words.size = low, high - low
+        h = np.stack([words.hashes(0), words.hashes(1)])
+        if self.memo.count > MEMO:
+            self.memo = Memo()
+        entry = self.memo.find(h)
+        while len(new := np.flatnonzero(entry < 0)):
+            _, one = np.unique(h[0, new], return_index=True)
+            new = new[one]
+            data, ends = words.bytes.tobytes(), high[new].tolist()
+            units = [data[i:j] for i, j in zip(low[new].tolist(), ends, strict=True)]
+            plain_one = letters[new]
+            for mine, learn in ((plain_one, self._plain), (~plain_one, self._other)):
+                which = np.flatnonzero(mine)
+                if len(which):
+                    self.memo.add(h[:, new[which]], learn([units[i] for i in which.tolist()]))
+            entry[entry < 0] = self.memo.find(h[:, entry < 0])
+        n = self.memo.size[entry].astype(np.int64)
+        ends = np.cumsum(n)
+        ids = self.memo.ids[np.repeat(self.memo.first[entry] - ends + n, n) + np.arange(int(n.sum()))]
+        chunks = np.searchsorted(at, words.first[1:])  # units before the end of each text
+        return ids, np.r_[0, ends][chunks]
 
 
 def _tokens(path: str, end_id: int):
@@ -129,12 +203,15 @@ def _tokens(path: str, end_id: int):
         from pyspark import TaskContext
 
         part, row, encode = TaskContext.get().partitionId(), 0, Encoder.of(path)
-        end = np.array([end_id], "<u4").tobytes()
+        width = np.dtype("<u2" if encode.narrow else "<u4")
         for b in K.pieces(batches, "text", 1 << 19):
-            ids = [x + end for x in encode(b.column("text"))]
-            n = len(ids)
+            ids, ends = encode(b.column("text"))
+            n = len(ends)
+            whole = np.insert(ids, ends, end_id).astype(width)
+            offsets = np.r_[0, ends + np.arange(1, n + 1)]
+            packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((offsets * width.itemsize).astype(np.int32).tobytes()), pa.py_buffer(whole.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n, dtype=np.int64)), b.column("doc_id"), b.column("source"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() if encode.narrow else x for x in ids], pa.binary())],
+                [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n, dtype=np.int64)), b.column("doc_id"), b.column("source"), pa.array(np.diff(offsets)), packed],
                 names=["part", "row", "doc_id", "source", "doc_tokens", "ids"],
             )
             row += n

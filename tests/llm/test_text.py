@@ -56,11 +56,13 @@ def test_classifiers_on_odd_tables(spark, odd, odd_rows, nothing, labels, operat
     assert operator(odd, none).count() == len(odd_rows)
     if operator is score_toxicity:
         assert {x.predicted for x in operator(odd, none).collect()} == {0}
-        by_text = collections.defaultdict(set)  # neither language, source nor identifier enters the score
-        other = odd.withColumn("lang", F.lit("xx")).withColumn("source", F.lit("y")).withColumn("doc_id", F.lit(77).cast("long"))
-        model = score_toxicity(odd, labels).select("score").collect()
-        assert len(model) == other.count()
-        del by_text
+        # neither language, source, length column nor identifier enters a score
+        score = F.round("score", 9).alias("score")
+        known = score_toxicity(odd.filter("doc_id IS NOT NULL"), labels).select(score).collect()
+        masked = odd.filter("doc_id IS NOT NULL").withColumns({"lang": F.lit("xx"), "source": F.lit("y"), "n_chars": F.lit(1).cast("long")})
+        assert sorted(score_toxicity(masked, labels).select(score).collect()) == sorted(known)
+        texts = spark.createDataFrame([(i, "the same text of some words") for i in (1, 5, 77, 10**12)], "doc_id long, text string")
+        assert len({x.score for x in score_toxicity(odd.unionByName(texts, allowMissingColumns=True), labels).filter(F.col("doc_id").isin(77, 10**12)).collect()}) == 1
 
 
 def test_quality_orders_grades(spark):
@@ -116,6 +118,40 @@ def test_licenses(spark, odd, odd_rows, nothing):
     assert len(licenses.rules()) >= 300
 
 
+#: Notices as they stand in real files, with the labels that a reader would give them (others may be found as well).
+NOTICES = (
+    ("Licensed under the MIT License.", "mit"), ("Distributed under the Expat License", "mit"), ("XFree86 License", "x11"), ("PNG Reference Library License version 2", "libpng-2.0"),
+    ("Apache License v2.0", "apache-2.0"), ("Apache License, Version 2.0", "apache-2.0"), ("Apache 2.0", "apache-2.0"), ("Apache-2.0", "apache-2.0"), ("ASL 2.0", "apache-2.0"), ("Apache Software License 1.1", "apache-1.1"),
+    ("GNU General Public License v3.0", "gpl-3.0"), ("GNU General Public License, version 2", "gpl-2.0"), ("GPLv3", "gpl-3.0"), ("GPL v2", "gpl-2.0"), ("GPL-3.0-or-later", "gpl-3.0"), ("GPL2", "gpl-2.0"), ("GNU GPL version 3", "gpl-3.0"),
+    ("GNU LGPL version 2.1", "lgpl-2.1"), ("LGPLv3", "lgpl-3.0"), ("GNU Lesser General Public License v2.1", "lgpl-2.1"), ("AGPLv3", "agpl-3.0"), ("GNU Affero General Public License v3.0", "agpl-3.0"),
+    ("under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option)", "gpl-2.0"),
+    ("BSD 3-Clause License", "bsd-3-clause"), ("BSD-2-Clause", "bsd-2-clause"), ("the New BSD license", "bsd-3-clause"), ("Simplified BSD License", "bsd-2-clause"), ("BSD-style license", "bsd"), ("0-clause BSD License", "0bsd"),
+    ("Mozilla Public License v2.0", "mpl-2.0"), ("MPL 2.0", "mpl-2.0"), ("MPLv2", "mpl-2.0"), ("Mozilla Public License Version 1.1", "mpl-1.1"), ("Eclipse Public License - v 1.0", "epl-1.0"), ("EPL-2.0", "epl-2.0"),
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "mit"), ("SPDX-License-Identifier: (Apache-2.0 OR MIT)", "mit"), ("SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2.0"), ("SPDX-License-Identifier: ISC", "isc"), ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR MIT", "mit"),
+    ("COMMON DEVELOPMENT AND DISTRIBUTION LICENSE Version 1.0", "cddl-1.0"), ("European Union Public Licence v1.2", "eupl-1.2"), ("Boost Software License - Version 1.0", "bsl-1.0"), ("Zlib License", "zlib"), ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("CC BY-SA 4.0", "cc-by-sa-4.0"), ("https://creativecommons.org/licenses/by/4.0/", "cc-by-4.0"), ("Creative Commons Attribution-NonCommercial 4.0", "cc-by-nc-4.0"), ("CC0 1.0 Universal", "cc0-1.0"), ("Creative Commons Zero v1.0", "cc0-1.0"),
+    ("Python Software Foundation License", "python-2.0"), ("PostgreSQL License", "postgresql"), ("SIL Open Font License 1.1", "ofl-1.1"), ("Business Source License 1.1", "bsl-1.1"), ("Server Side Public License, v 1", "sspl-1.0"), ("Elastic License 2.0", "elastic-2.0"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"), ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"),
+    ("Neither the name of X nor its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-3-clause"),
+    ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "wtfpl"), ("The Software shall be used for Good, not Evil.", "jsonlicense"), ("same terms as Perl itself", "perl"), ("All rights reserved.", "all-rights-reserved"), ("for non-commercial use only", "non-commercial"),
+    ("https://www.apache.org/licenses/LICENSE-2.0", "apache-2.0"), ("https://www.gnu.org/licenses/gpl-3.0.html", "gpl-3.0"), ("http://mozilla.org/MPL/2.0/", "mpl-2.0"), ("dedicated to the public domain", "public-domain"), ("Open Database License v1.0", "odbl-1.0"),
+)
+
+
+def test_license_notices(spark):
+    rows = [(k, f"Some file. {text} Then more of it.", "en", "s") for k, (text, _) in enumerate(NOTICES)]
+    rows += [(1000 + k, t, "en", "s") for k, t in enumerate(("A permit was granted by the city.", "The license plate of the car", "an open public meeting on common ground", "version 2 of the plan", "the apache people"))]
+    got = {x.doc_id: set(x.labels.split(",")) for x in licenses.scan_licenses(table(spark, rows)).collect()}
+    assert not [(text, label, got[k]) for k, (text, label) in enumerate(NOTICES) if label not in got[k]]
+    assert all(got[k] == {""} for k in got if k >= 1000)
+
+
+def test_license_gates():
+    """Every match of a rule contains its keyword: it stands as a word of its own that nothing makes optional."""
+    for _, label, keyword, pattern, *_ in licenses.rules():
+        assert keyword in re.findall(r"\(\?:(?:[^()]|\([^()]*\))*\)\??| [^ ()]+ ", pattern), (label, keyword)
+
+
 def test_language(spark, odd, odd_rows, nothing, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(docs, declared=F.col("lang"), host=F.col("source")).join(docs.select("doc_id", F.col("lang").alias("truth")), "doc_id").collect()
@@ -146,9 +182,11 @@ def test_encoder_equals_the_tokenizer():
     tokenizer = Tokenizer.from_file(TOKENIZER)
     bits = ["word", "Word.", "don't", "it's", "a'b'c", "naïve", "été", "ÅNGSTRÖM,", "12ab34", "<|endoftext|>", "x<|endoftext|>y", "--", "漢字。", "ΑΣ", "İstanbul", " nbsp", "a b", "#tag!!", "''", "'S", "ab's", "🙂🙂", "é", "ﬁ", "́x", "ab.'s"]
     texts = [" ".join(r.choice(bits) for _ in range(r.randrange(30))) for _ in range(300)] + [None, "", " \t\n", "".join(bits)]
-    got = packing.Encoder(TOKENIZER)(pa.array(texts))
-    for t, g in zip(texts, got, strict=True):
-        assert np.frombuffer(g, "<u4").tolist() == _tokens(tokenizer, t)[:-1].tolist(), t
+    encode = packing.Encoder(TOKENIZER)
+    for some in (texts, texts[:20], ["q" * 70 + str(i) + "z" * 3 for i in range(40000)], [], [None], ["A" * 5000 + "!" * 300]):
+        ids, ends = encode(pa.array(some, pa.string()))
+        for t, i, j in zip(some, [0, *ends], ends, strict=False):
+            assert ids[i:j].tolist() == _tokens(tokenizer, t)[:-1].tolist(), t
 
 
 def _check_packing(rows, out, length=2048):
