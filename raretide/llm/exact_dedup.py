@@ -8,6 +8,8 @@ keeper's by the one the state retained, and rows whose bytes differ in spite of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,9 +26,13 @@ STATE = {
 ROWS_PER_SALT = 500
 
 
-def _located(df: DataFrame, id_col: str, text: Column) -> DataFrame:
+def _sha256(body: Column) -> Column:
+    return F.sha2(body, 256)
+
+
+def _located(df: DataFrame, id_col: str, text: Column, digest: Callable[[Column], Column]) -> DataFrame:
     body = F.coalesce(text, F.lit(""))
-    return df.select(F.struct(F.col(id_col).alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("me"), F.sha2(body, 256).alias("digest"), body.alias("body"))
+    return df.select(F.struct(F.col(id_col).alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("me"), digest(body).alias("digest"), body.alias("body"))
 
 
 def _streamable(spark: SparkSession, path: str) -> str:
@@ -37,17 +43,17 @@ def _streamable(spark: SparkSession, path: str) -> str:
     return path
 
 
-def _stream_state(spark: SparkSession, path: str, schema: T.StructType, id_col: str, text: Column, work: Workspace, trigger: dict[str, str]) -> DataFrame:
-    """Run the stream over the files of path to its end; return the last state of each digest."""
-    out, before = work.path("state-updates"), {k: spark.conf.get(k, None) for k in STATE}
+def _stream_state(spark: SparkSession, path: str, schema: T.StructType, id_col: str, text: Column, folder: str, trigger: dict[str, str], digest: Callable[[Column], Column]) -> DataFrame:
+    """Run the stream over the files of path that folder's state has not met; return the last state of each digest."""
+    out, before = f"{folder}/updates", {k: spark.conf.get(k, None) for k in STATE}
     for k, v in STATE.items():
         spark.conf.set(k, v)
     try:
-        rows = _located(spark.readStream.schema(schema).options(**trigger).parquet(_streamable(spark, path)), id_col, text)
+        rows = _located(spark.readStream.schema(schema).options(**trigger).parquet(_streamable(spark, path)), id_col, text, digest)
         state = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("me").alias("keeper"))
         query = (
             state.writeStream.outputMode("update")
-            .option("checkpointLocation", work.path("stream"))
+            .option("checkpointLocation", f"{folder}/stream")
             .foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{out}/batch={k}"))
             .trigger(availableNow=True)
             .start()
@@ -67,20 +73,24 @@ def _stream_state(spark: SparkSession, path: str, schema: T.StructType, id_col:
     return updates.groupBy("digest").agg(F.max("n").alias("n"), F.max("keeper").alias("keeper"))  # both only grow
 
 
-def exact_dedup(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_col: str = "text", normalise=None, trigger: dict[str, str] | None = None) -> DataFrame:
+def exact_dedup(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_col: str = "text", normalise=None, trigger: dict[str, str] | None = None, state: str | None = None, digest: Callable[[Column], Column] = _sha256) -> DataFrame:
     """One row per row of the Parquet table at ``path``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when ``normalise(text)`` (default: the text itself) is identical; null counts as empty. The row
     with the largest identifier stays; rows that repeat an identifier are told apart by file and row index, so that
     exactly one row of a group is kept. A null identifier is the smallest. An empty table gives an empty result.
     Further columns, whatever their names, are not read. ``trigger``: file-source options that size a micro-batch.
+    ``state``: a shared folder that keeps the keyed state, so that a later call over the grown table reads the state of
+    all earlier files and only streams the new ones; by default it lives as long as the call. Files are never changed
+    once they are there. ``digest`` names a text; unequal texts of one digest are told apart by their bytes.
     """
     source = spark.read.parquet(path)
     schema = T.StructType([source.schema[id_col], source.schema[text_col]])
     text = (normalise or (lambda c: c))(F.col(text_col))
     with Workspace(spark, "exact-dedup") as work:
-        state = work.table(_stream_state(spark, path, schema, id_col, text, work, trigger or {"maxBytesPerTrigger": str(64 << 30)}), "state")
-        rows = _located(spark.read.schema(schema).parquet(path), id_col, text)
+        folder = state.rstrip("/") if state else work.path("state")
+        state = work.table(_stream_state(spark, path, schema, id_col, text, folder, trigger or {"maxBytesPerTrigger": str(64 << 30)}, digest), "known")
+        rows = _located(spark.read.schema(schema).parquet(path), id_col, text, digest)
         known = work.keep(rows.select("me", "digest").join(state, "digest"))
         odd = work.table(_differing(rows, known), "differing")
         if not odd.isEmpty():  # equal digests of different bytes: regroup those digests by the bytes themselves

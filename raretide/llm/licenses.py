@@ -23,9 +23,11 @@ LICENCES = (
     ("apache-1.0", "apache", "apache software? license v|version? 1 0", "apache 1 0", "apache org licenses license 1 0"),
     ("apache-1.1", "apache", "apache software? license v|version? 1 1", "apache 1 1", "apache org licenses license 1 1"),
     ("apache-2.0", "apache", "apache software? license v|version? 2 0?", "apache 2 0", "apache org licenses license 2 0"),
-    ("mit", "mit", "mit|expat license", "mit", "opensource org licenses|license mit"),
+    ("mit", "mit", "mit license", "mit", "opensource org licenses|license mit"),
+    ("mit", "expat", "expat license|licence", "", ""),
     ("mit-0", "mit", "mit no attribution license?", "mit 0", ""),
-    ("x11", "x11", "x11|xfree86 license", "x11", ""),
+    ("x11", "x11", "x11 license", "x11", ""),
+    ("x11", "xfree86", "xfree86 license", "", ""),
     ("isc", "isc", "isc license", "isc", "opensource org licenses|license isc"),
     ("0bsd", "bsd", "zero|0 clause bsd license?", "0bsd", "opensource org licenses|license 0bsd"),
     ("bsd-2-clause", "bsd", "simplified|freebsd|2|two clause? bsd license?", "bsd 2 clause", "opensource org licenses|license bsd 2 clause"),
@@ -60,7 +62,8 @@ LICENCES = (
     ("artistic-1.0", "artistic", "artistic license v|version? 1 0", "artistic 1 0", ""),
     ("artistic-2.0", "artistic", "artistic license v|version? 2 0", "artistic 2 0", "perlfoundation org artistic license 2 0"),
     ("zlib", "zlib", "zlib libpng? license", "zlib", "opensource org licenses|license zlib"),
-    ("libpng-2.0", "libpng", "png|libpng reference library license v|version? 2", "libpng 2 0", ""),
+    ("libpng-2.0", "png", "png reference library license v|version? 2?", "", ""),
+    ("libpng-2.0", "libpng", "libpng reference? library? license v|version? 2?", "libpng 2 0", ""),
     ("bsl-1.0", "boost", "boost software license v|version? 1 0", "bsl 1 0", "boost org license 1 0 txt"),
     ("bsl-1.1", "business", "business source license v|version? 1 1", "busl 1 1", ""),
     ("sspl-1.0", "server", "server side public license v|version? 1?", "sspl 1 0", ""),
@@ -115,10 +118,166 @@ WORDINGS = (
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", TITLE),
     ("no-warranty", "warranty", "without warranty of any kind", SHORT),
     ("no-warranty", "warranties", "without warranties or conditions of any kind", SHORT),
-    ("gpl", "gpl", "gpl v|version? 2|3", SHORT),
-    ("lgpl", "lgpl", "lgpl v|version? 2|3", SHORT),
-    ("agpl", "agpl", "agpl v|version? 3", SHORT),
+    ("gpl", "gpl", "gpl", SHORT),
+    ("lgpl", "lgpl", "lgpl", SHORT),
+    ("agpl", "agpl", "agpl", SHORT),
+    ("gpl-2.0", "gpl", "gnu? gpl license? v|version? 2 0?", TITLE),
+    ("gpl-3.0", "gpl", "gnu? gpl license? v|version? 3 0?", TITLE),
+    ("gpl-2.0", "gplv2", "gplv2 0?", TITLE),
+    ("gpl-3.0", "gplv3", "gplv3 0?", TITLE),
+    ("gpl-2.0", "gpl2", "gpl2", TITLE),
+    ("gpl-3.0", "gpl3", "gpl3", TITLE),
+    ("lgpl-2.1", "lgpl", "gnu? lgpl license? v|version? 2 1", TITLE),
+    ("lgpl-3.0", "lgpl", "gnu? lgpl license? v|version? 3 0?", TITLE),
+    ("lgpl-2.1", "lgplv2", "lgplv2 1", TITLE),
+    ("lgpl-3.0", "lgplv3", "lgplv3 0?", TITLE),
+    ("agpl-3.0", "agpl", "gnu? agpl license? v|version? 3 0?", TITLE),
+    ("agpl-3.0", "agplv3", "agplv3 0?", TITLE),
+    ("gpl-2.0", "either", "general public license as published by the free software foundation either version 2 of the license or", NOTICE),
+    ("gpl-3.0", "either", "general public license as published by the free software foundation either version 3 of the license or", NOTICE),
+    ("gpl-2.0", "published", "general public license version 2 as published by the free software foundation", NOTICE),
+    ("gpl-3.0", "published", "general public license version 3 as published by the free software foundation", NOTICE),
+    ("gpl-2.0", "foundation", "free software foundation version 2 of the license", NOTICE),
+    ("lgpl-2.1", "lesser", "lesser general public license as published by the free software foundation either version 2 1 of the license", NOTICE),
+    ("lgpl-3.0", "lesser", "lesser general public license as published by the free software foundation either version 3 of the license", NOTICE),
+    ("agpl-3.0", "affero", "affero general public license as published by the free software foundation either version 3 of the license", NOTICE),
+    ("gpl-linking-exception", "linking", "linking this library statically or dynamically with other modules", NOTICE),
+    ("gpl-classpath-exception", "classpath", "classpath exception", TITLE),
+    ("gcc-exception-3.1", "gcc", "gcc runtime library exception", TITLE),
+    ("llvm-exception", "llvm", "llvm exceptions|exception", TITLE),
+    ("apache-2.0", "apache", "apache v|version? 2 0", TITLE),
+    ("apache-2.0", "asl", "asl v|version? 2 0?", TITLE),
+    ("apache-2.0", "unless", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", NOTICE),
+    ("apache-2.0", "apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http|https www? apache org", NOTICE),
+    ("bsd-2-clause", "bsd", "bsd 2|two clause", TITLE),
+    ("bsd-3-clause", "bsd", "bsd 3|three clause", TITLE),
+    ("bsd-4-clause", "bsd", "bsd 4|four clause", TITLE),
+    ("bsd", "bsd", "bsd style license|licence", SHORT),
+    ("bsd", "berkeley", "berkeley software distribution license", TITLE),
+    ("bsd-3-clause", "endorse", "may be used to endorse or promote products derived from this software without specific prior written permission", NOTICE),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledgement", NOTICE),
+    ("bsd", "disclaimer", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", SHORT),
+    ("mit", "substantial", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", NOTICE),
+    ("mit", "noninfringement", "merchantability fitness for a particular purpose and noninfringement", SHORT),
+    ("mit-0", "mit", "mit 0", TITLE),
+    ("isc", "granted", "is hereby granted provided that the above copyright notice and this permission notice appear in all copies", NOTICE),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented", NOTICE),
+    ("zlib", "altered", "altered source versions must be plainly marked as such", NOTICE),
+    ("boost", "boost", "boost software license", SHORT),
+    ("bsl-1.0", "accompanying", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", NOTICE),
+    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v|version? 2 0", NOTICE),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1", NOTICE),
+    ("mpl-2.0", "mpl", "mpl v|version? 2 0", TITLE),
+    ("mpl-1.1", "mpl", "mpl v|version? 1 1", TITLE),
+    ("mpl-2.0", "mplv2", "mplv2 0?", TITLE),
+    ("mpl", "mpl", "mpl", SHORT),
+    ("epl-1.0", "epl", "epl v|version? 1 0", TITLE),
+    ("epl-2.0", "epl", "epl v|version? 2 0", TITLE),
+    ("epl-2.0", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", NOTICE),
+    ("cddl", "development", "common development and distribution license", SHORT),
+    ("cddl-1.0", "development", "common development and distribution license v|version? 1 0", TITLE),
+    ("cddl-1.1", "development", "common development and distribution license v|version? 1 1", TITLE),
+    ("eupl-1.2", "european", "european union public licence|license v|version? 1 2", TITLE),
+    ("eupl-1.1", "european", "european union public licence|license v|version? 1 1", TITLE),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", NOTICE),
+    ("unlicense", "anyone", "anyone is free to copy modify publish use compile sell or distribute this software", NOTICE),
+    ("wtfpl", "fuck", "do what the fuck you want to public license", TITLE),
+    ("cc0-1.0", "cc0", "cc0", SHORT),
+    ("cc0-1.0", "waived", "has waived all copyright and related or neighboring rights", NOTICE),
+    ("cc0-1.0", "zero", "creative commons zero v|version? 1? 0?", TITLE),
+    ("beerware", "beer", "beer ware license", TITLE),
+    ("beerware", "beerware", "beerware license?", TITLE),
+    ("jsonlicense", "evil", "the software shall be used for good not evil", NOTICE),
+    ("sspl-1.0", "sspl", "sspl", SHORT),
+    ("elastic-2.0", "elastic", "elastic license", SHORT),
+    ("elastic-2.0", "elv2", "elv2", TITLE),
+    ("bsl-1.1", "change", "change license", SHORT),
+    ("business-source", "business", "business source license", SHORT),
+    ("commons-clause", "commons", "commons clause license? condition? v|version? 1? 0?", TITLE),
+    ("polyform-noncommercial-1.0.0", "polyform", "polyform noncommercial license 1 0 0", TITLE),
+    ("polyform-small-business-1.0.0", "polyform", "polyform small business license 1 0 0", TITLE),
+    ("polyform", "polyform", "polyform", SHORT),
+    ("openrail", "openrail", "openrail", SHORT),
+    ("rail", "responsible", "responsible ai license|licenses rail?", TITLE),
+    ("llama-3", "llama", "llama 3 community license agreement?", TITLE),
+    ("llama", "llama", "meta llama license|community", SHORT),
+    ("gemma", "gemma", "gemma terms of use", TITLE),
+    ("odbl-1.0", "database", "open database license v|version? 1? 0?", TITLE),
+    ("odc-by-1.0", "odc", "odc by v|version? 1? 0?", TITLE),
+    ("pddl-1.0", "pddl", "pddl v|version? 1? 0?", TITLE),
+    ("pddl-1.0", "dedication", "public domain dedication and license", TITLE),
+    ("cdla-permissive-2.0", "cdla", "cdla permissive v|version? 2 0", TITLE),
+    ("cdla-permissive-1.0", "cdla", "cdla permissive v|version? 1 0", TITLE),
+    ("cdla-sharing-1.0", "cdla", "cdla sharing v|version? 1 0", TITLE),
+    ("ogl-uk-3.0", "government", "open government licence|license v|version? 3 0?", TITLE),
+    ("ogl-uk", "government", "open government licence|license", SHORT),
+    ("etalab-2.0", "ouverte", "licence ouverte v|version? 2 0", TITLE),
+    ("dl-de-by-2.0", "datenlizenz", "datenlizenz deutschland namensnennung v|version? 2 0", TITLE),
+    ("ofl-1.1", "ofl", "ofl v|version? 1 1", TITLE),
+    ("ofl", "font", "open font license", SHORT),
+    ("artistic", "artistic", "artistic license", SHORT),
+    ("perl", "perl", "same terms as perl itself", NOTICE),
+    ("psf-2.0", "psf", "psf license v|version? 2?", TITLE),
+    ("python", "python", "python license", SHORT),
+    ("php", "php", "php license", SHORT),
+    ("postgresql", "postgres", "postgres license", TITLE),
+    ("hpnd", "historical", "historical permission notice and disclaimer", TITLE),
+    ("curl", "curl", "curl license", TITLE),
+    ("icu", "icu", "icu license", TITLE),
+    ("unicode-dfs", "unicode", "unicode license agreement data files and software", TITLE),
+    ("unicode", "unicode", "unicode license v|version? 3?", SHORT),
+    ("bzip2-1.0.6", "bzip2", "bzip2 license v|version? 1? 0? 6?", TITLE),
+    ("ijg", "jpeg", "independent jpeg group s software", NOTICE),
+    ("ftl", "freetype", "freetype project license|licence", TITLE),
+    ("mpich2", "mpich2", "mpich2 license", TITLE),
+    ("tcl", "tcl", "tcl tk? license", TITLE),
+    ("sleepycat", "sleepycat", "sleepycat license", TITLE),
+    ("qpl-1.0", "qpl", "qpl v|version? 1 0", TITLE),
+    ("qpl-1.0", "public", "q public license v|version? 1? 0?", TITLE),
+    ("watcom-1.0", "sybase", "sybase open watcom public license", TITLE),
+    ("apsl-2.0", "apple", "apple public source license v|version? 2 0?", TITLE),
+    ("apsl", "apple", "apple public source license", SHORT),
+    ("nasa-1.3", "nasa", "nasa open source agreement v|version? 1 3", TITLE),
+    ("rpl-1.5", "reciprocal", "reciprocal public license v|version? 1 5", TITLE),
+    ("cpal-1.0", "cpal", "common? public? attribution? license? cpal v|version? 1 0", TITLE),
+    ("osl-2.1", "open", "open software license v|version? 2 1", TITLE),
+    ("afl-2.1", "academic", "academic free license v|version? 2 1", TITLE),
+    ("motosoto", "motosoto", "motosoto open source license", TITLE),
+    ("nokia", "nokia", "nokia open source license", TITLE),
+    ("intel", "intel", "intel open source license", TITLE),
+    ("lppl-1.3c", "latex", "latex project public license v|version? 1 3c?", TITLE),
+    ("lppl", "lppl", "lppl v|version? 1? 3c?", TITLE),
+    ("cern-ohl", "cern", "cern open hardware licence|license v|version? 2?", TITLE),
+    ("solderpad", "solderpad", "solderpad hardware? license v|version? 2? 1?", TITLE),
+    ("tapr-ohl", "tapr", "tapr open hardware license", TITLE),
+    ("gfdl", "gfdl", "gfdl", SHORT),
+    ("gfdl", "documentation", "gnu free documentation license", SHORT),
+    ("free-art-1.3", "art", "free art license v|version? 1? 3?", TITLE),
+    ("public-domain", "author", "the author disclaims copyright to this source code", NOTICE),
+    ("public-domain", "domain", "is in the public domain", NOTICE),
+    ("us-government-work", "government", "work of the united|u states|s government", NOTICE),
+    ("proprietary", "confidential", "confidential and proprietary", SHORT),
+    ("proprietary", "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited", NOTICE),
+    ("proprietary", "reproduced", "may not be reproduced or|and|distributed in any form without", NOTICE),
+    ("proprietary", "eula", "end user license agreement eula", TITLE),
+    ("proprietary", "user", "end user license agreement", SHORT),
+    ("non-commercial", "commercial", "for non commercial use only", NOTICE),
+    ("non-commercial", "noncommercial", "for noncommercial use only", NOTICE),
+    ("research-only", "research", "for research purposes|use only", NOTICE),
+    ("freeware", "freeware", "freeware", SHORT),
+    ("shareware", "shareware", "shareware", SHORT),
+    ("no-warranty", "warranty", "with absolutely no warranty", SHORT),
+    ("no-warranty", "warranty", "without even the implied warranty of merchantability", SHORT),
+    ("as-is", "provided", "the software is provided as is", SHORT),
+    ("copyleft", "copyleft", "copyleft", SHORT),
+    ("dual-license", "dual", "dual licensed under", SHORT),
+    ("licence-reference", "file", "see the license|licence|copying file for details|more|full|terms", SHORT),
+    ("spdx", "spdx", "spdx license identifier", SHORT),
 )
+#: Up to ten words of any kind.
+ANY_FEW = r"[^\x20]+ " + r"[^\x20]+? " * 9
+#: One-word identifiers that may follow another one and OR, AND or a slash in a tag.
+SECOND = ("mit", "isc", "zlib", "unlicense", "wtfpl", "0bsd", "ncsa", "postgresql", "openssl", "ruby", "x11")
 #: Base rules: their phrases are counted at all places.
 BASE = ("mit", "apache", "gpl")
 BASE_PHRASES = ("mit license", "apache license", "general public license")
@@ -133,8 +292,20 @@ def _unit(token: str) -> str:
 
 
 def pattern(words: str) -> str:
-    """The regular expression for a line of words over texts whose words stand between two spaces."""
-    return "".join(_unit(t) for t in words.split())
+    """The regular expression for a line of words over texts whose words stand between two spaces.
+
+    ``v|version?`` before a number n admits n, v n, version n, and the word vn.
+    """
+    tokens, out = words.split(), ""
+    for before, token in zip([""] + tokens, tokens, strict=False):
+        if token == "v|version?":
+            continue
+        if before == "v|version?":
+            number, optional = token.removesuffix("?"), "?" if token.endswith("?") else ""
+            out += f"(?:(?: v | version )? {number} | v{number} ){optional}"
+        else:
+            out += _unit(token)
+    return out
 
 
 def rules() -> list[tuple]:
@@ -161,6 +332,10 @@ def rules() -> list[tuple]:
             add(label, "cc", f"{UNDER}cc {e} {v}", NOTICE)
             add(label, "cc", f"cc {e} {v}", TITLE)
             add(label, "creative", f"creative commons {long} {v}", TITLE)
+    for label, _, _, spdx, _ in LICENCES:
+        if spdx in SECOND:
+            add(label, "spdx", f"spdx license identifier {ANY_FEW}or|and {spdx}", TAG)
+            add(label, "or", f"apache 2 0 or {spdx}", TITLE)
     for label, keyword, words, priority in WORDINGS:
         add(label, keyword, words, priority, words in BASE_PHRASES)
     return out

@@ -1,11 +1,12 @@
 """Removal of later repeated runs of lines, by winnowing over line hashes; DataFrame expressions only.
 
-Every window of ``run`` consecutive lines selects its smallest line hash as fingerprint, so that two equal windows
-always select the same one: a fingerprint that stands at one place only clears all windows that selected it. The
-windows of the other fingerprints are joined by their content to the first place of that content. Windows that follow
-one another extend a match both ways: their union is a maximal repeated run, and every run whose content stands
-earlier is deleted. Equal lines next to a matched window always make a further matched window, so nothing is lost
-against comparing line by line.
+Every window of ``run`` consecutive lines selects its smallest line hash as fingerprint, the first of equal ones: two
+equal windows always select the same one, at the same distance from their start. Only fingerprints are written, with
+their place; neighbouring windows mostly select the same. Fingerprints that stand at several places are joined, and
+only around those the match is extended both ways: each of the windows that selected it is compared by its content
+with the first place of that content. Windows that follow one another extend a match further: their union is a maximal
+repeated run, and every run whose content stands earlier is deleted. Equal lines next to a matched window always make
+a further matched window, so nothing is lost against comparing line by line.
 """
 
 from __future__ import annotations
@@ -24,26 +25,34 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("body"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("lines"))
 
 
-def _windows(source: DataFrame, run: int) -> DataFrame:
-    """doc_id, body, first, last (line numbers), mark (the fingerprint), key1, key2: one row for each window."""
+def _fingerprints(source: DataFrame, run: int) -> DataFrame:
+    """doc_id, body, mark (the fingerprint), windows (first, last as line numbers, key1, key2): one row for each place selected."""
     trimmed = F.transform("lines", lambda s, i: F.struct(F.btrim(s, F.lit(SPACE)).alias("s"), i.alias("i")))
-    hashed = F.transform(F.filter(trimmed, lambda x: x.s != ""), lambda x: F.struct(x.i.alias("i"), F.xxhash64(x.s).alias("h1"), F.xxhash64(x.s, F.lit(run)).alias("h2")))
+    hashed = F.transform(F.filter(trimmed, lambda x: x.s != ""), lambda x: F.struct(x.i.alias("i"), F.xxhash64(x.s).alias("h1"), F.conv(F.substring(F.md5(x.s), 1, 15), 16, 10).cast("long").alias("h2")))
 
     def window(p: Column) -> Column:
         part = F.slice("seq", p, run)
         h1, h2 = F.transform(part, lambda x: x.h1), F.transform(part, lambda x: x.h2)
-        return F.struct(F.get(part, F.lit(0)).i.alias("first"), F.get(part, F.lit(run - 1)).i.alias("last"), F.array_min(h1).alias("mark"), F.xxhash64(h1).alias("key1"), F.xxhash64(h2).alias("key2"))
+        at = p + F.array_position(h1, F.array_min(h1)).cast("int") - 1
+        return F.struct(F.get(part, F.lit(0)).i.alias("first"), F.get(part, F.lit(run - 1)).i.alias("last"), F.xxhash64(h1).alias("key1"), F.xxhash64(h2).alias("key2"), at.alias("at"))
 
     sequences = source.select("doc_id", "body", hashed.alias("seq")).filter(F.size("seq") >= run)
-    return sequences.select("doc_id", "body", F.explode(F.transform(F.sequence(F.lit(1), F.size("seq") - run + 1), window)).alias("w")).select("doc_id", "body", "w.*")
+    sequences = sequences.withColumn("windows", F.transform(F.sequence(F.lit(1), F.size("seq") - run + 1), window))
+    # the windows that selected place p start at p - run + 1 .. p
+    around = lambda p: F.filter(F.slice("windows", F.greatest(p - run + 1, F.lit(1)), F.lit(run)), lambda w: w.at == p)
+    places = F.transform(F.array_distinct(F.transform("windows", lambda w: w.at)), lambda p: F.struct(F.get("seq", p - 1).h1.alias("mark"), around(p).alias("windows")))
+    return sequences.select("doc_id", "body", F.explode(places).alias("f")).select("doc_id", "body", "f.mark", "f.windows")
 
 
 def repeated_runs(source: DataFrame, work: Workspace, run: int) -> DataFrame:
     """doc_id, body, first, last: maximal runs of lines to delete, as line numbers of the text."""
-    windows = work.table(_windows(source.filter("doc_id IS NOT NULL"), run), "windows")
-    shared = windows.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
-    candidates = work.table(windows.join(shared, "mark"), "candidates")
-    first = candidates.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "first")).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key1", "key2", "earliest")
+    places = work.table(_fingerprints(source.filter("doc_id IS NOT NULL"), run), "fingerprints")
+    # written first, so that the join stands alone in its stage and a frequent fingerprint's places can be split
+    shared = work.table(places.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark"), "shared")
+    met = places.join(shared, "mark").select("doc_id", "body", F.explode("windows").alias("w"))
+    candidates = work.table(met.select("doc_id", "body", "w.first", "w.last", "w.key1", "w.key2"), "candidates")
+    work.drop(places, shared)
+    first = work.table(candidates.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "first")).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key1", "key2", "earliest"), "first")
     later = candidates.join(first, ["key1", "key2"]).filter(F.struct("doc_id", "first") > F.col("earliest")).select("doc_id", "body", "first", "last")
     # islands of overlapping windows
     in_text = W.partitionBy("doc_id", "body").orderBy("first")

@@ -141,21 +141,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         real = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
         same = ["key1", "key2", "n_shingles"]
         classes = work.table(real.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("buckets").alias("buckets")), "classes")
-        members = real.select("doc_id", *same).join(classes.filter("size > 1").select("rep", *same), same).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+        members = work.table(real.select("doc_id", *same).join(classes.filter("size > 1").select("rep", *same), same).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "members")
         lone = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
         shared = lone.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("bucket")
         met = work.table(lone.join(shared, "bucket"), "met")
-        reps = met.select(F.col("rep").alias("doc_id")).distinct()
+        work.drop(classes)
+        reps = work.table(met.select(F.col("rep").alias("doc_id")).distinct(), "reps")  # its size lets Spark choose the join
         sets = source.join(reps, "doc_id").withColumnRenamed("doc_id", "rep").mapInArrow(_sets(width), f"rep {id_type}, body long, items array<long>, bits array<long>")
         sets = work.table(sets, "sets")
         room = work.table(_room(sets, percent), "room")
 
         stars = work.table(_stars(met.join(room.drop("body", "bits"), ["rep", "n"])), "stars")
+        work.drop(met)
         likely = _alike(stars.select("a", "b"), room, percent)
         links = work.table(_confirmed(likely, sets, percent), "links")
         rare = work.table(_rare_items(sets, _labelled(room, stars, links), percent), "rare")
         pairs = work.table(_by_rare_items(rare, percent), "pairs")
-        links = links.unionByName(_confirmed(pairs, sets, percent))
+        work.drop(rare)
+        links = links.unionByName(work.table(_confirmed(pairs, sets, percent), "more"))
+        work.drop(sets, room)
         final = connected_components(links.unionByName(members), work).withColumnRenamed("node", "doc_id")
         out = signed.select("doc_id", "n_shingles").join(final, "doc_id", "left")
         out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -28,7 +28,7 @@ U = np.uint64
 #: Rounds whose tokens are summed up as one block in the prefix sum over rounds.
 BLOCK = 65536
 #: Entries after which a worker's memo of encoded units starts anew.
-MEMO = 2_000_000
+MEMO = 1_000_000
 #: Letters (bytes above ASCII are looked at again), then symbols; an apostrophe may bind letters to the tokenizer.
 LETTERS_SYMBOLS = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 LETTER, SYMBOL = np.zeros(256, bool), np.zeros(256, bool)
@@ -43,7 +43,7 @@ class Memo:
         self.bits, self.count = bits, 0
         self.key = np.zeros((2, 1 << bits), U)
         self.entry = np.full(1 << bits, -1, np.int32)
-        self.first, self.size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
+        self.first, self.size = np.zeros(1 << bits - 1, np.int64), np.zeros(1 << bits - 1, np.int32)
         self.ids, self.used = np.zeros(1 << bits, np.uint32), 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -78,7 +78,7 @@ class Memo:
             self.bits = max(self.bits + 1, (2 * n).bit_length())
             self.key, self.entry = np.zeros((2, 1 << self.bits), U), np.full(1 << self.bits, -1, np.int32)
             self._place(key, entry)
-            self.first, self.size = np.resize(self.first, 1 << self.bits), np.resize(self.size, 1 << self.bits)
+            self.first, self.size = np.resize(self.first, 1 << self.bits - 1), np.resize(self.size, 1 << self.bits - 1)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         if self.used + len(flat) > len(self.ids):
@@ -141,7 +141,7 @@ class Encoder:
 
     def _other(self, chunks: list[bytes]) -> list[list[int]]:
         """Chunks that are not plain letters; letters beyond ASCII and the symbols after them are encoded apart."""
-        if len(self.parts) > MEMO // 4:
+        if len(self.parts) > MEMO // 10:
             self.parts.clear()
         cut, letters, rest = [], set(), set()
         for c in chunks:

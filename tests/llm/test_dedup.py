@@ -6,6 +6,8 @@ import collections
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from raretide.llm.components import connected_components
 from raretide.llm.exact_dedup import exact_dedup
 from raretide.llm.line_dedup import dedup_lines, without_repeated_lines
@@ -40,6 +42,30 @@ def test_exact_single_file_and_empty(spark, tmp_path, sf_dir):
     assert exact_dedup(spark, f"file://{path}").count() == 0
 
 
+def test_exact_state_meets_later_files(spark, tmp_path):
+    """A second call over the grown table: old files are not read by the stream again, their state counts."""
+    path, state = str(tmp_path / "docs"), f"file://{tmp_path}/state"
+    table(spark, [(i, f"text {i % 5}", "en", "s") for i in range(20)]).coalesce(1).write.parquet(path)
+    first = exact_dedup(spark, f"file://{path}", state=state).collect()
+    assert {(x.keep_id, x.group_size) for x in first} == {(15 + k, 4) for k in range(5)}
+    table(spark, [(100, "text 0", "en", "s"), (2, "text 1", "en", "s"), (101, "new", "en", "s")]).coalesce(1).write.mode("append").parquet(path)
+    again = {x.text_sha256: x for x in exact_dedup(spark, f"file://{path}", state=state).collect() if x.kept}
+    of = lambda t: again[hashlib.sha256(t.encode()).hexdigest()]
+    assert (of("text 0").keep_id, of("text 0").group_size) == (100, 5) and (of("text 1").keep_id, of("text 1").group_size) == (16, 5) and of("new").group_size == 1
+    assert len(again) == 6 and sorted(x.name for x in (tmp_path / "state" / "updates").iterdir()) == ["batch=0", "batch=1"]
+
+
+def test_exact_tells_bytes_apart_under_one_digest(spark, tmp_path, odd_rows):
+    path = str(tmp_path / "docs")
+    rows = odd_rows + [(50 + i, ("many words " * 30000) + str(i % 3), "en", "s") for i in range(9)]
+    table(spark, rows).write.parquet(path)
+    groups = collections.Counter(t or "" for _, t, *_ in rows)
+    for digest in (lambda body: F.substring(F.sha2(body, 256), 1, 1), lambda body: F.lit("one"), None):
+        out = exact_dedup(spark, f"file://{path}", **({"digest": digest} if digest else {})).collect()
+        assert len(out) == len(rows) and sum(x.kept for x in out) == len(groups)
+        assert sorted(x.group_size for x in out) == sorted(groups[t or ""] for _, t, *_ in rows)
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(260)] + [(0, i) for i in range(500, 600)] + [(i, i + 1) for i in range(700, 760)] + [(None, 1), (5, 5)]
