@@ -335,7 +335,7 @@ def rules() -> list[tuple]:
     for label, _, _, spdx, _ in LICENCES:
         if spdx in SECOND:
             add(label, "spdx", f"spdx license identifier {ANY_FEW}or|and {spdx}", TAG)
-            add(label, "or", f"apache 2 0 or {spdx}", TITLE)
+            add(label, "apache", f"apache 2 0 or {spdx}", TITLE)
     for label, keyword, words, priority in WORDINGS:
         add(label, keyword, words, priority, words in BASE_PHRASES)
     return out
