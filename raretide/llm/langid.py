@@ -7,6 +7,9 @@
 
 The three tables of the last kinds are grouped sums of each row's text posterior. Rows are then fused as
 log prior(host) + text + log P(declared | l) + log P(suffix | l); evidence that a row lacks is left out.
+
+A background class of even trigrams stands for every text unlike the known languages: where the text
+is likelier under it than under each language, by more than its prior odds, neither tag nor host makes up for that.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ BITS = 13
 EVIDENCE = 50.0
 #: Pseudo-counts: of trigrams, of tags and suffixes, and of a parent's prior.
 ALPHA, BETA, KAPPA = 0.5, 1.0, 5.0
+#: Prior odds of the background class against the nearest language.
+BACKGROUND = 1e-6
 LANGUAGE = r"^[a-z]{2,3}$"
 #: All but letters of other scripts; letters a-z stay, the rest of ASCII is one separator.
 FOLD = np.full(256, 0x20, np.uint8)
@@ -106,8 +111,10 @@ def identify(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     declared, suffix, host and domain (the host's parent; by default its last two labels) are expressions over the
     row; null or absent ones give no evidence. Tags are cut to their primary subtag; languages are the
-    ``languages`` most frequent tags. kept: the posterior is at least ``least`` and the text has a trigram at all; an
-    empty or null text, or one without letters, is not kept, and its language rests on the other evidence. Without
+    ``languages`` most frequent tags, and rarer tags count as evidence by the texts that carry them. kept: the posterior
+    is at least ``least``, the text has a trigram at all, and the background, at its prior odds, is no likelier than the
+    nearest language; an empty or null text, or one without letters, is not kept, and its language rests on the other
+    evidence. A text unlike every language has the nearest one as lang and is not kept. Without
     any declared language lang is null and nothing is kept. Ties go to the alphabetically first language. Repeated
     rows are each judged alike; null identifiers are allowed; an empty table gives an empty result.
     """
@@ -122,15 +129,15 @@ def identify(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         names = sorted(r.declared for r in frequent.collect())
         if not names:
             return source.select("doc_id", none.alias("lang"), F.lit(0.0).alias("confidence"), none.alias("text_lang"), "declared", F.lit(0).cast("long").alias("n_grams"), F.lit(False).alias("kept"))
-        known = source.withColumn("declared", F.when(F.col("declared").isin(names), F.col("declared")))
-        counted = known.select("text", "declared").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # at most languages * 2**BITS rows
+        tagged = source.select("text", F.when(F.col("declared").isin(names), F.col("declared")).alias("declared"))
+        counted = tagged.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # at most languages * 2**BITS rows
         table = np.full((1 << BITS, len(names)), ALPHA)
         for i, name in enumerate(names):
             own = counted.filter(pa.compute.equal(counted["lang"], name))
             table[own["gram"].to_numpy(), i] += own["n"].to_numpy()
         shared = spark.sparkContext.broadcast(np.log(table / table.sum(0)).astype(np.float32))
         size = len(names)
-        read = work.table(known.mapInArrow(_likelihoods(shared), f"doc_id {kind}, declared string, suffix string, host string, domain string, n_grams long, text_log array<double>"), "likelihoods")
+        read = work.table(source.mapInArrow(_likelihoods(shared), f"doc_id {kind}, declared string, suffix string, host string, domain string, n_grams long, text_log array<double>"), "likelihoods")
         read = read.withColumn("text_p", _normal(F.col("text_log")))
         # a row's posterior for the sums: of its text alone
         whole = read.agg(*(F.sum(F.get("text_p", F.lit(i))).alias(f"s{i}") for i in range(size))).first()
@@ -154,8 +161,9 @@ def identify(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         named = F.array(*(F.lit(n) for n in names))
         best = lambda p: F.get(named, (F.array_position(p, F.array_max(p)) - 1).cast("int"))
         fused = both.withColumn("p", _normal(logs))
-        out = fused.select("doc_id", best(F.col("p")).alias("lang"), F.array_max("p").alias("confidence"), F.when(F.col("n_grams") > 0, best(F.col("text_p"))).alias("text_lang"), "declared", "n_grams")
-        return work.keep(out.withColumn("kept", (F.col("n_grams") > 0) & (F.col("confidence") >= least)))
+        like = F.array_max("text_log") >= -F.least(F.col("n_grams").cast("double"), F.lit(EVIDENCE)) * float(np.log(1 << BITS)) + float(np.log(BACKGROUND))
+        out = fused.select("doc_id", best(F.col("p")).alias("lang"), F.array_max("p").alias("confidence"), F.when(F.col("n_grams") > 0, best(F.col("text_p"))).alias("text_lang"), "declared", "n_grams", like.alias("like"))
+        return work.keep(out.withColumn("kept", (F.col("n_grams") > 0) & (F.col("confidence") >= least) & F.col("like")).drop("like"))
 
 
 def identify_pages(pages: DataFrame, **how) -> DataFrame:
