@@ -362,7 +362,9 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, work: Workspace, *, id_c
 
 def _blocks(source: DataFrame, benchmark: DataFrame, work: Workspace, item_col: str, item_text_col: str, passage: int, rank: int, common: float, overlap: float, block: int, seed: int):
     """The query set in blocks of bounded size, in the order of its identifiers: (broadcast model and queries, whether it is all)."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    name = F.col(item_col).cast("string")
+    surrogate = -1 - F.shiftrightunsigned(F.xxhash64(name, F.col(item_text_col)), 1)
+    items = benchmark.select(F.coalesce(name.try_cast("long"), surrogate).alias("item_id"), F.col(item_text_col).alias("text")).filter("text IS NOT NULL").distinct()
     latent = after = None
     while True:
         part = items if after is None else items.filter((F.col("item_id") > after[0]) | ((F.col("item_id") == after[0]) & (F.col("text") > after[1])))
@@ -389,7 +391,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     ``answer`` of those it ends with, within half its length of a window of its length; no latent cosine and no
     frequency of a word keeps a window from being judged. Words are runs of letters and digits, folded to lower case. An item that is longer than the largest window is searched in parts,
     and one found part counts. Null and empty texts, and an empty benchmark, leave everything kept; so do items
-    without words. Ties go to the smaller item. Rows that repeat an identifier are told apart by their texts; null
+    without a text or words. An item whose identifier is null or no integer is searched like any other, under a negative
+    number made from its identifier and text. Ties go to the smaller item. Rows that repeat an identifier are told apart by their texts; null
     identifiers are allowed. Other columns are not read.
     """
     with Workspace(docs.sparkSession, "decontam") as work:

@@ -173,6 +173,22 @@ def test_language(spark, odd, odd_rows, nothing, sf_dir):
     assert np.mean([x.lang == x.declared for x in pages]) > 0.95
 
 
+def test_language_rejects_what_no_language_explains(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    junk = [(-1, "xqzvk jwqxz kkzvq wxjqz vvkxq zzqjx", "en", "a"), (-2, "Привет как дела сегодня", "en", "a"), (-3, "Kesällä aurinko paistaa yötä päivää, mutta talvella järvet jäätyvät ja lumi peittää metsän", "en", "a")]
+    clean = [(-4, "the data of the", "en", "a"), (-5, "the and of in", None, None), (-6, "The erin a password=32bb02aa3b580bf8ab thes as.", "en", "a")]
+    out = identify(docs.unionByName(spark.createDataFrame(junk + clean, docs.schema)), declared=F.col("lang"), host=F.col("source"))
+    assert {x.doc_id for x in out.filter("doc_id < 0 AND kept").collect()} == {x[0] for x in clean}
+    assert out.filter("doc_id >= 0 AND NOT kept AND n_grams > 20").count() == 0
+
+
+def test_rare_tags_are_evidence_without_being_languages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.col("lang").alias("tag"))
+    docs = docs.withColumn("tag", F.when((F.col("tag") == "de") & (F.col("doc_id") % 8 == 0), "gsw").otherwise(F.col("tag")))
+    out = identify(docs, declared=F.col("tag"), languages=4).filter("declared = 'gsw'").collect()
+    assert out and {x.lang for x in out} == {"de"}
+
+
 def _tokens(tokenizer, text):
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
 
@@ -283,6 +299,17 @@ def _subsequence(a, b):
     return row[-1]
 
 
+def test_items_without_an_integer_identifier_are_searched(spark):
+    r = random.Random(31)
+    texts = [" ".join(words(r, 40, 9000)) for _ in range(4)]
+    benchmark = spark.createDataFrame([("7", texts[0]), ("q-8", texts[1]), (None, texts[2]), ("9", None)], "item_id string, text string")
+    docs = table(spark, [(i, " ".join(words(r, 60, 9000)) + " " + x, "en", "a") for i, x in enumerate(texts)])
+    found = {x.doc_id: x for x in decontam.decontaminate(docs, benchmark).collect()}
+    assert [found[i].kept for i in range(4)] == [False, False, False, True]
+    assert found[0].item_id == 7 and found[1].item_id < 0 and found[2].item_id < 0 and found[1].item_id != found[2].item_id
+    assert {x.doc_id for x in decontam.without_leaks(docs, benchmark).collect()} == {3}
+
+
 def test_decontamination_finds_what_brute_force_finds(spark):
     """Copies with 20 to 40 % of their words replaced, or with words put in between; a few words make up most of the text."""
     r = random.Random(16)
