@@ -31,7 +31,7 @@ BITS = 13
 EVIDENCE = 50.0
 #: Pseudo-counts: of trigrams, of tags and suffixes, and of a parent's prior.
 ALPHA, BETA, KAPPA = 0.5, 1.0, 5.0
-#: Prior odds of the background class against the nearest language.
+#: Prior odds of the background class against a language of much text; nearer to 1 the more smoothing makes up its table.
 BACKGROUND = 1e-6
 LANGUAGE = r"^[a-z]{2,3}$"
 #: All but letters of other scripts; letters a-z stay, the rest of ASCII is one separator.
@@ -112,8 +112,9 @@ def identify(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     declared, suffix, host and domain (the host's parent; by default its last two labels) are expressions over the
     row; null or absent ones give no evidence. Tags are cut to their primary subtag; languages are the
     ``languages`` most frequent tags, and rarer tags count as evidence by the texts that carry them. kept: the posterior
-    is at least ``least``, the text has a trigram at all, and the background, at its prior odds, is no likelier than the
-    nearest language; an empty or null text, or one without letters, is not kept, and its language rests on the other
+    is at least ``least``, the text has a trigram at all, and some language is at least as likely for it
+    as the background at its prior odds (a language of few texts, whose table is nearly even, has hardly any in its
+    favour); an empty or null text, or one without letters, is not kept, and its language rests on the other
     evidence. A text unlike every language has the nearest one as lang and is not kept. Without
     any declared language lang is null and nothing is kept. Ties go to the alphabetically first language. Repeated
     rows are each judged alike; null identifiers are allowed; an empty table gives an empty result.
@@ -161,7 +162,8 @@ def identify(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         named = F.array(*(F.lit(n) for n in names))
         best = lambda p: F.get(named, (F.array_position(p, F.array_max(p)) - 1).cast("int"))
         fused = both.withColumn("p", _normal(logs))
-        like = F.array_max("text_log") >= -F.least(F.col("n_grams").cast("double"), F.lit(EVIDENCE)) * float(np.log(1 << BITS)) + float(np.log(BACKGROUND))
+        odds = F.array(*(F.lit(float(x)) for x in -np.log(BACKGROUND) * (1 - ALPHA * len(table) / table.sum(0))))
+        like = F.array_max(add("text_log", odds)) >= -F.least(F.col("n_grams").cast("double"), F.lit(EVIDENCE)) * float(np.log(1 << BITS))
         out = fused.select("doc_id", best(F.col("p")).alias("lang"), F.array_max("p").alias("confidence"), F.when(F.col("n_grams") > 0, best(F.col("text_p"))).alias("text_lang"), "declared", "n_grams", like.alias("like"))
         return work.keep(out.withColumn("kept", (F.col("n_grams") > 0) & (F.col("confidence") >= least) & F.col("like")).drop("like"))
 

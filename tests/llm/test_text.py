@@ -180,6 +180,10 @@ def test_language_rejects_what_no_language_explains(spark, sf_dir):
     out = identify(docs.unionByName(spark.createDataFrame(junk + clean, docs.schema)), declared=F.col("lang"), host=F.col("source"))
     assert {x.doc_id for x in out.filter("doc_id < 0 AND kept").collect()} == {x[0] for x in clean}
     assert out.filter("doc_id >= 0 AND NOT kept AND n_grams > 20").count() == 0
+    # a language of one text does not take in what the others reject
+    rare = [(-7, "人工智能的发展非常迅速", "zh", None)]
+    out = identify(docs.unionByName(spark.createDataFrame(junk + clean + rare, docs.schema)), declared=F.col("lang"), host=F.col("source"))
+    assert {x.doc_id for x in out.filter("doc_id < 0 AND kept").collect()} == {x[0] for x in clean + rare}
 
 
 def test_rare_tags_are_evidence_without_being_languages(spark, sf_dir):
