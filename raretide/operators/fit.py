@@ -60,6 +60,26 @@ def fit_three(w: np.ndarray, t: np.ndarray, f: np.ndarray, w0: float, start: tup
     return {"f0": float(np.exp(x[0])), "gamma": float(np.exp(x[1])), "a": float(1 / (1 + np.exp(-x[2]))), "cost": cost / 2, "points": int(use.sum()), "error": None}
 
 
+def fit_pinned(w: np.ndarray, t: np.ndarray, f: np.ndarray, w0: float, f0: float, a: float = 0.5) -> dict:
+    """gamma with its standard error, where the onset's exact fraction f0 and the saturation a are known.
+
+    Bins without a failure are left out, and those below the onset. Too few bins are an error text.
+    """
+    use = (f > 0) & (w > w0)
+    if use.sum() < 2:
+        return {"gamma": None, "gamma_se": None, "cost": None, "points": int(use.sum()), "error": "fewer than two bins with failures"}
+    w, rate = w[use].astype(float), f[use] / t[use]
+    sigma = np.sqrt(np.maximum(1 - rate, 1e-6) / f[use])
+
+    def residual(x):
+        return (np.log(np.maximum(three_parameter(w, w0, f0, np.exp(np.clip(x[0], -5, 4)), a), 1e-300)) - np.log(rate)) / sigma
+
+    x, cost = min((least_squares(residual, np.array([np.log(g)])) for g in (0.5, 2.0, 4.0)), key=lambda p: p[1])
+    slope = (residual(x + 1e-6) - residual(x - 1e-6)) / 2e-6
+    gamma = float(np.exp(np.clip(x[0], -5, 4)))
+    return {"gamma": gamma, "gamma_se": gamma / float(np.sqrt(max(slope @ slope, 1e-300))), "cost": cost / 2, "points": int(use.sum()), "error": None}
+
+
 def fit_spectra(spec: DataFrame, by: str, w0: float) -> DataFrame:
     """by, w, t, f -> one fit for each group; groups are independent tasks of as many rows as they have weights."""
     kind = spec.schema[by].dataType.simpleString()

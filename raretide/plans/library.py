@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from raretide.functions import ansatz
 from raretide.operators import library as L
 from raretide.operators import spectrum as S
 from raretide.plans import base as X
@@ -95,3 +96,12 @@ def manifest_tasks(spark, sf):
     entry = F.struct(F.col("n_name").alias("path"), F.col("n_nationkey").alias("cpus"), F.lit("1:00").alias("time"), F.lit(0).alias("note"))
     lists = X.read(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("text"))
     return results.manifest(lists, "text").select("region", F.col("place").cast("long").alias("place"), "path", "cpus", "mem")
+
+
+@query(f"""WITH {X.SPEC} SELECT CAST(w AS BIGINT) AS w, round(CASE WHEN w < 3 THEN 0 ELSE 0.5 * (1 - exp(-0.002 * pow(w / 3.0::DOUBLE, 3))) END, 9) AS two,
+    round(CASE WHEN w < 3 THEN 0 ELSE 0.5 * (1 - exp(-0.002 * pow(w / 3.0::DOUBLE, 4) * pow((1 + pow(w / 12.0::DOUBLE, 2)) / (1 + pow(3 / 12.0::DOUBLE, 2)), (1.5 - 4) / 2))) END, 9) AS five FROM spec""")
+def ansatz_families(spark, sf):
+    """Curves of two and of five parameters at every sampled weight."""
+    w = F.col("w").cast("double")
+    spec = S.failure_spectrum(X.shots(spark, sf))
+    return spec.select(F.col("w").cast("long").alias("w"), F.round(ansatz.onset_power(w, 3, 0.001, 0.5), 9).alias("two"), F.round(ansatz.two_powers(w, 3, 0.001, 0.5, 4, 1.5, 12), 9).alias("five"))

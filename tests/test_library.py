@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from raretide.operators import fit
 from raretide.operators import library as L
 from raretide.sources import results
 
@@ -59,3 +61,11 @@ def test_folder_of_a_run_has_one_channel(spark):
     rows = spark.createDataFrame([("r", "idle", "cz")], "base string, iso string, abl string")
     with pytest.raises(PySparkException, match="not both"):
         rows.select(results.output_folder(F.col("base"), F.col("iso"), F.col("abl"))).collect()
+
+
+def test_pinned_fit():
+    r, w = np.random.RandomState(1), np.arange(5, 31)
+    t = np.full(len(w), 200000)
+    got = fit.fit_pinned(w, t, r.binomial(t, fit.three_parameter(w, 5, 1e-2, 4, 0.5)), 5, 1e-2)
+    assert got["error"] is None and abs(got["gamma"] - 4) < 5 * got["gamma_se"] < 0.1
+    assert fit.fit_pinned(w, t, np.zeros(len(w)), 5, 1e-2)["error"]
