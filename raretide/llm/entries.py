@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from raretide.llm.decontam import decontaminate
 from raretide.llm.exact_dedup import exact_dedup
-from raretide.llm import licenses, line_dedup
+from raretide.llm import conversations, licenses, line_dedup
 from raretide.llm.langid import identify, identify_pages
 from raretide.llm.minhash import near_duplicates
 from raretide.llm.packing import pack
@@ -75,6 +75,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repair_conversations(conversations.damaged(turns), turns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_decontam": op9_decontam,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_conversations": op11_conversations,
 }
 
 ORACLES: dict[str, str] = {
@@ -118,4 +124,5 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_conversations": conversations.oracle_sql(),
 }
