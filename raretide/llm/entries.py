@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from raretide.llm.decontam import decontaminate
 from raretide.llm.exact_dedup import exact_dedup
-from raretide.llm import conversations, licenses, line_dedup
+from raretide.llm import conversations, licenses, line_dedup, url_filter
 from raretide.llm.langid import identify, identify_pages
 from raretide.llm.minhash import near_duplicates
 from raretide.llm.packing import pack
@@ -80,6 +80,10 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_conversations(conversations.damaged(turns), turns)
 
 
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontam": op9_decontam,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_conversations": op11_conversations,
+    "op12_urls": op12_urls,
 }
 
 ORACLES: dict[str, str] = {
@@ -125,4 +130,5 @@ ORACLES: dict[str, str] = {
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
     "op11_conversations": conversations.oracle_sql(),
+    "op12_urls": url_filter.oracle_sql(),
 }
