@@ -74,7 +74,8 @@ def _log_ratios(places: DataFrame, order: int, work: Workspace) -> DataFrame:
     one = lambda v: F.struct(F.col(v).alias("n"), F.sum(v).over(beside).alias("all"), F.sum((F.col(v) > 0).cast("long")).over(beside).alias("kinds")).alias(v)
     stats = work.table(counts.select("suffix", one("allow"), one("block")), "contexts")
     letters = stats.filter(F.length("suffix") == 1).agg((F.count(F.lit(1)) + 1).alias("letters"))
-    chains = levels.select("gram", "suffix").join(stats, "suffix").groupBy("gram").agg(F.array_sort(F.collect_list(F.struct(F.length("suffix").alias("k"), "allow", "block"))).alias("chain"))
+    # an exploded side is larger than Spark takes it for: never broadcast
+    chains = levels.select("gram", "suffix").hint("merge").join(stats, "suffix").groupBy("gram").agg(F.array_sort(F.collect_list(F.struct(F.length("suffix").alias("k"), "allow", "block"))).alias("chain"))
 
     def probability(v: str) -> Column:
         return F.aggregate("chain", 1.0 / F.col("letters"), lambda p, x: F.when(x[v]["all"] == 0, p).otherwise((x[v]["n"] + x[v]["kinds"] * p) / (x[v]["all"] + x[v]["kinds"])))
@@ -119,7 +120,7 @@ def judge_urls(pages: DataFrame, *, rules=RULES, order: int = ORDER, id_col: str
         texts = work.table(texts.withColumn("held", F.when(F.left(F.md5("text"), F.lit(1)).isin("0", "1", "2", "3"), F.col("given"))).withColumn("id", F.monotonically_increasing_id()), "texts")
         places = texts.select("id", F.when(F.col("held").isNull(), F.col("given")).alias("label"), F.explode(_grams(F.col("text"), order)).alias("gram"))
         ratios = _log_ratios(places, order, work)
-        sums = places.select("id", "gram").join(ratios, "gram").groupBy("id").agg(F.sum("ratio").alias("total"), F.count(F.lit(1)).alias("places"))
+        sums = places.select("id", "gram").hint("merge").join(ratios, "gram").groupBy("id").agg(F.sum("ratio").alias("total"), F.count(F.lit(1)).alias("places"))
         scored = work.table(texts.select("id", "text", "held").join(sums, "id").select("text", "held", "total", "places"), "scores")
         least = _threshold(scored)
         passes = F.col("total") * STEPS >= F.col("places") * (least * SCALE)
