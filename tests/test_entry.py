@@ -18,7 +18,7 @@ def test_entry_and_names(spark):
 
 
 def test_imports_without_the_subpackage(tmp_path):
-    for name in ("__spark_entry__.py", "raretide"):
+    for name in ("__spark_entry__.py", "raretide", "jobs"):
         source = os.path.join(ROOT, name)
         (shutil.copytree if os.path.isdir(source) else shutil.copy)(source, tmp_path / name)
     shutil.rmtree(tmp_path / "raretide" / "llm", ignore_errors=True)
@@ -29,9 +29,11 @@ def test_imports_without_the_subpackage(tmp_path):
 
 
 def test_nothing_outside_imports_the_subpackage():
-    for folder, _, files in os.walk(os.path.join(ROOT, "raretide")):
-        if os.path.basename(folder) != "llm":
-            for f in files:
-                if f.endswith(".py"):
-                    with open(os.path.join(folder, f)) as text:
-                        assert "raretide.llm" not in text.read(), f
+    for top in ("raretide", "jobs"):
+        for folder, _, files in os.walk(os.path.join(ROOT, top)):
+            if os.path.basename(folder) != "llm":
+                for f in files:
+                    if f.endswith(".py"):
+                        with open(os.path.join(folder, f)) as text:
+                            body = text.read()
+                        assert "raretide.llm" not in body and "corpus_pipeline" not in body, f
