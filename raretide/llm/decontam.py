@@ -5,13 +5,14 @@
 2. A randomised SVD of the TF-IDF matrix of those passages, in one distributed pass: every task adds up its part of
    Z = A'A Omega, blocks of Z are summed in a tree, and the driver factors the small matrix (single-pass Nystroem).
    The latent space is whitened, so that no frequent term dominates a cosine.
-3. Benchmark items, taken in blocks of bounded size as the stated query set, meet all windows of all documents in an
-   inverted index of each item's rarest words. A subsequence of ``overlap`` of m words leaves at most r = m - overlap * m
-   of them out, so that of any r + t words t stand in the window: no window that the judge would take is missed, at
-   whatever cosine, and an item of frequent words only is searched like any other.
-4. Candidates are judged on the words themselves, those of the largest latent cosine first: the longest common
-   subsequence must hold most of the item's words in order, and most of its answer, the words it ends with. Reworded
-   copies pass, chance does not.
+3. Benchmark items, taken in blocks of bounded size as the stated query set, meet the windows of all documents. A window
+   is a candidate if its latent cosine reaches ``cosine``: a reworded passage, of which the judge then asks for
+   ``paraphrase`` of the item's words in order. Windows of a smaller cosine are candidates for ``overlap`` of them only.
+   Either share bounds what a window must hold: a subsequence of o * m of m words leaves r = m - o * m of them out, so
+   that of the item's r + t rarest words t stand in the window. An inverted index of those words finds every window that
+   can pass, and cosines are worked out for these; nothing that a scan of all windows would find is missed.
+4. Candidates are judged on the words themselves: the longest common subsequence must hold that share of the item's
+   words, and most of its answer, the words it ends with. Reworded copies pass, chance does not.
 """
 
 from __future__ import annotations
@@ -163,10 +164,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
+#: The least words in common order that tell a reworded item, where ``overlap`` does not ask for fewer.
+REWORDED = 10
+
+
+def _need(m: int, overlap: float, paraphrase: float) -> tuple[int, int]:
+    """Words in common order that an item of m words must have: at any cosine, and at a large one."""
+    most = max(1, int(np.ceil(overlap * m - 1e-9)))
+    return most, min(most, max(REWORDED, int(np.ceil(paraphrase * m - 1e-9))))
+
+
 class Queries:
     """A block of benchmark passages, by scale."""
 
-    def __init__(self, items: list[tuple[int, str]], latent: Latent, overlap: float):
+    def __init__(self, items: list[tuple[int, str]], latent: Latent, overlap: float, paraphrase: float):
         self.parts: list[tuple[int, np.ndarray]] = []  # item, word hashes
         kinds: list[np.ndarray] = []
         scales, vectors, seeds = [], [], []
@@ -177,7 +188,7 @@ class Queries:
                 end = at + longest if len(h) - at - longest > longest // 2 else len(h)
                 if len(h[at:end]):
                     m = end - at
-                    need = max(1, int(np.ceil(overlap * m - 1e-9)))
+                    need = _need(m, overlap, paraphrase)[1]
                     rare = np.argsort(latent.df[term[at:end]], kind="stable")[: m - need + min(SEEDS, need)]
                     seeds += [(x, len(self.parts)) for x in np.unique(h[at:end][rare]).tolist()]
                     scales.append(min(SCALES, key=lambda s: abs(np.log(s / m))))
@@ -187,8 +198,9 @@ class Queries:
         self.kinds, self.bits = kinds, None
         self.size = np.array([len(h) for _, h in self.parts])
         self.different = np.array([len(k) for k in kinds])
-        self.need = np.maximum(1, np.ceil(overlap * self.size - 1e-9)).astype(int)
-        self.asked = np.minimum(SEEDS, self.need)
+        needs = np.array([_need(m, overlap, paraphrase) for m in self.size.tolist()], int).reshape(-1, 2)
+        self.need, self.reworded = needs[:, 0], needs[:, 1]
+        self.asked = np.minimum(SEEDS, self.reworded)
         self.scale = np.array(scales)
         self.stride = np.array([STRIDES[s] * BLOCK for s in scales])
         self.vectors = _unit(np.stack(vectors)).astype(np.float32) if vectors else np.zeros((0, latent.table.shape[1]), np.float32)
@@ -228,19 +240,19 @@ def in_common(a: np.ndarray, b: np.ndarray) -> int:
 CHUNK = 2048
 
 
-def _enough(queries: Queries, part: np.ndarray, low: np.ndarray, high: np.ndarray, term: np.ndarray) -> np.ndarray:
-    """Candidates in whose stretch [low, high) enough different terms of the part stand for the wanted overlap.
+def _held(queries: Queries, part: np.ndarray, low: np.ndarray, high: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """The most words of the part that a stretch [low, high) can hold in order, from the part's terms that stand in it.
 
-    A common subsequence of ``overlap`` of the m words leaves m - that many out, and with each at most one term.
+    A common subsequence of n of m words leaves m - n of them out, and with each at most one different term.
     """
-    out = np.zeros(len(part), bool)
+    out = np.zeros(len(part), np.int64)
     for i in range(0, len(part), CHUNK):
         p, a, b = part[i : i + CHUNK], low[i : i + CHUNK], high[i : i + CHUNK]
         at = a[:, None] + np.arange(int((b - a).max()))
         bit = queries.marks().take(p[:, None] * TERMS + term.take(at, mode="clip"))
         bit[at >= b[:, None]] = 0
         found = np.bitwise_or.reduce(bit, axis=1)
-        out[i : i + CHUNK] = np.bitwise_count(found) >= queries.different[p] - (queries.size[p] - queries.need[p])
+        out[i : i + CHUNK] = np.bitwise_count(found).astype(np.int64) - queries.different[p] + queries.size[p]
     return out
 
 
@@ -285,7 +297,7 @@ def _cosines(part: np.ndarray, start: np.ndarray, end: np.ndarray, term: np.ndar
     return out
 
 
-def _leaks_of(text: pa.Array, latent: Latent, queries: Queries, overlap: float, answer: float) -> dict[tuple[int, int], tuple]:
+def _leaks_of(text: pa.Array, latent: Latent, queries: Queries, cosine: float, answer: float) -> dict[tuple[int, int], tuple]:
     """(text, item) -> overlap, cosine, place of the best stretch, for each leak in the texts."""
     words, h, term = _words(text)
     if not len(h) or not len(queries.size):
@@ -294,9 +306,13 @@ def _leaks_of(text: pa.Array, latent: Latent, queries: Queries, overlap: float,
     m = queries.size[part]
     low = np.maximum(words.first[doc], start - m // 2)
     high = np.minimum(words.first[doc + 1], start + np.maximum(queries.scale[part], m) + m // 2)
-    enough = np.flatnonzero(_enough(queries, part, low, high, term))
-    part, doc, start, low, high = part[enough], doc[enough], start[enough], low[enough], high[enough]
+    held = _held(queries, part, low, high, term)
+    some = np.flatnonzero(held >= queries.reworded[part])
+    part, doc, start, low, high, held = part[some], doc[some], start[some], low[some], high[some], held[some]
     near = _cosines(part, start, np.minimum(start + queries.scale[part], words.first[doc + 1]), term, latent, queries)
+    need = np.where(near >= cosine, queries.reworded[part], queries.need[part])
+    some = np.flatnonzero(held >= need)
+    part, doc, start, low, high, near, need = part[some], doc[some], start[some], low[some], high[some], near[some], need[some]
     best: dict[tuple[int, int], tuple] = {}
     for k in np.argsort(-near, kind="stable").tolist():
         item, item_words = queries.parts[part[k]]
@@ -305,20 +321,20 @@ def _leaks_of(text: pa.Array, latent: Latent, queries: Queries, overlap: float,
             continue
         length = in_common(item_words, stretch)
         shared = length / len(item_words)
-        if length >= queries.need[part[k]] and (key not in best or shared > best[key][0]):
+        if length >= need[k] and (key not in best or shared > best[key][0]):
             tail = item_words[-max(3, len(item_words) // 4) :]
             if in_common(tail, stretch) >= answer * len(tail):
                 best[key] = (shared, float(near[k]), int(start[k] - words.first[doc[k]]))
     return best
 
 
-def _search(model, overlap: float, answer: float):
+def _search(model, cosine: float, answer: float):
     """One row for each leak."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         latent, queries = model.value
         for b in K.pieces(batches, "text", 1 << 18):
-            best = _leaks_of(b.column("text"), latent, queries, overlap, answer)
+            best = _leaks_of(b.column("text"), latent, queries, cosine, answer)
             if best:
                 docs = pa.array([k[0] for k in best])
                 yield pa.RecordBatch.from_arrays(
@@ -329,14 +345,14 @@ def _search(model, overlap: float, answer: float):
     return run
 
 
-def _judged(model, overlap: float, answer: float):
+def _judged(model, cosine: float, answer: float):
     """One row for each document, in one pass: how many items leak, and the item of the largest overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         latent, queries = model.value
         for b in K.pieces(batches, "text", 1 << 18):
             count, top = [0] * b.num_rows, [None] * b.num_rows
-            for (doc, item), (shared, _, _) in _leaks_of(b.column("text"), latent, queries, overlap, answer).items():
+            for (doc, item), (shared, _, _) in _leaks_of(b.column("text"), latent, queries, cosine, answer).items():
                 count[doc] += 1
                 top[doc] = max(top[doc] or (0.0, 0), (shared, -item))
             yield pa.RecordBatch.from_arrays(
@@ -347,20 +363,20 @@ def _judged(model, overlap: float, answer: float):
     return run
 
 
-def leaked_items(docs: DataFrame, benchmark: DataFrame, work: Workspace, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", passage: int = 64, rank: int = 48, common: float = 0.01, overlap: float = 0.6, answer: float = 0.5, block: int = 512, seed: int = 9) -> DataFrame:
+def leaked_items(docs: DataFrame, benchmark: DataFrame, work: Workspace, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", passage: int = 64, rank: int = 48, common: float = 0.01, overlap: float = 0.6, paraphrase: float = 0.45, cosine: float = 0.5, answer: float = 0.5, block: int = 512, seed: int = 9) -> DataFrame:
     """doc_id, body, item_id, overlap (part of the item's words in common order), cosine, place (word): one row for each leak."""
     source = _source(docs, id_col, text_col).filter("text IS NOT NULL")
     kind = source.schema["doc_id"].dataType.simpleString()
     out = None
-    for model, _ in _blocks(source, benchmark, work, item_col, item_text_col, passage, rank, common, overlap, block, seed):
-        found = work.table(source.mapInArrow(_search(model, overlap, answer), f"doc_id {kind}, body long, item_id long, overlap double, cosine double, place long"), "leaks")
+    for model, _ in _blocks(source, benchmark, work, item_col, item_text_col, passage, rank, common, overlap, paraphrase, block, seed):
+        found = work.table(source.mapInArrow(_search(model, cosine, answer), f"doc_id {kind}, body long, item_id long, overlap double, cosine double, place long"), "leaks")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, body long, item_id long, overlap double, cosine double, place long")
     return out
 
 
-def _blocks(source: DataFrame, benchmark: DataFrame, work: Workspace, item_col: str, item_text_col: str, passage: int, rank: int, common: float, overlap: float, block: int, seed: int):
+def _blocks(source: DataFrame, benchmark: DataFrame, work: Workspace, item_col: str, item_text_col: str, passage: int, rank: int, common: float, overlap: float, paraphrase: float, block: int, seed: int):
     """The query set in blocks of bounded size, in the order of its identifiers: (broadcast model and queries, whether it is all)."""
     name = F.col(item_col).cast("string")
     surrogate = -1 - F.shiftrightunsigned(F.xxhash64(name, F.col(item_text_col)), 1)
@@ -375,7 +391,7 @@ def _blocks(source: DataFrame, benchmark: DataFrame, work: Workspace, item_col:
         last, rows = len(rows) <= block, rows[:block]
         after = tuple(rows[-1])
         latent = latent or Latent.fit(source, passage, rank, common, seed, work)
-        yield source.sparkSession.sparkContext.broadcast((latent, Queries([tuple(r) for r in rows], latent, overlap))), whole
+        yield source.sparkSession.sparkContext.broadcast((latent, Queries([tuple(r) for r in rows], latent, overlap, paraphrase))), whole
         if last:
             return
 
@@ -384,26 +400,27 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("body"), F.col(text_col).alias("text"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", passage: int = 64, rank: int = 48, common: float = 0.01, overlap: float = 0.6, answer: float = 0.5, block: int = 512, seed: int = 9) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", passage: int = 64, rank: int = 48, common: float = 0.01, overlap: float = 0.6, paraphrase: float = 0.45, cosine: float = 0.5, answer: float = 0.5, block: int = 512, seed: int = 9) -> DataFrame:
     """One row per row of docs: doc_id, n_items, item_id (of the largest overlap), overlap, kept.
 
-    kept is false for documents in which some benchmark item stands, at least ``overlap`` of its words in order and
-    ``answer`` of those it ends with, within half its length of a window of its length; no latent cosine and no
-    frequency of a word keeps a window from being judged. Words are runs of letters and digits, folded to lower case. An item that is longer than the largest window is searched in parts,
-    and one found part counts. Null and empty texts, and an empty benchmark, leave everything kept; so do items
+    kept is false for documents in which some benchmark item stands: at least ``overlap`` of its words in order, or
+    ``paraphrase`` of them (and ten words) where the latent cosine of window and item reaches ``cosine``, and ``answer``
+    of those it ends with, all within half its length of a window of its length. Windows start every few words. Words are
+    runs of letters and digits, folded to lower case. An item that is longer than the largest window is searched in
+    parts, and one found part counts. Null and empty texts, and an empty benchmark, leave everything kept; so do items
     without a text or words. An item whose identifier is null or no integer is searched like any other, under a negative
-    number made from its identifier and text. Ties go to the smaller item. Rows that repeat an identifier are told apart by their texts; null
-    identifiers are allowed. Other columns are not read.
+    number made from its identifier and text. Ties go to the smaller item. Rows that repeat an identifier are told apart
+    by their texts; null identifiers are allowed. Other columns are not read.
     """
     with Workspace(docs.sparkSession, "decontam") as work:
         source = _source(docs, id_col, text_col)
         kind = source.schema["doc_id"].dataType.simpleString()
-        for model, whole in _blocks(source.filter("text IS NOT NULL"), benchmark, work, "item_id", "text", passage, rank, common, overlap, block, seed):
+        for model, whole in _blocks(source.filter("text IS NOT NULL"), benchmark, work, "item_id", "text", passage, rank, common, overlap, paraphrase, block, seed):
             if whole:  # the usual case: one block of queries, and so one pass that judges every row where it stands
-                judged = source.drop("body").mapInArrow(_judged(model, overlap, answer), f"doc_id {kind}, n_items long, item_id long, overlap double")
+                judged = source.drop("body").mapInArrow(_judged(model, cosine, answer), f"doc_id {kind}, n_items long, item_id long, overlap double")
                 return judged.withColumn("kept", F.col("n_items") == 0)
             break
-        how = {"passage": passage, "rank": rank, "common": common, "overlap": overlap, "answer": answer, "block": block, "seed": seed}
+        how = {"passage": passage, "rank": rank, "common": common, "overlap": overlap, "paraphrase": paraphrase, "cosine": cosine, "answer": answer, "block": block, "seed": seed}
         found = leaked_items(docs, benchmark, work, id_col=id_col, text_col=text_col, **how)
         best = found.groupBy("doc_id", "body").agg(F.countDistinct("item_id").alias("n_items"), F.max(F.struct("overlap", (-F.col("item_id")).alias("minus"))).alias("best"))
         best = work.keep(best.select(F.col("doc_id").alias("of"), F.col("body").alias("of_body"), "n_items", (-F.col("best.minus")).alias("item_id"), F.col("best.overlap").alias("overlap")))

@@ -19,6 +19,7 @@ from raretide.llm import decontam, entries, licenses, packing
 from raretide.llm.langid import identify, identify_pages, without_unknown_languages
 from raretide.llm.quality import grade_quality
 from raretide.llm.toxicity import score_toxicity
+from raretide.llm.workspace import Workspace
 from tests.llm.conftest import table, words
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -341,6 +342,65 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert len(leaks) > 120 and leaks <= found <= planted
 
 
+def _all_windows(texts, items, latent, cosine):
+    """Leaks by a scan of every item against every window of every text: cosines as sums of rows, subsequences by a table."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    term = lambda w: int(decontam._words(pa.array([w]))[2][0])
+    terms = {w: term(w) for t in (*texts, *items) for w in split(t)}
+    unit = lambda ws: (v := sum(latent.table[terms[w]].astype(float) for w in ws)) / max(np.linalg.norm(v), 1e-12)
+    found = {}
+    for k, item in enumerate(map(split, items)):
+        m, mine = len(item), unit(item)
+        size = min(decontam.SCALES, key=lambda s: abs(np.log(s / m)))
+        for d, text in enumerate(map(split, texts)):
+            for at in range(0, len(text), decontam.STRIDES[size] * decontam.BLOCK):
+                near = float(unit(text[at : at + size]) @ mine)
+                most = int(np.ceil(0.6 * m - 1e-9))
+                need = min(most, max(10, int(np.ceil(0.45 * m - 1e-9)))) if near >= cosine else most
+                stretch = text[max(0, at - m // 2) : at + max(size, m) + m // 2]
+                if len(set(item) & set(stretch)) - len(set(item)) + m < need or _subsequence(item, stretch) < need:
+                    continue
+                tail = item[-max(3, m // 4) :]
+                if _subsequence(tail, stretch) >= 0.5 * len(tail):
+                    found[d, k] = max(found.get((d, k), 0.0), _subsequence(item, stretch) / m)
+    return found
+
+
+def test_reworded_items_come_through_the_latent_space(spark, monkeypatch):
+    """Half of an item's words give way to others of its subject: too few are left in order for the plain share."""
+    r = random.Random(23)
+    subject = lambda s, n: [f"s{s}x{int(90 ** r.random())}" if r.random() < 0.75 else f"w{int(200 ** r.random())}" for _ in range(n)]
+    items = [subject(k % 12, 40) for k in range(24)]
+    rows, reworded = [], set()
+    for i in range(200):
+        k = i % 24
+        w = subject(k % 12, r.randrange(40, 120))
+        if i < 96:
+            at = r.randrange(len(w))
+            kept = set(range(0, 40, 2))
+            w[at:at] = [x if j in kept else subject(k % 12, 1)[0] for j, x in enumerate(items[k])]
+            reworded.add((i, k))
+        rows.append((i, " ".join(w), "en", "s"))
+    docs = table(spark, rows)
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+
+    def leaks(**how):
+        with Workspace(spark, "test") as work:
+            return {(x.doc_id, x.item_id): x.overlap for x in decontam.leaked_items(docs, benchmark, work, rank=16, **how).collect()}
+
+    with Workspace(spark, "test") as work:
+        latent = decontam.Latent.fit(decontam._source(docs, "doc_id", "text"), 64, 16, 0.01, 9, work)
+    found = leaks()
+    expected = _all_windows([t for _, t, _, _ in rows], [" ".join(w) for w in items], latent, 0.5)
+    assert found.keys() == expected.keys() and all(abs(found[k] - v) < 1e-9 for k, v in expected.items())
+    assert len(found.keys() & reworded) >= 0.9 * len(reworded)
+    plain = leaks(cosine=2.0)
+    assert plain.keys() < found.keys() and len(plain.keys() & reworded) <= 0.5 * len(reworded)
+    fit = decontam.Latent.fit
+    monkeypatch.setattr(decontam.Latent, "fit", staticmethod(lambda *a: decontam.Latent(0 * fit(*a).table, fit(*a).df)))
+    assert leaks() == plain  # without the latent space every reworded item is lost
+
+
 def test_decontamination_of_frequent_items(spark):
     """An item in a third of all documents, and one of words that every document has."""
     r = random.Random(17)
