@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -11,10 +12,12 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: Column, per_class: int, classes: int, *, id_col: str = "doc_id", text_col: str = "text", more: dict[str, Column] | None = None) -> list:
+def sample(docs: DataFrame, labels: DataFrame, label: Column, per_class: int, classes: int, *, id_col: str = "doc_id", text_col: str = "text", more: dict[str, Column] | None = None, longest: int = 1 << 15) -> list:
     """Rows (doc_id, y, text, ...) of at most ``per_class`` documents of each of ``classes`` grades, held-out ones apart.
 
-    The sample is the rows of the smallest hashes of the identifier. A document with several labels takes the largest.
+    The sample is the documents of the smallest hashes of the identifier, one row of each (the one of the smallest text),
+    without those of more than ``longest`` characters: at most classes * per_class rows of that size reach the driver,
+    however often an identifier is repeated. A document with several labels takes the largest.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), label.cast("int").alias("y")).filter("y IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -23,4 +26,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: Column, per_class: int, cl
         part = known.filter(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(c.alias(n) for n, c in (more or {}).items()))
-    return rows.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").collect()  # at most classes * per_class identifiers
+    rows = rows.join(F.broadcast(picked), "doc_id").filter(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    # the limit reaches below the shuffle: of a repeated identifier every task keeps one row
+    first = W.partitionBy("doc_id").orderBy("text", *(more or {}))
+    rows = rows.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
+    return rows.orderBy("doc_id").collect()

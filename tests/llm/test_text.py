@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from raretide.llm import decontam, entries, licenses, packing
+from raretide.llm import decontam, entries, labelled, licenses, packing
 from raretide.llm.langid import identify, identify_pages, without_unknown_languages
 from raretide.llm.quality import grade_quality
 from raretide.llm.toxicity import score_toxicity
@@ -48,6 +48,15 @@ def test_toxicity_learns_words_it_is_shown(spark):
     assert all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in out)
 
 
+def test_the_sample_is_bounded(spark):
+    """A labelled identifier in a third of all rows, a very long text, a null one."""
+    rows = [(i, f"text {i}", "en", "s") for i in range(1, 41)] + [(2, f"copy {i} of it", "en", "s") for i in range(2000)] + [(3, "x" * 40000, "en", "s"), (41, None, "en", "s"), (42, "y" * 40000, "en", "s")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 43)], "doc_id long, y int")
+    out = labelled.sample(table(spark, rows), labels, F.col("y"), 100, 2)
+    assert [(x.doc_id, x.y, x.text) for x in out] == [(i, i % 2, None if i == 41 else "copy 0 of it" if i == 2 else f"text {i}") for i in range(1, 42) if not _held_out(i)]
+    assert 4 <= len(labelled.sample(table(spark, rows), labels, F.col("y"), 3, 2)) <= 6  # a picked document may be a long one
+
+
 @pytest.mark.parametrize("operator", [score_toxicity, grade_quality])
 def test_classifiers_on_odd_tables(spark, odd, odd_rows, nothing, labels, operator):
     out = operator(odd, labels).collect()
