@@ -8,6 +8,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from raretide.llm import minhash
 from raretide.llm.components import connected_components
 from raretide.llm.exact_dedup import exact_dedup
 from raretide.llm.line_dedup import dedup_lines, without_repeated_lines
@@ -114,6 +115,46 @@ def test_near_duplicates(spark, odd, odd_rows, nothing):
     assert sorted(x.doc_id for x in kept.collect() if x.doc_id is not None) == sorted(i for i, *_ in odd_rows if i is not None and want[i] == i)
 
 
+def _template_group(n):
+    """Copies of one text, each with three words replaced by one common word: no shingle is anyone's own."""
+    r = random.Random(11)
+    base = words(r, 150, 100000)
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for k in r.sample(range(150), 3):
+            w[k] = "common"
+        rows.append((i, " ".join(w), "en", "s"))
+    return rows
+
+
+def test_pairs_of_a_template_group_grow_with_its_members(spark, monkeypatch):
+    made = []
+
+    def counting(name, sides):
+        step = getattr(minhash, name)
+
+        def run(rare, *args):
+            made.append(rare.groupBy("item").agg(F.count_if(F.col("label") != F.col("main")).alias("x"), F.count(F.lit(1)).alias("y")).agg(F.coalesce(F.sum(F.expr(sides)), F.lit(0))).first()[0])
+            return step(rare, *args)
+
+        monkeypatch.setattr(minhash, name, run)
+
+    counting("_item_stars", "x")
+    counting("_by_rare_items", "x * y")
+    total = {}
+    for n in (300, 600, 1200):
+        made.clear()
+        rows = _template_group(n)
+        out = {x.doc_id: x.component_id for x in near_duplicates(table(spark, rows)).collect()}
+        total[n] = sum(made)
+        if n == 300:
+            want = _near_brute(rows)
+            assert out == want
+        assert len(set(out.values())) < n / 20  # nearly one component
+    assert total[1200] <= 4.8 * total[300] + 1000
+
+
 def test_near_duplicates_of_a_large_group_of_reworked_copies(spark):
     """A third of the rows are copies of one text with few to many changes: stars alone would miss links."""
     r = random.Random(3)
