@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,10 +63,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for b in K.pieces(batches, "text"):
         grams, first = trigrams(b.column("text"))
-        declared = np.array(b.column("declared").to_pylist(), object)
-        of = np.repeat(np.arange(len(declared)), np.diff(first))
-        for lang in set(declared.tolist()) - {None}:
-            total[lang] = total.get(lang, 0) + np.bincount(grams[(declared == lang)[of]], minlength=1 << BITS)
+        declared = b.column("declared").to_pylist()
+        langs = sorted(set(declared) - {None})
+        place = {lang: i for i, lang in enumerate(langs)}
+        of = np.repeat(np.array([place.get(d, -1) for d in declared], np.int64), np.diff(first))
+        known = of >= 0
+        counts = np.bincount(of[known] << BITS | grams[known], minlength=len(langs) << BITS).reshape(len(langs), 1 << BITS)
+        for lang, n in zip(langs, counts, strict=True):
+            total[lang] = total.get(lang, 0) + n
     for lang, n in total.items():
         found = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n[found], pa.int64())], names=["lang", "gram", "n"])
@@ -82,36 +88,68 @@ def _likelihoods(shared):
                 sums[full] = np.add.reduceat(table[grams], first[:-1][full], axis=0, dtype=np.float64)
             sums *= np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
             ends = np.arange(len(n) + 1, dtype=np.int32) * table.shape[1]
-            rest = [b.column(c) for c in b.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(sums.reshape(-1)))], names=[*(c for c in b.schema.names if c != "text"), "n_grams", "text_log"])
+            rest = [c for c in b.schema.names if c != "text"]
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.reshape(-1))) for x in (sums, _normal(sums))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(n), *lists], names=[*rest, "n_grams", "text_log", "text_p"])
 
     return run
 
 
-def _normal(logs: Column) -> Column:
-    """Probabilities of an array of logarithms."""
-    top = F.array_max(logs)
-    parts = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(parts, lambda x: x / F.aggregate(parts, F.lit(0.0), lambda a, y: a + y))
+def _normal(logs: np.ndarray) -> np.ndarray:
+    """Probabilities of rows of logarithms."""
+    p = np.exp(logs - logs.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
 
 
-def _sums(rows: DataFrame, keys: list[str], size: int, weights: str = "text_p") -> DataFrame:
+def _total(weights: str) -> Column:
+    """The sum of arrays of one length, as an aggregate."""
+    return vector_to_array(Summarizer.sum(array_to_vector(F.col(weights))))
+
+
+def _sums(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Grouped sums of the posteriors: keys, s (array)."""
-    return rows.groupBy(*keys).agg(F.array(*(F.sum(F.get(weights, F.lit(i))) for i in range(size))).alias("s"))
+    return rows.groupBy(*keys).agg(_total("text_p").alias("s"))
 
 
 def _smoothed(sums: Column, parent: Column) -> Column:
     """(s + kappa * parent) / (sum of s + kappa)."""
     total = F.aggregate(sums, F.lit(0.0), lambda a, x: a + x)
-    return F.zip_with(sums, parent, lambda s, p: (s + KAPPA * p) / (total + KAPPA))
+    # the total is worked out once, not for each language
+    return F.get(F.transform(F.array(total), lambda t: F.zip_with(sums, parent, lambda s, p: (s + KAPPA * p) / (t + KAPPA))), F.lit(0))
+
+
+def _fused(names: list[str], base: np.ndarray, odds: np.ndarray, least: float):
+    """Posteriors of all evidence, the language they favour, and whether the row is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = pa.array(names)
+
+        def rows(b: pa.RecordBatch, name: str, without: np.ndarray) -> np.ndarray:
+            column = b.column(name)
+            out = np.tile(without, (len(column), 1))
+            out[column.is_valid().to_numpy(zero_copy_only=False)] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(names))
+            return out
+
+        for b in batches:
+            nothing, n = np.zeros(len(names)), b.column("n_grams").to_numpy()
+            text = rows(b, "text_log", nothing)
+            p = _normal(np.log(rows(b, "prior", base)) + text + rows(b, "declared_log", nothing) + rows(b, "suffix_log", nothing))
+            sure = p.max(1, initial=0.0)
+            like = (text + odds).max(1, initial=-np.inf) >= -np.minimum(n, EVIDENCE) * np.log(1 << BITS)
+            of_text = pa.array(rows(b, "text_p", nothing).argmax(1), mask=n == 0)
+            kept = (n > 0) & (sure >= least) & like
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), labels.take(pa.array(p.argmax(1))), pa.array(sure), labels.take(of_text), b.column("declared"), b.column("n_grams"), pa.array(kept)], names=["doc_id", "lang", "confidence", "text_lang", "declared", "n_grams", "kept"])
+
+    return run
 
 
-def identify(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, domain: Column | None = None, least: float = 0.5, languages: int = 200) -> DataFrame:
+def identify(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, domain: Column | None = None, least: float = 0.5, languages: int | None = None) -> DataFrame:
     """One row per row: doc_id, lang, confidence, text_lang, declared, n_grams, kept.
 
     declared, suffix, host and domain (the host's parent; by default its last two labels) are expressions over the
-    row; null or absent ones give no evidence. Tags are cut to their primary subtag; languages are the
-    ``languages`` most frequent tags, and rarer tags count as evidence by the texts that carry them. kept: the posterior
+    row; null or absent ones give no evidence. Tags are cut to their primary subtag of two or three letters; every tag is a
+    language, which bounds them by 26 ** 2 + 26 ** 3 (``languages`` asks for the most frequent ones alone; rarer tags then
+    count as evidence by the texts that carry them). A row carries two numbers for each language. kept: the posterior
     is at least ``least``, the text has a trigram at all, and some language is at least as likely for it
     as the background at its prior odds (a language of few texts, whose table is nearly even, has hardly any in its
     favour); an empty or null text, or one without letters, is not kept, and its language rests on the other
@@ -126,46 +164,39 @@ def identify(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     source = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.when(tag.rlike(LANGUAGE), tag).alias("declared"), (F.lower(suffix.cast("string")) if suffix is not None else none).alias("suffix"), host.alias("host"), F.when(F.length(domain) > 0, domain).alias("domain"))
     kind = source.schema["doc_id"].dataType.simpleString()
     with Workspace(spark, "langid") as work:
-        frequent = source.filter("declared IS NOT NULL").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(languages).select("declared")
-        names = sorted(r.declared for r in frequent.collect())
+        frequent = source.filter("declared IS NOT NULL").groupBy("declared").count()
+        if languages is not None:
+            frequent = frequent.orderBy(F.desc("count"), "declared").limit(languages)
+        names = sorted(r.declared for r in frequent.select("declared").collect())  # two or three letters each
         if not names:
             return source.select("doc_id", none.alias("lang"), F.lit(0.0).alias("confidence"), none.alias("text_lang"), "declared", F.lit(0).cast("long").alias("n_grams"), F.lit(False).alias("kept"))
-        tagged = source.select("text", F.when(F.col("declared").isin(names), F.col("declared")).alias("declared"))
+        tagged = source.select("text", F.when(F.col("declared").isin(names), F.col("declared")).alias("declared") if languages is not None else "declared")
         counted = tagged.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # at most languages * 2**BITS rows
         table = np.full((1 << BITS, len(names)), ALPHA)
-        for i, name in enumerate(names):
-            own = counted.filter(pa.compute.equal(counted["lang"], name))
-            table[own["gram"].to_numpy(), i] += own["n"].to_numpy()
+        place = pa.compute.index_in(counted["lang"], pa.array(names)).to_numpy()
+        table[counted["gram"].to_numpy(), place] += counted["n"].to_numpy()
         shared = spark.sparkContext.broadcast(np.log(table / table.sum(0)).astype(np.float32))
-        size = len(names)
-        read = work.table(source.mapInArrow(_likelihoods(shared), f"doc_id {kind}, declared string, suffix string, host string, domain string, n_grams long, text_log array<double>"), "likelihoods")
-        read = read.withColumn("text_p", _normal(F.col("text_log")))
+        read = work.table(source.mapInArrow(_likelihoods(shared), f"doc_id {kind}, declared string, suffix string, host string, domain string, n_grams long, text_log array<double>, text_p array<double>"), "likelihoods")
         # a row's posterior for the sums: of its text alone
-        whole = read.agg(*(F.sum(F.get("text_p", F.lit(i))).alias(f"s{i}") for i in range(size))).first()
-        base = np.array([w or 0.0 for w in whole]) + 1.0
-        base = F.array(*(F.lit(float(x)) for x in base / base.sum()))
+        whole = read.agg(_total("text_p").alias("s"), F.count(F.lit(1)).alias("n")).first()
+        base = np.array(whole["s"] if whole["n"] else [0.0] * len(names)) + 1.0
+        base /= base.sum()
+        even = F.array(*(F.lit(float(x)) for x in base))
 
         def reliability(key: str) -> DataFrame:
             """log P(value | language) of each value, relative to its mean over languages."""
-            sums = _sums(read.filter(F.col(key).isNotNull()), [key], size)
-            over = sums.select(F.array(*(F.sum(F.get("s", F.lit(i))) for i in range(size))).alias("all"), F.count(F.lit(1)).alias("values"))
+            sums = _sums(read.filter(F.col(key).isNotNull()), [key])
+            over = sums.agg(_total("s").alias("all"), F.count(F.lit(1)).alias("values")).filter("values > 0")
             return sums.join(over, F.lit(True)).select(key, F.zip_with("s", "all", lambda s, a: F.log((s + BETA) / (a + BETA * F.col("values")))).alias(f"{key}_log"))
 
         tags, suffixes = reliability("declared"), reliability("suffix")
-        domains = _sums(read.filter("domain IS NOT NULL"), ["domain"], size).select("domain", _smoothed(F.col("s"), base).alias("domain_p"))
-        hosts = _sums(read.filter("host IS NOT NULL"), ["host", "domain"], size).join(domains, "domain", "left").select("host", _smoothed(F.col("s"), F.coalesce("domain_p", base)).alias("prior"))
+        domains = _sums(read.filter("domain IS NOT NULL"), ["domain"]).select("domain", _smoothed(F.col("s"), even).alias("domain_p"))
+        hosts = _sums(read.filter("host IS NOT NULL"), ["host", "domain"]).join(domains, "domain", "left").select("host", _smoothed(F.col("s"), F.coalesce("domain_p", even)).alias("prior"))
         hosts = hosts.groupBy("host").agg(F.max("prior").alias("prior"))
-        nothing = F.array_repeat(F.lit(0.0), size)
         both = read.join(tags, "declared", "left").join(suffixes, "suffix", "left").join(hosts, "host", "left")
-        add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-        logs = add(add(F.transform(F.coalesce("prior", base), lambda p: F.log(p)), F.col("text_log")), add(F.coalesce("declared_log", nothing), F.coalesce("suffix_log", nothing)))
-        named = F.array(*(F.lit(n) for n in names))
-        best = lambda p: F.get(named, (F.array_position(p, F.array_max(p)) - 1).cast("int"))
-        fused = both.withColumn("p", _normal(logs))
-        odds = F.array(*(F.lit(float(x)) for x in -np.log(BACKGROUND) * (1 - ALPHA * len(table) / table.sum(0))))
-        like = F.array_max(add("text_log", odds)) >= -F.least(F.col("n_grams").cast("double"), F.lit(EVIDENCE)) * float(np.log(1 << BITS))
-        out = fused.select("doc_id", best(F.col("p")).alias("lang"), F.array_max("p").alias("confidence"), F.when(F.col("n_grams") > 0, best(F.col("text_p"))).alias("text_lang"), "declared", "n_grams", like.alias("like"))
-        return work.keep(out.withColumn("kept", (F.col("n_grams") > 0) & (F.col("confidence") >= least) & F.col("like")).drop("like"))
+        odds = -np.log(BACKGROUND) * (1 - ALPHA * len(table) / table.sum(0))
+        both = both.select("doc_id", "declared", "n_grams", "text_log", "text_p", "prior", "declared_log", "suffix_log")
+        return work.keep(both.mapInArrow(_fused(names, base, odds, least), f"doc_id {kind}, lang string, confidence double, text_lang string, declared string, n_grams long, kept boolean"))
 
 
 def identify_pages(pages: DataFrame, **how) -> DataFrame:

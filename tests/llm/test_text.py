@@ -274,6 +274,27 @@ def test_packing_keeps_to_the_mixture(spark):
     assert set(early) == {"hot", "s1"} and abs(early["hot"] - early["s1"]) <= 3 * 128
 
 
+def test_every_tag_is_a_language(spark):
+    """300 tags, more than any list of usual languages; each has one text without its tag."""
+    tags = [f"{a}{b}{c}" for a in "abcdefg" for b in "abcdefg" for c in "abcdefgh"][:300]
+    rows = []
+    for k, tag in enumerate(tags):
+        r = random.Random(k)
+        own = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)]
+        rows += [(k * 8 + j, " ".join(r.choice(own) for _ in range(40)), tag if j else None, "h") for j in range(8)]
+    out = identify(table(spark, rows), declared=F.col("lang"), host=F.col("source")).collect()
+    assert len(out) == len(rows) and sum(x.lang == tags[x.doc_id // 8] for x in out) >= 0.99 * len(rows)
+    few = identify(table(spark, rows[:80]), declared=F.col("lang"), languages=4).collect()
+    assert len({x.lang for x in few}) == 4
+
+
+def test_languages_of_equal_evidence(spark):
+    """Two tags on the same texts: the alphabetically first one wins where nothing tells them apart."""
+    rows = [(i, f"the same words here {i // 2}", ("xa", "xb")[i % 2], None) for i in range(40)] + [(100, "the same words here", None, None)]
+    out = {x.doc_id: x for x in identify(table(spark, rows), declared=F.col("lang")).collect()}
+    assert out[100].lang == out[100].text_lang == "xa" and abs(out[100].confidence - 0.5) < 1e-6
+
+
 def test_decontamination(spark, odd, odd_rows, nothing):
     r = random.Random(6)
     items = [(k, " ".join(words(r, r.randrange(15, 60), 3000))) for k in range(40)]
