@@ -19,8 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +101,9 @@ def _normal(logs: np.ndarray) -> np.ndarray:
 
 def _total(weights: str) -> Column:
     """The sum of arrays of one length, as an aggregate."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array  # large modules, which workers have no use for
+    from pyspark.ml.stat import Summarizer
+
     return vector_to_array(Summarizer.sum(array_to_vector(F.col(weights))))
 
 
