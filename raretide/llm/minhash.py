@@ -9,13 +9,11 @@ members; each is confirmed on the full sets.
 A star alone can miss a link between two members that are both unlike the centre. Two exact bounds leave little to look
 for: shingles that no other member holds can be in no intersection, so that most documents have no room for any partner;
 and of two similar sets the rarest shingles (a quarter and one of the larger, a seventh and one of the smaller) have one
-in common. Further stars follow, whose buckets are these rare shingles: in each round a shingle's holders meet one member of
-its largest component, and the links found merge components, so that a round makes no more pairs than there are places
-of rare shingles, and a group whose members are linked along its shingles becomes one component in a few rounds. When a
-round finds no more link, or after ROUNDS of them, members that still share a rare shingle across components are
-compared: those of the largest component with the others, never with one another. No link inside a bucket is lost. What
-those last pairs cost grows with the square of a group only where its members stay apart: alike enough to share
-nearly all shingles, yet under the similarity asked for.
+in common. Every member carries the component that the stars' links have put it in as its label; members of different labels
+that share a rare shingle are compared, those of the shingle's largest component with the others, never with one another.
+A group whose stars have joined it, as templates with few changes are, makes no such pair at all. No link inside a bucket
+is lost. What those last pairs cost grows with the square of a group only where its members stay apart: alike enough to
+share nearly all shingles, yet under the similarity asked for.
 
 With 40 bands of 5 bins a pair at similarity 0.75 shares no bucket with probability 2e-5, at 0.8 with 1e-7.
 """
@@ -34,8 +32,6 @@ from raretide.llm.components import connected_components
 from raretide.llm.workspace import Workspace
 
 U = np.uint64
-#: Rounds of stars around rare shingles at most; what is left then is compared as it is.
-ROUNDS = 6
 #: Bits of a set's parity map: bit k is the parity of the number of its shingles that fall there.
 PARITY = 1024
 
@@ -163,16 +159,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         likely = _alike(stars.select("a", "b"), room, percent)
         links = work.table(_confirmed(likely, sets, percent), "links")
         labels = work.table(_labels(room, links, work), "labels")
+        work.drop(stars)
         rare = work.table(_rare_items(sets, room.join(labels, "rep"), percent), "rare")
-        for k in range(ROUNDS):
-            near = work.table(_item_stars(_mixed(rare, labels), k, percent), "near")
-            new = work.table(_confirmed(near, sets, percent), "new")
-            work.drop(near)
-            if new.isEmpty():
-                break
-            links = links.unionByName(new)
-            labels = work.table(_labels(room, links, work), "labels")
-        pairs = work.table(_by_rare_items(_mixed(rare, labels), percent), "pairs")
+        pairs = work.table(_by_rare_items(rare, percent), "pairs")
         work.drop(rare)
         links = links.unionByName(work.table(_confirmed(pairs, sets, percent), "more"))
         work.drop(sets, room)
@@ -215,13 +204,6 @@ def _labels(room: DataFrame, links: DataFrame, work: Workspace) -> DataFrame:
     return own.select("rep", F.shiftleft(rank, 50).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.coalesce("component", "rep")), 14)).alias("label"))
 
 
-def _mixed(rare: DataFrame, labels: DataFrame) -> DataFrame:
-    """rare with the labels as they are now, and the shingles that members of several labels hold; main is the smallest label."""
-    now = rare.drop("label", "main").join(labels, "rep")
-    several = now.groupBy("item").agg(F.min("label").alias("main"), F.max("label").alias("hi")).filter("main <> hi").drop("hi")
-    return now.join(several, "item")
-
-
 #: Sizes leave both sides of a pair x, y of different labels room for each other.
 FITS = "x_label <> y_label AND x_n BETWEEN y_least AND y_most AND y_n BETWEEN x_least AND x_most"
 
@@ -230,14 +212,6 @@ def _side(rows: DataFrame, s: str) -> DataFrame:
     return rows.select("item", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "label", "n", "least", "most", "indexed", "bits")))
 
 
-def _item_stars(rare: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs a < b of each shingle's centre, a member of its main label that changes with the round, and the members of others."""
-    place = F.struct("label", F.xxhash64("rep", F.lit(k)).alias("lot"), "rep", "n", "least", "most", "indexed", "bits")
-    centres = rare.groupBy("item").agg(F.min(place).alias("c")).select("item", *(F.col(f"c.{c}").alias(f"y_{c}") for c in ("rep", "label", "n", "least", "most", "bits")))
-    near = _side(rare.filter("label <> main"), "x").join(centres, "item").filter(F.expr(FITS) & _maps_agree(percent))
-    return near.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
-
-
 def _maps_agree(percent: int) -> Column:
     apart = sum((F.bit_count(F.get("x_bits", F.lit(i)).bitwiseXOR(F.get("y_bits", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
     return apart * (100 + percent) <= (100 - percent) * (F.col("x_n") + F.col("y_n"))
