@@ -41,7 +41,7 @@ def named_arrays(rows: DataFrame, key: str) -> DataFrame:
 
 
 def write_arrays(rows: DataFrame, folder: str) -> None:
-    """Ragged named arrays, one row a run. Readers see all of a write or nothing of it."""
+    """Ragged named arrays, one row a run. Replaces the folder: the old files go before the new ones are committed."""
     rows.write.mode("overwrite").parquet(folder)
 
 
