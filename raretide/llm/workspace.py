@@ -33,9 +33,9 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-#: Rows of an Arrow batch: Spark's default is meant for narrow rows and would hold tens of megabytes of text on each
-#: side of every Python worker. A session that names its own number keeps it.
-BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),)
+#: Rows and bytes of an Arrow batch: Spark's defaults are meant for narrow rows and would hold tens of megabytes of
+#: text on each side of every Python worker. A session that names its own number keeps it.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"))
 
 
 class Workspace:
