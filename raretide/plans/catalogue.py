@@ -34,4 +34,4 @@ def load() -> None:
         importlib.import_module(f"raretide.plans.{module}")
 
 
-MODULES: tuple[str, ...] = ("spectra", "relations", "studies", "symmetry", "kernels", "reports", "searches", "layouts", "runs", "library", "enumerations", "actions")
+MODULES: tuple[str, ...] = ("spectra", "relations", "studies", "symmetry", "kernels", "reports", "searches", "layouts", "runs", "library", "enumerations", "actions", "certificates")
