@@ -80,6 +80,56 @@ def fit_pinned(w: np.ndarray, t: np.ndarray, f: np.ndarray, w0: float, f0: float
     return {"gamma": gamma, "gamma_se": gamma / float(np.sqrt(max(slope @ slope, 1e-300))), "cost": cost / 2, "points": int(use.sum()), "error": None}
 
 
+def errors_of(fit: dict, w: np.ndarray, t: np.ndarray, f: np.ndarray, w0: float, free: tuple[str, ...] = ("f0", "gamma", "a")) -> np.ndarray | None:
+    """Covariance of the free parameters, (J'J)^-1 times the residual variance, over bins with failures from the onset on.
+
+    J holds central differences of the weighted residuals of ln rate. None where no bin is left over to tell the variance
+    from, or where the bins do not tell the parameters apart.
+    """
+    use = (f > 0) & (w >= w0)
+    if use.sum() <= len(free):
+        return None
+    w, rate = w[use].astype(float), f[use] / t[use]
+    sigma = np.sqrt(np.maximum(1 - rate, 1e-6) / f[use])
+    at = {k: fit[k] for k in ("f0", "gamma", "a")}
+    residual = lambda p: (np.log(np.maximum(three_parameter(w, w0, **p), 1e-300)) - np.log(rate)) / sigma
+    steps = {k: 1e-5 * max(abs(at[k]), 1e-12) for k in free}
+    j = np.stack([(residual(at | {k: at[k] + h}) - residual(at | {k: at[k] - h})) / (2 * h) for k, h in steps.items()], axis=1)
+    size = np.linalg.norm(j, axis=0)
+    if not np.isfinite(size).all() or (size == 0).any() or np.linalg.cond(j / size) > 1e7:
+        return None
+    r = residual(at)
+    return np.linalg.inv((j / size).T @ (j / size)) / np.outer(size, size) * float(r @ r) / (len(r) - len(free))
+
+
+def fit_with_errors(spec: DataFrame, by: list[str]) -> DataFrame:
+    """by, w, t, f, w0, f0 -> by, f0, gamma, a, f0_se, gamma_se, a_se, cost, points, error: one fit for each group.
+
+    A group with a pinned f0 fits gamma alone, with a = 1/2; one where f0 is null fits all three. Pinned parameters and
+    those that the bins do not determine have no standard error; a group with too few bins has an error text and no
+    parameters, as has one without an onset. w0 and f0 are the same in all rows of a group.
+    """
+    types = dict(spec.dtypes)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        w, t, f = (rows[c].to_numpy() for c in "wtf")
+        w0, f0 = rows["w0"].iloc[0], rows["f0"].iloc[0]
+        out = dict.fromkeys(("f0", "gamma", "a", "f0_se", "gamma_se", "a_se", "cost"))
+        if pd.isna(w0):
+            return pd.DataFrame([{**dict(zip(by, key)), **out, "points": 0, "error": "no onset"}])
+        free = ("f0", "gamma", "a") if pd.isna(f0) else ("gamma",)
+        got = fit_three(w, t, f, w0) if pd.isna(f0) else {"f0": float(f0), "a": 0.5} | fit_pinned(w, t, f, w0, float(f0))
+        out |= {k: got.get(k) for k in out if k in got and k != "gamma_se"} if got["error"] is None else {}
+        use = w > w0 if len(free) == 1 else w >= w0  # the onset's own bin says nothing of gamma
+        cov = None if got["error"] else errors_of(out, w[use], t[use], f[use], w0, free)
+        if cov is not None:
+            out |= {f"{k}_se": float(np.sqrt(v)) for k, v in zip(free, np.diag(cov))}
+        return pd.DataFrame([{**dict(zip(by, key)), **out, "points": got["points"], "error": got["error"]}])
+
+    keys = ", ".join(f"{c} {types[c]}" for c in by)
+    return spec.groupBy(*by).applyInPandas(run, f"{keys}, f0 double, gamma double, a double, f0_se double, gamma_se double, a_se double, cost double, points int, error string")
+
+
 def fit_spectra(spec: DataFrame, by: str, w0: float) -> DataFrame:
     """by, w, t, f -> one fit for each group; groups are independent tasks of as many rows as they have weights."""
     kind = spec.schema[by].dataType.simpleString()

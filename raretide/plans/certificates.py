@@ -1,12 +1,13 @@
-"""Queries that certify layouts, and portfolios of decoders held against a library."""
+"""Queries that certify layouts, hold portfolios of decoders against a library, and fit spectra with standard errors."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from raretide.operators import certify
+from raretide.operators import certify, fit
 from raretide.operators import library as L
+from raretide.operators import spectrum as S
 from raretide.plans import base as X
 from raretide.plans import studies
 from raretide.plans.catalogue import query
@@ -76,3 +77,13 @@ def portfolio_on_library(spark, sf):
     weights = members.groupBy("shot").agg(F.min("w").alias("weight"))
     answers = members.drop("w").join(truth, "shot").join(weights, "shot")
     return L.portfolios(answers, spark.createDataFrame(COMBINATIONS, "portfolio string, member int"))
+
+
+@query()
+def fits_with_errors(spark, sf):
+    """Each channel's spectrum fitted freely and, for the tail from two above the onset on, with the onset's fraction pinned."""
+    spec = S.failure_spectrum(X.shots(spark, sf), ["channel"])
+    onset = spec.filter("f > 0").groupBy("channel").agg(F.min("w").alias("w0"), F.min_by(F.col("f") / F.col("t"), "w").alias("at"))
+    both = spec.join(onset, "channel", "left").select("channel", F.explode(F.array(F.lit(False), F.lit(True))).alias("pinned"), "w", "t", "f", "w0", "at")
+    both = both.filter("NOT pinned OR w = w0 OR w >= w0 + 2").withColumn("f0", F.when(F.col("pinned"), F.col("at"))).drop("at")
+    return fit.fit_with_errors(both, ["channel", "pinned"])

@@ -1,10 +1,11 @@
-"""Layout rules one by one on a sound layout, empty and null rows; portfolios on a small library."""
+"""Layout rules one by one on a sound layout, empty and null rows; portfolios on a small library; fits with errors."""
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
-from raretide.operators import certify, library
+from raretide.operators import certify, fit, library
 
 #: Vertices 0 (the hub) to 3: checks 10 and 11 link 0-1-2 and 1-3, so that 1 would gap to 3 only through an edge.
 SOUND = {
@@ -74,3 +75,36 @@ def test_portfolios(spark):
     combos = spark.createDataFrame([("both", 1), ("both", 2), ("first", 1)], "portfolio string, member int")
     assert sorted(map(tuple, library.portfolios(answers, combos).collect())) == [("both", 4, 2, 2, 3), ("first", 3, 1, 4, 1)]
     assert library.portfolios(answers.limit(0), combos).collect() == []
+
+
+def test_fit_errors_shrink_with_the_trials_and_hold_the_truth(spark):
+    w = np.arange(4, 30)
+    rows = []
+    for group, trials in (("few", 10**4), ("many", 10**6)):
+        f = np.random.default_rng(5).binomial(trials, fit.three_parameter(w, 4, 0.01, 2.5, 0.5))
+        rows += [(group, int(x), trials, int(y), 4, 0.01) for x, y in zip(w, f)]
+        rows += [(group + " free", int(x), trials, int(y), 4, None) for x, y in zip(w, f)]
+    rows += [("short", 4, 10, 1, 4, None), ("none", 4, 10, 0, None, None)]
+    spec = spark.createDataFrame(rows, "run string, w long, t long, f long, w0 long, f0 double")
+    got = {r.run: r for r in fit.fit_with_errors(spec, ["run"]).collect()}
+    for name in ("few", "many", "few free", "many free"):
+        assert abs(got[name].gamma - 2.5) < 4 * got[name].gamma_se
+    assert got["many"].gamma_se < got["few"].gamma_se / 5
+    assert got["many"].f0 == 0.01 and got["many"].f0_se is None and got["many free"].f0_se > 0
+    assert got["many"].gamma_se < got["many free"].gamma_se
+    assert got["short"].error and got["short"].gamma is None and got["none"].error == "no onset"
+
+
+def test_covariance_is_that_of_the_linear_problem():
+    w = np.arange(5, 25)
+    t = np.full(len(w), 10**5)
+    f = np.maximum(1, np.round(t * fit.three_parameter(w, 4, 0.01, 2.0, 0.5) * (1 + 0.01 * np.cos(w)))).astype(int)
+    at = {"f0": 0.01, "gamma": 2.0, "a": 0.5}
+    cov = fit.errors_of(at, w, t, f, 4, ("gamma",))
+    rate, x = f / t, 2.0
+    power = (w / 4) ** x
+    slope = 0.01 * power * np.log(w / 4) * np.exp(-0.02 * power) / fit.three_parameter(w, 4, 0.01, x, 0.5)  # d ln(curve) / d gamma
+    sigma = np.sqrt((1 - rate) / f)
+    r = (np.log(fit.three_parameter(w, 4, 0.01, x, 0.5)) - np.log(rate)) / sigma
+    assert np.isclose(cov[0, 0], r @ r / (len(w) - 1) / ((slope / sigma) @ (slope / sigma)), rtol=1e-6)
+    assert fit.errors_of(at, w[:1], t[:1], f[:1], 4, ("gamma",)) is None
