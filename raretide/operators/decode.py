@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from raretide.functions.decoders import BpOsd
 
+#: Shots of a block.
+BLOCK = 2048
+
 
 def shots_of_weight(spark: SparkSession, plan: DataFrame, n: int, seed: int) -> DataFrame:
     """plan (w, shots) -> w, shot, column: each shot draws w different columns; weight 0 draws none.
@@ -28,6 +31,35 @@ def shots_of_weight(spark: SparkSession, plan: DataFrame, n: int, seed: int) ->
     return shots.mapInPandas(draw, f"w {plan.schema['w'].dataType.simpleString()}, shot long, column long")
 
 
+def spectrum_of_weights(spark: SparkSession, plan: DataFrame, h: np.ndarray, priors: np.ndarray, logical: np.ndarray, seed: int, **how) -> DataFrame:
+    """plan (w, shots) -> w, t, f: the shots of ``shots_of_weight``, and those whose correction leaves a flipped logical.
+
+    Blocks of one weight's shots are dealt over the cluster; a block is drawn, each of its distinct syndromes decoded
+    once, and only its counts leave the task. Shots are never rows.
+    """
+    shared = spark.sparkContext.broadcast((BpOsd(h, priors, **how), np.asarray(h, np.float32), np.asarray(logical, np.float32)))  # the code's own size
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shots") - 1, F.lit(BLOCK).cast("long")))
+    blocks = plan.filter("w > 0 AND shots > 0").select("w", "shots", starts.alias("start"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decoder, h, logical = shared.value
+        for b in batches:
+            rows = []
+            for w, shots, start in zip(b.w, b.shots, b.start, strict=True):
+                w, picked = int(w), range(int(start), min(int(start) + BLOCK, int(shots)))
+                faults = np.zeros((len(picked), h.shape[1]), np.uint8)
+                for i, shot in enumerate(picked):
+                    faults[i, np.random.default_rng([seed, w, shot]).choice(h.shape[1], w, replace=False)] = 1
+                once, of = np.unique((faults @ h.T % 2).astype(np.uint8), axis=0, return_inverse=True)
+                left = faults ^ decoder.many(once)[of.reshape(-1)]
+                rows.append((w, len(picked), int((left @ logical.T % 2).any(1).sum())))
+            yield pd.DataFrame(rows, columns=["w", "t", "f"])
+
+    tasks = max(64, 16 * spark.sparkContext.defaultParallelism)
+    done = blocks.repartition(tasks).mapInPandas(run, "w long, t long, f long")
+    return done.groupBy("w").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
+
+
 def bernoulli_shots(spark: SparkSession, shots: int, n: int, q: float, seed: int) -> DataFrame:
     """shot, column: every column fails with probability q; a binomial count, then that many different columns."""
 
@@ -54,12 +86,10 @@ def decode_distinct(syndromes: DataFrame, h: np.ndarray, priors: np.ndarray, **h
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for s in b.syndrome:
-                x = np.zeros(h.shape[0], np.uint8)
-                x[np.asarray(s, int)] = 1
-                out.append(np.flatnonzero(decoder.value(x)).tolist())
-            yield pd.DataFrame({"syndrome": b.syndrome, "correction": out})
+            x = np.zeros((len(b), h.shape[0]), np.uint8)
+            for i, s in enumerate(b.syndrome):
+                x[i, np.asarray(s, int)] = 1
+            yield pd.DataFrame({"syndrome": b.syndrome, "correction": [np.flatnonzero(c).tolist() for c in decoder.value.many(x)]})
 
     return syndromes.select("syndrome").distinct().mapInPandas(run, "syndrome array<long>, correction array<long>")
 

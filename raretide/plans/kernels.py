@@ -36,13 +36,7 @@ def gf2_rank(spark, sf):
 def decoded(spark, plan):
     """w, t, f of min-sum + OSD on the 72-qubit code, for plan (w, shots)."""
     hx, hz = bb6(spark)
-    faults = decode.shots_of_weight(spark, plan, 72, 11)
-    checks = codes.parity_checks(spark, *BB6).filter("kind = 'X'").select("row", "col")
-    synd = decode.syndromes_of(faults, checks, ["w", "shot"])
-    answers = decode.decode_distinct(synd, hx, np.full(72, 0.02))
-    logical = spark.createDataFrame([(k, int(c)) for k, v in enumerate(gf2.logicals(hz, hx)) for c in np.flatnonzero(v)], "k long, col long")
-    result = decode.failures(faults, synd.join(answers, "syndrome"), logical, ["w", "shot"])
-    return S.failure_spectrum(result.withColumnRenamed("failed", "fail")).select(F.col("w").cast("long").alias("w"), "t", "f")
+    return decode.spectrum_of_weights(spark, plan, hx, np.full(72, 0.02), gf2.logicals(hz, hx), 11)
 
 
 @query()

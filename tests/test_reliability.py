@@ -166,6 +166,23 @@ def test_decoding_of_all_shots(spark, sf_dir):
     assert got[1][1] == got[2][1] == 0 and got[8][1] > 0
 
 
+def test_batches_of_shots_count_what_rows_of_shots_do(spark):
+    """More than one block of a weight, decoded in batches, against the shots as rows and one syndrome at a time."""
+    hx, hz = kernels.bb6(spark)
+    priors, logical = np.full(72, 0.02), gf2.logicals(hz, hx)
+    plan = spark.createDataFrame([(0, 5), (2, 40), (6, decode.BLOCK + 30), (30, 25)], "w int, shots long")
+    got = {x.w: (x.t, x.f) for x in decode.spectrum_of_weights(spark, plan, hx, priors, logical, 11).collect()}
+    one, want = BpOsd(hx, priors), {}
+    for w, n in ((2, 40), (6, decode.BLOCK + 30), (30, 25)):
+        faults = np.zeros((n, 72), np.uint8)
+        for r in decode.shots_of_weight(spark, plan.filter(f"w = {w}"), 72, 11).collect():
+            faults[r.shot, r.column] = 1
+        fixed = np.array([one(s) for s in faults @ hx.T % 2]) if n < 100 else one.many(faults @ hx.T % 2)
+        assert np.array_equal(fixed @ hx.T % 2, faults @ hx.T % 2)
+        want[w] = (n, int(((fixed ^ faults) @ logical.T % 2).any(1).sum()))
+    assert got == want
+
+
 def test_shots_have_their_weight_and_repeat(spark):
     plan = spark.createDataFrame([(0, 5), (3, 20), (10, 20)], "w int, shots long")
     first = decode.shots_of_weight(spark, plan, 30, 4)
