@@ -127,11 +127,7 @@ def _columns(spark, sf):
 @query(f"WITH {HALVES} SELECT CAST(coalesce((SELECT sum(fails) FROM (SELECT sum(rho) - max(rho) AS fails FROM classes GROUP BY syndrome)), 0) AS BIGINT) AS fails, (SELECT count(*) FROM logicals) AS logicals, CAST((SELECT sum(m) FROM mult) AS BIGINT) AS expanded")
 def exact_onset(spark, sf):
     """Weight-4 logicals by meeting in the middle, and of their halves the expanded sets that an optimal decoder loses."""
-    columns = _columns(spark, sf)
-    sets = onset.disjoint_halves(columns, 4)
-    logicals = sets.select(F.xxhash64("members").alias("config"), F.explode("members").alias("mech"))
-    fails = onset.fail_count(logicals, columns, 4).select(F.col("fails").cast("long"))
-    return fails.join(sets.agg(F.count(F.lit(1)).alias("logicals")), F.lit(True)).join(columns.agg(F.sum("m").alias("expanded")), F.lit(True))
+    return onset.voted_pairs(_columns(spark, sf)).select(F.col("fails").cast("long"), "logicals", "expanded")
 
 
 @query(f"""WITH {X.MECH}, odd AS (SELECT config, mech FROM (SELECT l_orderkey AS config, l_partkey AS mech FROM lineitem) GROUP BY ALL HAVING count(*) % 2 = 1), sized AS (SELECT *, count(*) OVER (PARTITION BY config) AS w FROM odd),

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from raretide.functions import gf2, relay
-from raretide.operators import memory, onset, replica
+from raretide.operators import dem, memory, onset, replica
 from raretide.operators import montecarlo as mc
 from raretide.plans import catalogue, kernels, reports
 
@@ -35,6 +35,28 @@ def _silent(rows, w):
     return out
 
 
+def test_votes_without_listing_sets(spark):
+    """Against listing, with columns of equal detectors, of equal classes too; repeated rows list no set twice."""
+    for n, seed in ((9, 2), (14, 3), (18, 4), (3, 5)):
+        rows, columns = _toy(spark, n, seed)
+        four = _silent(rows, 4)
+        by, classes = {r[0]: r for r in rows}, {}
+        for a, b in {tuple(p) for s in four for p in itertools.combinations(s, 2)}:
+            c = classes.setdefault(by[a][1] ^ by[b][1], {})
+            c[by[a][2] ^ by[b][2]] = c.get(by[a][2] ^ by[b][2], 0) + by[a][3] * by[b][3]
+        got = onset.voted_pairs(columns).first()
+        assert (int(got.fails), got.logicals, got.expanded) == (sum(sum(c.values()) - max(c.values()) for c in classes.values()), len(four), sum(r[3] for r in rows))
+        for sets in (onset.disjoint_halves(columns.union(columns), 4), dem.half_pairs(columns.union(columns))):
+            assert sorted(list(x.members) for x in sets.collect()) == sorted(four)
+
+
+def test_sets_are_made_once(spark):
+    """No shuffle follows the join of pairs: 2,000 of 80 columns would have been shuffled thrice each."""
+    columns = spark.range(80).select(F.col("id").alias("mech"), (F.col("id") * 37 % 64).alias("det"), (F.col("id") % 5).alias("obs"))
+    plan = dem.half_pairs(columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") <= 4 and "Aggregate" not in plan[: plan.index("Join")]
+
+
 def test_meeting_in_the_middle_and_votes(spark):
     rows, columns = _toy(spark)
     four = _silent(rows, 4)
