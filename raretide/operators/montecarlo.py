@@ -18,8 +18,8 @@ from raretide.functions.intervals import clopper_pearson, jeffreys
 from raretide.functions.relay import Decoder
 from raretide.operators import memory
 
-#: Shots of a block.
-BLOCK = 512
+#: Shots of a block, and blocks that a task decodes together.
+BLOCK, TOGETHER = 512, 64
 
 
 @dataclass(frozen=True)
@@ -78,12 +78,17 @@ def count_failures(spark: SparkSession, model: Model, decoder: Decoder, plan: It
         model, ready, columns = shared.value
         for b in batches:
             rows = []
-            for w, k, n in zip(b.w, b.block, b.n, strict=True):
-                w = None if pd.isna(w) else int(w)
-                faults = _draw(model, w, columns, np.random.default_rng([seed, 0 if w is None else w + 1, int(k)]), int(n), scale)
-                events, flips = model.outcomes(faults)
-                bad = np.flatnonzero((ready.decode(events) != flips).any(1))
-                rows.append((w, int(n), len(bad), [np.flatnonzero(faults[i]).tolist() for i in bad[:keep]]))
+            for i in range(0, len(b), TOGETHER):  # equal events of these blocks are decoded once
+                drawn = []
+                for w, k, n in b.iloc[i : i + TOGETHER][["w", "block", "n"]].itertuples(index=False):
+                    w = None if pd.isna(w) else int(w)
+                    faults = _draw(model, w, columns, np.random.default_rng([seed, 0 if w is None else w + 1, int(k)]), int(n), scale)
+                    drawn.append((w, int(n), np.packbits(faults, axis=1) if keep else None, *model.outcomes(faults)))
+                answers = ready.decode(np.concatenate([events for *_, events, _ in drawn]))
+                for w, n, packed, _, flips in drawn:
+                    bad = np.flatnonzero((answers[:n] != flips).any(1))
+                    answers = answers[n:]
+                    rows.append((w, n, len(bad), [np.flatnonzero(np.unpackbits(packed[j], count=len(model.p))).tolist() for j in bad[:keep]]))
             yield pd.DataFrame(rows, columns=["w", "t", "f", "failing"]).astype({"w": "Int64"})
 
     work = spark.createDataFrame(blocks, "w long, block long, n long").repartition(max(1, min(len(blocks), 4 * spark.sparkContext.defaultParallelism)))

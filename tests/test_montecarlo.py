@@ -126,6 +126,46 @@ def test_sampling(spark):
     assert abs(got[None].f / 1100 - any_flip) < 4 * math.sqrt(any_flip / 1100)
 
 
+def test_blocks_share_what_they_decode(spark):
+    """A task's blocks ask the decoder for each of their events once, and count as blocks alone do."""
+
+    class Counting(relay.Trivial):
+        def corrections(self, events):
+            if len(np.unique(events, axis=0)) != len(events) or len(events) > 1024:
+                raise ValueError("events asked twice, or too many at once")
+            self.asked = getattr(self, "asked", 0) + len(events)
+            return super().corrections(events)
+
+    model = mc.Model.of(spark, memory.memory_circuit(*kernels.BB18, 2, 0.003))
+    decoder = Counting().setup(model.h, model.p, model.observables)
+    events = np.vstack([model.outcomes(np.eye(len(model.p), dtype=np.uint8))[0]] * 3)
+    decoder.decode(events)
+    assert decoder.asked == len(np.unique(events, axis=0))
+    want = []
+    for k, n in ((0, 512), (1, 512), (2, 76)):
+        faults = (np.random.default_rng([9, 0, k]).random((n, len(model.p))) < model.p).astype(np.uint8)
+        want += [(model.observables @ f % 2).any() for f in faults]
+    got = mc.count_failures(spark, model, relay.named("trivial"), [(None, 1100)], 9).first()
+    assert (got.t, got.f) == (1100, sum(want))
+
+
+@pytest.mark.parametrize("scale", [1.0, 0.625])
+def test_min_sum_stops_at_met_syndromes_and_matches_one_by_one(spark, scale):
+    """Shots of one batch do not touch each other, over more than one part of a batch, with silent checks and columns."""
+    r = np.random.default_rng(3)
+    h = (r.random((12, 40)) < 0.2).astype(np.uint8)
+    h[5], h[:, 7] = 0, 0
+    core = relay.MinSum(h, r.uniform(0.01, 0.2, 40), scale)
+    syndromes = (r.random((150, 40)) < 0.1).astype(np.uint8) @ h.T % 2
+    syndromes[3, 5] = 1
+    start, memory = np.repeat(core.prior[None], 150, axis=0), r.uniform(-0.2, 0.6, 40).astype(np.float32)
+    out, met = core.run(syndromes, start, memory, 25)
+    assert met.any() and not met[3] and np.array_equal(met, core.satisfied(out < 0, syndromes))
+    for i in range(0, 150, 7):
+        one, ok = core.run(syndromes[i : i + 1], start[:1], memory, 25)
+        assert np.array_equal(one[0], out[i]) and ok[0] == met[i]
+
+
 def test_adaptive_sampling_and_sweeps(spark, sf_dir):
     assert mc.predicted({}, 5) == 1.0 and mc.predicted({9: 1.0}, 5) == 1.0
     assert mc.predicted({8: math.exp(-2), 9: math.exp(-1), 7: math.exp(-3)}, 5) == pytest.approx(math.exp(-5))
