@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from raretide.functions.parts import dealt
+
 
 def syndromes(configs: DataFrame, mechs: DataFrame) -> DataFrame:
     """config, syndrome, truth: one join on the mechanism, then a combinable aggregate."""
@@ -45,12 +47,16 @@ def degenerate(mechs: DataFrame) -> DataFrame:
     return mechs.groupBy("det").agg(F.countDistinct("obs").alias("actions"), F.count(F.lit(1)).alias("mechs")).filter("actions > 1")
 
 
-def subsets(members: DataFrame, size: int) -> DataFrame:
-    """Distinct ascending ``size``-subsets (c1 < c2 < ...) of each config's members; config itself is dropped."""
+def subsets(members: DataFrame, size: int, parts: int | None = None) -> DataFrame:
+    """Distinct ascending ``size``-subsets (c1 < c2 < ...) of each config's members; config itself is dropped.
+
+    With ``parts``, members are shuffled into as many partitions by config, subsets into ``size`` times as many.
+    """
+    members = dealt(members, parts, "config")
     out = members.select("config", F.col("mech").alias("c1"))
     for i in range(2, size + 1):
         out = out.join(members.select("config", F.col("mech").alias(f"c{i}")), "config").filter(f"c{i} > c{i - 1}")
-    return out.drop("config").distinct()
+    return dealt(out.drop("config"), parts and size * parts, *(f"c{i}" for i in range(1, size + 1))).distinct()
 
 
 def half_pairs(columns: DataFrame) -> DataFrame:
@@ -81,14 +87,17 @@ def lookup(synd: DataFrame) -> DataFrame:
     return n.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("syndrome", F.col("truth").alias("guess"))
 
 
-def shared_checks(incidence: DataFrame) -> DataFrame:
-    """vertex, check -> a < b with the number of checks they share."""
-    rows = incidence.select("vertex", "check").distinct()
+def shared_checks(incidence: DataFrame, parts: int | None = None) -> DataFrame:
+    """vertex, check -> a < b with the number of checks they share.
+
+    With ``parts``, incidence is shuffled into as many partitions by check, pairs into twice as many.
+    """
+    rows = dealt(incidence.select("vertex", "check"), parts, "check").distinct()
     pairs = rows.select(F.col("vertex").alias("a"), "check").join(rows.select(F.col("vertex").alias("b"), "check"), "check").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return dealt(pairs.select("a", "b"), parts and 2 * parts, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """vertex, degree, neighbours (sorted)."""
+def adjacency(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """vertex, degree, neighbours (sorted). With ``parts``, ends of edges are shuffled into as many partitions by vertex."""
     both = edges.select(F.col("a").alias("vertex"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("vertex"), F.col("a").alias("to")))
-    return both.groupBy("vertex").agg(F.count(F.lit(1)).alias("degree"), F.array_sort(F.collect_set("to")).alias("neighbours"))
+    return dealt(both, parts, "vertex").groupBy("vertex").agg(F.count(F.lit(1)).alias("degree"), F.array_sort(F.collect_set("to")).alias("neighbours"))

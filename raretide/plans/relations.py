@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from raretide.functions import parts
 from raretide.operators import circuit as C
 from raretide.operators import codes, dem
 from raretide.plans import base as X
@@ -81,7 +82,7 @@ PAIRS = "pairs{k} AS (SELECT DISTINCT a.mech AS c1, b.mech AS c2 FROM members{k}
 
 
 def _of_weight(spark, sf, k):
-    odd = dem.parity_members(X.configurations(spark, sf))
+    odd = dem.parity_members(parts.dealt(X.configurations(spark, sf), parts.count(X.configurations(spark, sf)), "config"))
     return odd.join(odd.groupBy("config").count().filter(F.col("count") == k).select("config"), "config", "left_semi")
 
 
@@ -107,14 +108,15 @@ def max_class_vote(spark, sf):
     SELECT config, count(*) AS w, bit_xor(det) AS syndrome, bit_xor(obs) AS truth FROM kept JOIN mech USING (mech) GROUP BY config""")
 def logical_symmetric_difference(spark, sf):
     """Each chain's configuration against the one before it: what stands in one of the two only."""
-    odd = dem.parity_members(X.configurations(spark, sf))
-    orders = X.read(spark, sf, "orders").select(F.col("o_orderkey").alias("config"), F.col("o_custkey").alias("chain"))
+    n = parts.count(X.configurations(spark, sf))
+    odd = dem.parity_members(parts.dealt(X.configurations(spark, sf), n, "config"))
+    orders = parts.dealt(X.read(spark, sf, "orders").select(F.col("o_orderkey").alias("config"), F.col("o_custkey").alias("chain")), n, "chain")
     links = orders.select("config", F.lag("config").over(W.partitionBy("chain").orderBy("config")).alias("other")).filter("other IS NOT NULL")
-    own = links.select("config").join(odd, "config")
-    others = links.join(odd.withColumnRenamed("config", "other"), "other").select("config", "mech")
-    kept = own.unionByName(others).groupBy("config", "mech").count().filter(F.col("count") == 1)
-    joined = kept.join(X.mechanisms(spark, sf).select("mech", "det", "obs"), "mech")
-    return joined.groupBy("config").agg(F.count(F.lit(1)).alias("w"), F.bit_xor("det").alias("syndrome"), F.bit_xor("obs").alias("truth"))
+    own = parts.dealt(links.select("config"), n, "config").join(odd, "config")
+    others = parts.dealt(links, n, "other").join(odd.withColumnRenamed("config", "other"), "other").select("config", "mech")
+    kept = parts.dealt(own.unionByName(others), n, "config", "mech").groupBy("config", "mech").count().filter(F.col("count") == 1)
+    joined = parts.dealt(kept, n, "mech").join(X.mechanisms(spark, sf).select("mech", "det", "obs"), "mech")
+    return parts.dealt(joined, n, "config").groupBy("config").agg(F.count(F.lit(1)).alias("w"), F.bit_xor("det").alias("syndrome"), F.bit_xor("obs").alias("truth"))
 
 
 @query(f"WITH {SYND}, n AS (SELECT syndrome, truth, count(*) AS n FROM synd GROUP BY ALL), best AS (SELECT syndrome, truth AS guess FROM n QUALIFY row_number() OVER (PARTITION BY syndrome ORDER BY n DESC, truth) = 1) SELECT config, syndrome, truth, guess, truth <> guess AS failed FROM synd JOIN best USING (syndrome)")
@@ -171,7 +173,8 @@ EDGES = "inc AS (SELECT DISTINCT l_partkey AS v, l_orderkey AS c FROM lineitem),
 
 
 def _edges(spark, sf):
-    return dem.shared_checks(X.read(spark, sf, "lineitem").select(F.col("l_partkey").alias("vertex"), F.col("l_orderkey").alias("check")))
+    line = X.read(spark, sf, "lineitem")
+    return dem.shared_checks(line.select(F.col("l_partkey").alias("vertex"), F.col("l_orderkey").alias("check")), parts.count(line))
 
 
 @query(f"WITH {EDGES} SELECT a, b, shared FROM edges")
@@ -181,7 +184,7 @@ def shared_check_edges(spark, sf):
 
 @query(f"WITH {EDGES}, ends AS (SELECT a AS v, b AS n FROM edges UNION ALL SELECT b, a FROM edges) SELECT v AS vertex, count(*) AS degree, string_agg(n, ',' ORDER BY n) AS neighbours FROM ends GROUP BY v")
 def adjacency(spark, sf):
-    return dem.adjacency(_edges(spark, sf)).select("vertex", "degree", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
+    return dem.adjacency(_edges(spark, sf), 4 * parts.count(X.read(spark, sf, "lineitem"))).select("vertex", "degree", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
 
 
 LADDER = "levels AS (SELECT event_type AS chain, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS level, max(value) AS top FROM events GROUP BY ALL), means AS (SELECT l.chain, l.level, l.top + ln(avg(exp(e.value - l.top))) AS lme, count(*) AS n FROM levels l JOIN events e ON e.event_type = l.chain AND date_diff('day', DATE '1970-01-01', CAST(e.ts AS DATE)) = l.level GROUP BY l.chain, l.level, l.top)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from raretide.functions import parts
 from raretide.functions.numeric import rate
 from raretide.operators import circuit as C
 from raretide.operators import dem
@@ -117,7 +118,9 @@ def onset_fraction(spark, sf):
 @query(f"WITH {X.CONF}, odd AS (SELECT config, mech FROM conf GROUP BY config, mech HAVING count(*) % 2 = 1), pairs AS (SELECT DISTINCT a.mech AS a, b.mech AS b FROM odd a JOIN odd b ON a.config = b.config AND a.mech < b.mech) SELECT a * 16777216 + b AS packed, a, b FROM pairs")
 def packed_restrictions(spark, sf):
     """Pairs as one key of 24 bits each, unpacked again."""
-    packed = dem.subsets(dem.parity_members(X.configurations(spark, sf)), 2).select((F.col("c1") * 16777216 + F.col("c2")).alias("packed")).distinct()
+    n = parts.count(X.configurations(spark, sf))
+    odd = dem.parity_members(parts.dealt(X.configurations(spark, sf), n, "config"))
+    packed = dem.subsets(odd, 2, n).select((F.col("c1") * 16777216 + F.col("c2")).alias("packed"))
     return packed.select("packed", F.shiftright("packed", 24).alias("a"), F.pmod("packed", F.lit(16777216)).alias("b"))
 
 
