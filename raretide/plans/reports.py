@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from raretide.functions import parts
 from raretide.functions.intervals import clopper_pearson
 from raretide.operators import circuit as C
 from raretide.operators import dem
@@ -209,12 +210,17 @@ def first_existing(candidates, found):
     return candidates.join(found, "path").groupBy("name").agg(F.min_by("path", "priority").alias("path"))
 
 
-def translated(specimens, sub, full):
-    """Specimens (config, mech of the sub-model) as mechanisms of the full model of the same signature; incomplete ones go."""
-    names = sub.select("mech", "det", "obs").join(full.select(F.col("mech").alias("to"), "det", "obs"), ["det", "obs"]).groupBy("mech").agg(F.min("to").alias("to"))
-    joined = specimens.join(names, "mech", "left")
-    whole = joined.groupBy("config").agg(F.max(F.col("to").isNull()).alias("lost")).filter("NOT lost").select("config")
-    return joined.join(whole, "config").select("config", F.col("to").alias("mech"))
+def translated(specimens, sub, full, dealt=None):
+    """Specimens (config, mech of the sub-model) as mechanisms of the full model of the same signature; incomplete ones go.
+
+    The smallest mechanism of a signature is found before the models are joined, so that no pair of equal ones is listed.
+    With ``dealt``, specimens are shuffled into as many partitions by config.
+    """
+    first = full.groupBy("det", "obs").agg(F.min("mech").alias("to"))
+    names = sub.select("mech", "det", "obs").join(first, ["det", "obs"]).groupBy("mech").agg(F.min("to").alias("to"))
+    joined = parts.dealt(specimens.join(names, "mech", "left"), dealt, "config")
+    whole = joined.withColumn("lost", F.max(F.col("to").isNull()).over(W.partitionBy("config")))
+    return whole.filter("NOT lost AND config IS NOT NULL").select("config", F.col("to").alias("mech"))
 
 
 @query(f"""WITH {X.MECH}, {X.CONF}, sub AS (SELECT * FROM mech WHERE p_size <= 40), names AS (SELECT s.mech, min(f.mech) AS "to" FROM sub s JOIN mech f USING (det, obs) GROUP BY s.mech),
@@ -222,7 +228,7 @@ def translated(specimens, sub, full):
 def specimen_translation(spark, sf):
     """Specimens found in a sub-model, named by the full model's mechanisms of equal signature."""
     mechs = X.mechanisms(spark, sf)
-    return translated(X.configurations(spark, sf), mechs.filter("p_size <= 40"), mechs)
+    return translated(X.configurations(spark, sf), mechs.filter("p_size <= 40"), mechs, parts.count(X.configurations(spark, sf)))
 
 
 @query(f"""WITH {X.CONF} SELECT config, coalesce(nullif(p_brand, 'Brand#11'), 'unknown') AS model, count(*) AS n FROM conf JOIN part ON mech = p_partkey GROUP BY ALL""")
