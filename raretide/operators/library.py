@@ -61,10 +61,11 @@ def portfolios(answers: DataFrame, combos: DataFrame) -> DataFrame:
 
     answers: shot, weight, truth, member, valid, score, answer; combos: portfolio, member. A portfolio gives the answer
     of its likeliest valid member, the earlier one on ties, without a valid one its first member's; entries that none of
-    its members has seen do not count. The ceiling is what at least one member mends. A null answer mends nothing.
+    its members has seen do not count. Combinations are few and go to every answer: by member, all answers would meet in
+    as many tasks as there are members. The ceiling is what at least one member mends. A null answer mends nothing.
     """
     right = F.coalesce(F.col("answer") == F.col("truth"), F.lit(False))
     rank = F.struct("valid", F.when(F.col("valid"), F.col("score")).alias("likely"), (-F.col("member")).alias("first"), "score", "answer")
-    seen = answers.join(combos, "member").groupBy("portfolio", "shot").agg(F.max(F.struct(rank.alias("rank"), right.alias("right"))).alias("best"), F.bool_or(right).alias("can"), F.min("weight").alias("weight"))
+    seen = answers.join(F.broadcast(combos), "member").groupBy("portfolio", "shot").agg(F.max(F.struct(rank.alias("rank"), right.alias("right"))).alias("best"), F.bool_or(right).alias("can"), F.min("weight").alias("weight"))
     n = lambda c: F.count(F.when(c, 1))
     return seen.groupBy("portfolio").agg(F.count(F.lit(1)).alias("entries"), n(F.col("best.right")).alias("fixes"), F.min(F.when(~F.col("best.right"), F.col("weight"))).alias("lightest_failure"), n(F.col("can")).alias("ceiling"))

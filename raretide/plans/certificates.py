@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from raretide.functions import parts
 from raretide.operators import certify, fit
 from raretide.operators import library as L
 from raretide.operators import spectrum as S
@@ -57,8 +58,8 @@ def layout_violations(spark, sf):
 @query(f"WITH {LAYOUTS}, of AS (SELECT graph, string_agg(DISTINCT rule, ',' ORDER BY rule) AS reasons FROM broken GROUP BY graph) SELECT coalesce(reasons, '') AS reasons, count(*) AS layouts FROM (SELECT DISTINCT graph FROM line) LEFT JOIN of USING (graph) GROUP BY 1")
 def layout_census(spark, sf):
     """How many layouts fail for the same reasons; sound ones have none."""
-    parts = _layouts(spark, sf)
-    return certify.census(certify.violations(*parts), parts[0])
+    tables = _layouts(spark, sf)
+    return certify.census(certify.violations(*tables), tables[0])
 
 
 #: Members alone, then the portfolios made of them.
@@ -73,9 +74,10 @@ COMBINATIONS_SQL = "combos(portfolio, member) AS (VALUES " + ", ".join(f"('{c}',
 def portfolio_on_library(spark, sf):
     """What each portfolio of decoders mends of a library, its lightest failure, and what its best member would mend."""
     truth = X.read(spark, sf, "orders").select(F.col("o_orderkey").alias("shot"), F.col("o_orderstatus").alias("truth"))
-    members = studies._members(spark, sf)
-    weights = members.groupBy("shot").agg(F.min("w").alias("weight"))
-    answers = members.drop("w").join(truth, "shot").join(weights, "shot")
+    n = parts.count(X.read(spark, sf, "lineitem"))
+    # all that follows goes by shot: lines and orders are shuffled once
+    members = parts.dealt(studies._members(spark, sf), n, "shot").withColumn("weight", F.min("w").over(W.partitionBy("shot")))
+    answers = members.drop("w").join(parts.dealt(truth, n, "shot"), "shot")
     return L.portfolios(answers, spark.createDataFrame(COMBINATIONS, "portfolio string, member int"))
 
 
