@@ -8,10 +8,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from raretide.functions.parts import dealt
+
 #: Members of the largest set: its subsets of any size are counted by a long.
 LARGEST = 62
 #: Ranks that one row is expanded into at a time.
 RANKS = 4096
+#: Sets whose subsets are looked at before all are.
+SOME = 1024
 
 
 def _binomials(k: int) -> Column:
@@ -69,31 +73,55 @@ def unpacked(key: Column, k: int, bits: int = 14) -> Column:
     return F.array(*(F.shiftright(group(i // per), bits * (per - 1 - i % per)).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(k)))
 
 
-def restrictions(sets: DataFrame, k: int, bits: int = 14) -> DataFrame:
-    """members (ascending) -> key: each subset of k members of each row. Smaller sets have none.
+def _all(members: Column, k: int, chosen: tuple[Column, ...] = (), after: Column | None = None) -> Column:
+    """All subsets of k members in the order of their ranks, as arrays: each one is the one before it but for its end."""
+    rest = members if after is None else F.slice(members, after + 1, F.size(members))
+    if k == 1:
+        return F.transform(rest, lambda x: F.array(*chosen, x))
+    start = F.lit(0) if after is None else after
+    return F.flatten(F.transform(rest, lambda x, i: _all(members, k - 1, (*chosen, x), start + i + 1)))
+
 
-    Ranks are dealt out in blocks, so that the subsets of one large set are made by many tasks.
+def listed(sets: DataFrame, k: int, parts: int | None = None) -> DataFrame:
+    """members (ascending) -> subset: each subset of k members of each row. Smaller sets have none.
+
+    Ranks are dealt out in blocks, so that the subsets of one large set are made by many tasks; a set of one block has its
+    subsets made in their order, without unranking each.
     """
     total = choices(F.size("members"), k)
     blocks = sets.filter(F.size("members") >= k).select("members", F.explode(F.sequence(F.lit(0).cast("long"), total - 1, F.lit(RANKS).cast("long"))).alias("first"))
     # a number of its own, since rows that are small here grow a thousandfold
-    blocks = blocks.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "first", "members")
-    ranks = blocks.select("members", F.explode(F.sequence("first", F.least(F.col("first") + RANKS, choices(F.size("members"), k)) - 1)).alias("rank"))
-    return ranks.select(_once(unranked(F.col("members"), F.col("rank"), k), lambda s: packed(s, k, bits)).alias("key"))
+    blocks = blocks.repartition(parts or int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "first", "members")
+    total = choices(F.size("members"), k)
+    ranks = F.sequence("first", F.least(F.col("first") + RANKS, total) - 1)
+    made = F.when(total <= RANKS, _all(F.col("members"), k)).otherwise(F.transform(ranks, lambda r: unranked(F.col("members"), r, k)))
+    return blocks.select(F.explode(made).alias("subset"))
+
+
+def restrictions(sets: DataFrame, k: int, bits: int = 14) -> DataFrame:
+    """members (ascending) -> key: each subset of k members of each row, packed. Smaller sets have none."""
+    return listed(sets, k).select(packed(F.col("subset"), k, bits).alias("key"))
+
+
+def _beyond(keys: DataFrame, budget: int) -> bool:
+    """Whether more than ``budget`` rows differ among the first few of ``keys``: then more do among all."""
+    return budget < 1 << 20 and keys.limit(2 * budget + SOME).distinct().count() > budget
 
 
-def count_restrictions(sets: DataFrame, k: int, budget: int, bits: int = 14, error: float = 0.01) -> DataFrame:
+def count_restrictions(sets: DataFrame, k: int, budget: int, error: float = 0.01, parts: int | None = None) -> DataFrame:
     """One row: k, subsets (sum of C(n, k)), restrictions, exact. Distinct subsets of k members over all sets, if they are few.
 
-    Unless the subsets are within the budget anyway, a sketch with relative standard error ``error`` tells about how many
-    differ. Up to ``budget`` they are counted exactly; beyond, no key is shuffled and ``restrictions`` is the number of
-    subsets, an upper bound, with exact false.
+    Unless the subsets are within the budget anyway, some sets are looked at first: where their subsets alone exceed it, all do.
+    Else a sketch with relative standard error ``error`` tells about how many differ. Up to ``budget`` they are counted
+    exactly; beyond, no subset is shuffled and ``restrictions`` is the number of subsets, an upper bound, with exact false.
+    With ``parts``, sets are shuffled into as many partitions, subsets into ``k`` times as many.
     """
     totals = sets.filter(F.size("members") >= k).agg(F.coalesce(F.sum(choices(F.size("members"), k).cast("decimal(38,0)")), F.lit(0)).cast("double").alias("subsets"))
-    keys = restrictions(sets, k, bits)
-    exact = totals.first()["subsets"] <= budget or keys.agg(F.approx_count_distinct("key", error)).first()[0] <= budget
+    members = [f"c{i}" for i in range(k)]
+    keys, some = (listed(t, k, parts).select(*(F.get("subset", F.lit(i)).alias(c) for i, c in enumerate(members))) for t in (sets, sets.filter(F.size("members") >= k).limit(SOME)))
+    exact = totals.first()["subsets"] <= budget or not (_beyond(some, budget) or keys.agg(F.approx_count_distinct(F.struct(*members), error)).first()[0] > budget)
     if exact:
-        totals = totals.crossJoin(keys.groupBy("key").agg(F.lit(1)).agg(F.count(F.lit(1)).cast("double").alias("restrictions")))  # one row each
+        totals = totals.crossJoin(dealt(keys, parts and k * parts, *members).distinct().agg(F.count(F.lit(1)).cast("double").alias("restrictions")))  # one row each
     else:
         totals = totals.withColumn("restrictions", F.col("subsets"))
     return totals.select(F.lit(k).alias("k"), "subsets", "restrictions", F.lit(bool(exact)).alias("exact"))
@@ -119,7 +147,8 @@ def _shuffled(place: Column, total: Column, name: Column, rounds: int = 4) -> Co
         start = F.struct((x % a).alias("l"), F.floor(x / a).cast("long").alias("r"))
         return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, step, lambda s: s["l"] + a * s["r"])
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(place), lambda x, _: F.when(x < total, x).otherwise(once(x)))
+    walk = lambda start: F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, lambda x, _: F.when(x < total, x).otherwise(once(x)))
+    walked = _once(once(place), lambda x: F.when(x < total, x).otherwise(walk(x)))
     return _once(walked, lambda x: F.when(x < total, x).otherwise(F.raise_error(F.lit("no rank inside after 64 steps")).cast("long")))
 
 

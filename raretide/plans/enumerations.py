@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from raretide.functions import lineage, parts
 from raretide.operators import dem, enumeration, subsets
 from raretide.plans import base as X
 from raretide.plans.catalogue import query
@@ -42,12 +43,12 @@ def _chain() -> str:
 @query(_chain())
 def anchored_logicals(spark, sf):
     """Undetectable logicals of weights 3, 5 and 6 over the columns that parts play."""
-    out = enumeration.anchored(_columns(spark, sf), WEIGHTS)
+    out = enumeration.anchored(_columns(spark, sf), WEIGHTS, parts.count(X.read(spark, sf, "part"), 1 << 16))
     return out.select("weight", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), "act", "expanded")
 
 
-def _sets(spark, sf):
-    return dem.supports(X.configurations(spark, sf)).select(F.col("config").alias("set"), F.col("support").alias("members"))
+def _sets(spark, sf, n):
+    return dem.supports(parts.dealt(X.configurations(spark, sf), n, "config")).select(F.col("config").alias("set"), F.col("support").alias("members"))
 
 
 ODD = f"{X.CONF}, odd AS (SELECT config, mech FROM conf GROUP BY config, mech HAVING count(*) % 2 = 1)"
@@ -60,8 +61,9 @@ TRIPLES = "three AS (SELECT t.config, c1, c2, o.mech AS c3 FROM two t JOIN odd o
     UNION ALL SELECT 3, CAST(count(*) AS DOUBLE), CASE WHEN count(DISTINCT (c1, c2, c3)) <= 1000 THEN CAST(count(DISTINCT (c1, c2, c3)) AS DOUBLE) ELSE CAST(count(*) AS DOUBLE) END, count(DISTINCT (c1, c2, c3)) <= 1000 FROM three""")
 def restriction_budget(spark, sf):
     """Distinct restrictions of supports: pairs exactly, triples within a budget of 1000, else an upper bound."""
-    sets = _sets(spark, sf)
-    return subsets.count_restrictions(sets, 2, 1 << 50, bits=28).unionByName(subsets.count_restrictions(sets, 3, 1000, bits=28))
+    n = parts.count(X.configurations(spark, sf))
+    sets = lineage.cut(_sets(spark, sf, n))  # read several times
+    return subsets.count_restrictions(sets, 2, 1 << 50, parts=n).unionByName(subsets.count_restrictions(sets, 3, 1000, parts=n))
 
 
 CAP, SEED = 3, 7
@@ -84,5 +86,5 @@ F_OF = "CAST('0x' || left(md5(concat_ws(':', name, {r}, {h})), 8) AS BIGINT)"
     SELECT "set", k, rank, subset FROM listed JOIN (SELECT "set", k, x AS rank FROM walk WHERE steps > 0 AND x < total) USING ("set", k, rank)""")
 def subset_seeds(spark, sf):
     """At most three pairs and three triples of each support, the same ones whenever they are drawn."""
-    out = subsets.capped_subsets(_sets(spark, sf), (2, 3), CAP, SEED)
+    out = subsets.capped_subsets(_sets(spark, sf, parts.count(X.configurations(spark, sf))), (2, 3), CAP, SEED)
     return out.select("set", "k", "rank", F.array_join(F.col("subset").cast("array<string>"), ",").alias("subset"))
