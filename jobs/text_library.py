@@ -14,35 +14,42 @@ Each run replaces the whole output, so a run that was stopped is mended by the n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import LOG, main
-from raretide.operators import dem
-
 SETTINGS = "band int"
 LIBRARY = "name string, w long, doc_id long, source string, t long, f long, lang string"
 SPECTRUM = "band long, t long, f long, kinds long, split long, lang string"
 
 
+def _odd(words: Column) -> Column:
+    """The values of odd number in an array, ascending: runs of equal ones in the sorted array, found in one walk over it."""
+
+    def runs(a: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(a)), lambda i: (i == 0) | (i == F.size(a)) | (F.get(a, i) != F.get(a, i - 1)))
+        return F.transform(F.array(starts), lambda s: F.transform(F.filter(F.transform(s, lambda at, j: F.struct(at.alias("at"), (F.get(s, j + 1) - at).alias("n"))), lambda r: r["n"] % 2 == 1), lambda r: F.get(a, r["at"])))
+
+    return F.flatten(F.flatten(F.transform(F.array(F.array_sort(words)), runs)))
+
+
 def shots_of(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """row, doc_id, lang, source, text, fail of documents with a label; of several labels of one document the largest counts."""
+    """row, doc_id, lang, source, w, name, fail of documents with a label; of several labels of one document the largest counts.
+
+    w and name are of the words of odd number, in order: how many, and a digest. A text without any has weight 0 and the
+    empty support. They are made where a text is read, so that no text or word is shuffled.
+    """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg((F.max("toxic") == 1).alias("fail"))
-    shots = documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
+    whole = documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+    odd = whole.withColumn("odd", _odd(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")))
     # a row that repeats is one shot
-    return shots.withColumn("row", F.sha2(F.concat_ws("\x00", F.col("doc_id").cast("string"), "lang", "source", "text").cast("binary"), 256)).dropDuplicates(["row"])
-
-
-def supports(shots: DataFrame) -> DataFrame:
-    """row, w, name: the words of odd number, in order, as a digest. A text without any has weight 0 and the empty support."""
-    words = shots.select(F.col("row").alias("config"), F.explode(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).alias("mech"))
-    found = dem.supports(words).select(F.col("config").alias("row"), "w", F.array_join("support", " ").alias("words"))
-    return shots.select("row").join(found, "row", "left").select("row", F.coalesce("w", F.lit(0)).alias("w"), F.md5(F.coalesce("words", F.lit(""))).alias("name"))
+    row = F.sha2(F.concat_ws("\x00", F.col("doc_id").cast("string"), "lang", "source", "text").cast("binary"), 256)
+    shots = odd.select(row.alias("row"), "doc_id", "lang", "source", F.size("odd").cast("long").alias("w"), F.md5(F.array_join("odd", " ")).alias("name"))
+    return shots.join(known, "doc_id").dropDuplicates(["row"])
 
 
 def library(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    shots = shots_of(documents, labels)
-    both = shots.select("row", "doc_id", "lang", "source", "fail").join(supports(shots), "row")
+    both = shots_of(documents, labels)
     first = F.min(F.struct("doc_id", "source"))
     entries = both.groupBy("lang", "name").agg(F.max("w").alias("w"), first.alias("first"), F.count(F.lit(1)).alias("t"), F.count_if("fail").alias("f"))
     return entries.select("name", "w", "first.doc_id", "first.source", "t", "f", "lang")

@@ -138,3 +138,16 @@ def test_command_line(spark, sf_dir, tmp_path):
     n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     assert f"batch 0: {n} shots read" in done.stderr and "report of" in done.stderr
     assert sum(r[2] for r in _report(spark, f"{tmp_path}/out")) == n
+
+
+def test_supports_of_texts_are_made_without_a_shuffle_of_words(spark):
+    texts = ["b a  a c\tb b", "", None, "x x", "  é Z a ", "a " * 4001 + "b " * 4000, "q"]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int")
+    from hashlib import md5
+
+    shots = text_library.shots_of(docs, labels)
+    want = {0: ["b", "c"], 1: [], 2: [], 3: [], 4: ["Z", "a", "é"], 5: ["a"], 6: ["q"]}
+    assert {r.doc_id: (r.w, r.name) for r in shots.collect()} == {k: (len(v), md5(" ".join(v).encode()).hexdigest()) for k, v in want.items()}
+    plan = shots._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "text" not in shots.columns
