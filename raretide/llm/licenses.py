@@ -370,8 +370,10 @@ def detections(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("body"), spaced(F.col(text_col)).alias("s"))
     met = words.select("doc_id", "body", _count(F.col("s")).alias("n_words"), "s", F.explode_outer(F.filter(gate, lambda k: F.contains(F.col("s"), k))).alias("keyword"))
     tried = met.join(F.broadcast(table), "keyword", "left")  # the rule table has a fixed size
-    hits = F.arrays_zip(F.regexp_extract_all("s", "pattern", F.lit(0)).alias("hit"), F.split("s", F.col("pattern"), -1).alias("gap"))
-    found = tried.select("doc_id", "body", "n_words", "rule", "label", "priority", "weight", "base", F.posexplode_outer(F.when(F.col("rule").isNotNull(), hits)).alias("nth", "m"))
+    # most rules of a keyword match nothing: only where one matches is the text cut into gaps
+    tried = tried.withColumn("hit", F.regexp_extract_all("s", "pattern", F.lit(0)))
+    hits = F.when(F.size("hit") > 0, F.arrays_zip(F.col("hit"), F.split("s", F.col("pattern"), -1).alias("gap")))
+    found = tried.select("doc_id", "body", "n_words", "rule", "label", "priority", "weight", "base", F.posexplode_outer(hits).alias("nth", "m"))
     # the gap after a rule's last hit stands alone; of rules without a hit one empty row must stay for each document
     found = found.select("*", _count(F.col("m.gap")).alias("gap"), _count(F.col("m.hit")).alias("size")).drop("m")
     found = found.withColumns({c: F.when(F.col("size").isNotNull(), F.col(c)) for c in ("rule", "label", "priority", "weight", "base", "nth", "gap")})

@@ -479,3 +479,13 @@ def test_entries_are_complete():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in entries.QUERIES if n.startswith("op"))
     assert numbers == list(range(1, 13))
     assert set(entries.ORACLES) <= set(entries.QUERIES)
+
+
+def test_rules_without_a_match_leave_the_text_whole(spark):
+    from raretide.llm import licenses
+
+    docs = spark.createDataFrame([(1, "the author of an open file, provided as common art"), (2, "under the mit license, mit license"), (3, None)], "doc_id long, text string")
+    found = licenses.detections(docs)
+    assert "CASE WHEN (size(hit" in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word) for r in licenses.scan_licenses(docs).collect()}
+    assert rows == {1: (10, 0, None, None), 2: (6, 2, 2, 4), 3: (0, 0, None, None)}
