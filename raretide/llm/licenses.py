@@ -2,13 +2,15 @@
 
 A text is reduced to its words, each written between two single spaces (`` mit  license ``), so that a rule's regular
 expression begins and ends on word borders and matches never share a character. Rules are gated by a keyword: a text
-meets only the rules of the keywords it contains. Every match is an interval of words with a priority; one contained in
+meets only the rules of the keywords it contains, and of these only those whose other fixed words it contains too. Every match is an interval of words with a priority; one contained in
 the interval of a rule of the same or a better priority is suppressed, so that a notice silences the title in it and a
 title the short name in it. Base rules report all their places, suppressed or not.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -345,10 +347,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def spaced(text: Column) -> Column:
-    """The words of a text, each between two single spaces; empty without words."""
-    words = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS, "  "))
-    return F.when(words == "", "").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+def lower_words(text: Column) -> Column:
+    """The words of a text in lower case with two spaces between them; empty without words."""
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS, "  "))
+
+
+def required(pattern: str) -> list[str]:
+    """The words that every match of a rule's pattern contains: those outside of its groups."""
+    fixed = re.sub(r"\(\?:(?:[^()]|\(\?:[^()]*\)\??)*\)\??", " ", pattern)
+    return sorted({w for w in fixed.split() if re.fullmatch("[a-z0-9]+", w)})
 
 
 def _count(fragment: Column) -> Column:
@@ -357,7 +364,8 @@ def _count(fragment: Column) -> Column:
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(rules(), "rule int, label string, keyword string, pattern string, priority int, weight double, base boolean")
+    rows = [(*r, required(r[3])) for r in rules()]
+    return spark.createDataFrame(rows, "rule int, label string, keyword string, pattern string, priority int, weight double, base boolean, required array<string>")
 
 
 def detections(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -366,10 +374,15 @@ def detections(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     A document without a match has one row with nulls. body (a hash of the text) tells rows apart that share an id.
     """
     table = rule_table(docs.sparkSession)
-    gate = F.array(*(F.lit(k) for k in sorted({r[2] for r in rules()})))
-    words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("body"), spaced(F.col(text_col)).alias("s"))
-    met = words.select("doc_id", "body", _count(F.col("s")).alias("n_words"), "s", F.explode_outer(F.filter(gate, lambda k: F.contains(F.col("s"), k))).alias("keyword"))
-    tried = met.join(F.broadcast(table), "keyword", "left")  # the rule table has a fixed size
+    gate = F.array(*(F.lit(k) for k in sorted({r[2].strip() for r in rules()})))
+    vocabulary = F.array(*(F.lit(k) for k in sorted({w for r in rules() for w in (r[2].strip(), *required(r[3]))})))
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("body"), lower_words(F.col(text_col)).alias("t"))
+    words = plain.select("doc_id", "body", F.when(F.col("t") == "", "").otherwise(F.concat(F.lit(" "), "t", F.lit(" "))).alias("s"), F.when(F.col("t") != "", F.split("t", "  ")).otherwise(F.array().cast("array<string>")).alias("w"))
+    # a text's words are looked up once: it meets the keywords among them, and of their rules those whose words it has
+    known = words.select("doc_id", "body", "s", F.size("w").cast("long").alias("n_words"), F.array_intersect(vocabulary, F.col("w")).alias("known"))
+    met = known.select("doc_id", "body", "n_words", "s", "known", F.explode_outer(F.array_intersect(F.col("known"), gate)).alias("word")).withColumn("keyword", F.concat(F.lit(" "), "word", F.lit(" ")))
+    possible = (met["keyword"] == table["keyword"]) & (F.size(F.array_except(table["required"], met["known"])) == 0)
+    tried = met.join(F.broadcast(table), possible, "left")  # the rule table has a fixed size
     # most rules of a keyword match nothing: only where one matches is the text cut into gaps
     tried = tried.withColumn("hit", F.regexp_extract_all("s", "pattern", F.lit(0)))
     hits = F.when(F.size("hit") > 0, F.arrays_zip(F.col("hit"), F.split("s", F.col("pattern"), -1).alias("gap")))

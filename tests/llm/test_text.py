@@ -489,3 +489,15 @@ def test_rules_without_a_match_leave_the_text_whole(spark):
     assert "CASE WHEN (size(hit" in found._jdf.queryExecution().optimizedPlan().toString()
     rows = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word) for r in licenses.scan_licenses(docs).collect()}
     assert rows == {1: (10, 0, None, None), 2: (6, 2, 2, 4), 3: (0, 0, None, None)}
+
+
+def test_rules_meet_only_texts_with_their_words(spark):
+    from raretide.llm import licenses
+
+    assert licenses.required(licenses.pattern("mit no attribution license?")) == ["attribution", "mit", "no"]
+    assert licenses.required(licenses.pattern("gnu general public license v|version? 3 0?")) == ["general", "gnu", "license", "public"]
+    assert licenses.required(licenses.pattern(f"spdx license identifier {licenses.ANY_FEW}or|and mit")) == ["identifier", "license", "mit", "spdx"]
+    docs = spark.createDataFrame([(1, "mit dem Auto"), (2, "license mit"), (3, "MIT license, the mit"), (4, "..."), (5, None)], "doc_id long, text string")
+    found = licenses.detections(docs)
+    assert "array_except" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.doc_id, r.n_words, r.start, r.end) for r in found.filter("base OR (rule IS NULL AND doc_id <> 3)").collect()} == {(1, 3, None, None), (2, 2, None, None), (3, 4, 0, 2), (4, 0, None, None), (5, 0, None, None)}
