@@ -38,28 +38,35 @@ LAYOUTS = """line AS (SELECT l_orderkey AS graph, l_partkey % 8 AS v, l_suppkey
 
 
 def _layouts(spark, sf):
-    line = X.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("graph"), (F.col("l_partkey") % 8).alias("v"), (F.col("l_suppkey") % 3).alias("check"), (F.col("l_tax") > 0.01).alias("taxed"), F.col("l_linestatus").alias("cycle"), "l_linenumber")
-    placed = lambda t, keys, order: t.withColumn("place", (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
-    line = placed(line, ["graph"], ["l_linenumber", "v"])
-    edges = line.select("graph", F.col("v").alias("a"), F.lead("v").over(W.partitionBy("graph").orderBy("place")).alias("b"))
-    hubs = line.filter("place = 0").select("graph", F.col("v").alias("hub"))
-    rungs = placed(line.filter("taxed").withColumnRenamed("place", "at"), ["graph"], ["at"])
-    closing = line.filter("graph % 2 = 0").groupBy("graph", "cycle").agg(F.min_by("v", "place").alias("v"), F.lit(1000).cast("long").alias("at"))
-    walks = line.select("graph", "cycle", "v", F.col("place").alias("at")).unionByName(closing)
-    return line, edges, hubs, rungs, placed(walks, ["graph", "cycle"], ["at"])
+    """Lines by order, rows of all kinds made of them, and the number of their partitions."""
+    table, c = X.read(spark, sf, "lineitem"), F.col
+    n = parts.count(table, 1 << 16)  # a line gives some ten entries
+    line = table.select(c("l_orderkey").alias("graph"), (c("l_partkey") % 8).alias("v"), (c("l_suppkey") % 3).alias("check"), (c("l_tax") > 0.01).alias("taxed"), c("l_linestatus").alias("cycle"), "l_linenumber")
+    line = parts.dealt(line, n, "graph")
+    order = W.partitionBy("graph").orderBy("l_linenumber", "v")
+    rung = F.sum(F.coalesce(c("taxed"), F.lit(False)).cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)) - 1
+    placed = line.select("*", (F.row_number().over(order) - 1).alias("place"), F.lead("v").over(order).alias("to"), rung.alias("rung"))
+    walk, even = W.partitionBy("graph", "cycle"), c("graph") % 2 == 0
+    placed = placed.select("*", (F.row_number().over(walk.orderBy("place")) - 1).alias("step"), F.count_if(c("place") < 1000).over(walk).alias("close"))
+    rows = F.array(
+        certify.row("incidence", check=c("check"), v=c("v")), certify.row("edge", v=c("v"), to=c("to")), F.when(c("place") == 0, certify.row("hub", v=c("v"))), F.when(c("taxed"), certify.row("rung", place=c("rung"), v=c("v"))),
+        certify.row("cycle", cycle=c("cycle"), place=c("step") + F.when(even & (c("place") >= 1000), 1).otherwise(0), v=c("v")), F.when(even & (c("step") == 0), certify.row("cycle", cycle=c("cycle"), place=c("close"), v=c("v"))),
+    )
+    return line, placed.select("graph", F.inline(rows)), n
 
 
 @query(f"WITH {LAYOUTS} SELECT graph, rule, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM broken")
 def layout_violations(spark, sf):
     """What breaks which rule in which layout."""
-    return certify.violations(*_layouts(spark, sf))
+    _, rows, n = _layouts(spark, sf)
+    return certify.judged(rows, n)
 
 
 @query(f"WITH {LAYOUTS}, of AS (SELECT graph, string_agg(DISTINCT rule, ',' ORDER BY rule) AS reasons FROM broken GROUP BY graph) SELECT coalesce(reasons, '') AS reasons, count(*) AS layouts FROM (SELECT DISTINCT graph FROM line) LEFT JOIN of USING (graph) GROUP BY 1")
 def layout_census(spark, sf):
     """How many layouts fail for the same reasons; sound ones have none."""
-    tables = _layouts(spark, sf)
-    return certify.census(certify.violations(*tables), tables[0])
+    line, rows, n = _layouts(spark, sf)
+    return certify.census(certify.judged(rows, n), line)
 
 
 #: Members alone, then the portfolios made of them.

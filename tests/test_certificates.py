@@ -108,3 +108,12 @@ def test_covariance_is_that_of_the_linear_problem():
     r = (np.log(fit.three_parameter(w, 4, 0.01, x, 0.5)) - np.log(rate)) / sigma
     assert np.isclose(cov[0, 0], r @ r / (len(w) - 1) / ((slope / sigma) @ (slope / sigma)), rtol=1e-6)
     assert fit.errors_of(at, w[:1], t[:1], f[:1], 4, ("gamma",)) is None
+
+
+def test_layouts_are_shuffled_once(spark):
+    found = certify.violations(*_tables(spark, cycles=[*SOUND["cycles"], ("g", "d", 0, 1), ("g", "d", 1, 1)]))
+    assert found.collect() == []
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
+    # one told rule for each place where it is broken
+    gaps = certify.violations(*_tables(spark, rungs=[("g", 0, 1), ("g", 1, 3), ("g", 2, 1), ("g", 3, 3), ("g", 4, 2)]))
+    assert sorted(map(tuple, gaps.filter("rule = 'bridge_gap'").collect())) == [("g", "bridge_gap", 1, 3)] * 2 + [("g", "bridge_gap", 3, 1)]
