@@ -1,4 +1,4 @@
-"""A bounded sample of labelled documents for fitting a classifier on the driver."""
+"""Labelled documents for fitting a classifier: all of them, or a bounded sample for the driver."""
 
 from __future__ import annotations
 
@@ -31,3 +31,18 @@ def sample(docs: DataFrame, labels: DataFrame, label: Column, per_class: int, cl
     first = W.partitionBy("doc_id").orderBy("text", *(more or {}))
     rows = rows.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
     return rows.orderBy("doc_id").collect()
+
+
+def everything(docs: DataFrame, labels: DataFrame, label: Column, *, id_col: str = "doc_id", text_col: str = "text", more: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, y, text, ...: all labelled documents but the held-out ones, one row of each (the one of the smallest text)."""
+    known = labels.select(F.col(id_col).alias("doc_id"), label.cast("int").alias("y")).filter("y IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.struct(F.col(text_col).alias("text"), *(c.alias(n) for n, c in (more or {}).items())).alias("row"))
+    return rows.join(known, "doc_id").groupBy("doc_id", "y").agg(F.min("row").alias("row")).select("doc_id", "y", "row.*")
+
+
+def first(rows: DataFrame, per_class: int, classes: int, *, longest: int = 1 << 15) -> list:
+    """Of each class at most ``per_class`` rows of at most ``longest`` characters, those of the smallest hashes, in order of doc_id."""
+    short = rows.filter(F.coalesce(F.length("text"), F.lit(0)) <= longest).select("doc_id", "y", "text")
+    picked = [short.filter(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect() for k in range(classes)]
+    return sorted((r for part in picked for r in part), key=lambda r: r.doc_id)

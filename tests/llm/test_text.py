@@ -501,3 +501,19 @@ def test_rules_meet_only_texts_with_their_words(spark):
     found = licenses.detections(docs)
     assert "array_except" in found._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.doc_id, r.n_words, r.start, r.end) for r in found.filter("base OR (rule IS NULL AND doc_id <> 3)").collect()} == {(1, 3, None, None), (2, 2, None, None), (3, 4, 0, 2), (4, 0, None, None), (5, 0, None, None)}
+
+
+def test_toxicity_learns_from_all_labelled_texts(spark):
+    """A word that no sampled text has is learnt, and the same model comes out of rows in another order."""
+    from raretide.llm import toxicity
+
+    r = random.Random(3)
+    rows = [(i, " ".join([*words(r, 12), *(["vilest"] if i % 4 == 0 else [])]), "en", "s") for i in range(900)]
+    docs, labels = table(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(900)], "doc_id long, toxic int")
+    how = {"per_class": 5, "epochs": 1, "block": 300, "rounds": 2}
+    model, cuts = toxicity.fit(docs, labels, **how)
+    again, _ = toxicity.fit(docs.repartition(7), labels.repartition(3), **how)
+    assert all((a == b).all() for a, b in zip(model.tables, again.tables, strict=True)) and (model.dense() == again.dense()).all()
+    assert set(cuts) == {"en"}
+    few, _ = toxicity.fit(docs, labels, **how | {"rounds": 0})
+    assert sum((a != b).any(axis=1).sum() for a, b in zip(model.tables, few.tables, strict=True)) > 0
