@@ -148,6 +148,7 @@ class Model:
 #: Logits are counted in bins of 1 / FINE between -SPAN and SPAN.
 FINE, SPAN = 64, 32
 UNIT = float(1 << 32)  # of changes of weights, so that their sums are exact in any order
+TOGETHER = 8  # blocks of a task, whose changes of the same weights are added before they are shuffled
 
 
 def _best_cut(bins: np.ndarray, rows: np.ndarray, hits: np.ndarray) -> float | None:
@@ -223,10 +224,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", lang_co
     about ``block`` documents side by side, whose changes are averaged. Cuts come from counts of all calibrating documents. The
     score is shifted so that 0.5 is the best cut over all languages; the thresholds by language are on that scale.
     """
-    blocks = 1 + labels.count() // block
-    rows = labelled.everything(docs, labels, F.col(label_col), id_col=id_col, text_col=text_col, more={"lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(""))})
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(5)) == 0)
-    rows = rows.repartition(blocks, "block").persist(StorageLevel.DISK_ONLY)
+    n = labels.count()
+    blocks = 1 + n // block
+    rows = labelled.everything(docs, labels, F.col(label_col), blocks, -(-blocks // TOGETHER), n, id_col=id_col, text_col=text_col, more={"lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(""))})
+    rows = rows.withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(5)) == 0).persist(StorageLevel.DISK_ONLY)
     try:
         sizes = {(r.aside, r.y): r["count"] for r in rows.groupBy("aside", "y").count().collect()}
         both = lambda *kinds: all(any(sizes.get((a, y)) for a in kinds) for y in (0, 1))
@@ -236,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", lang_co
             model.base = np.float32(30 if sizes and all(y == 1 for _, y in sizes) else -30)
             return model, {}
         learn = rows.filter("NOT aside") if both(False) else rows
-        first = labelled.first(learn, per_class, 2)
+        first = sorted(labelled.first(learn, per_class, 2).collect(), key=lambda r: r.doc_id)
         model.fit([r.text or "" for r in first], np.array([r.y for r in first], np.float32), epochs, seed)
         if len(first) < sum(n for (aside, _), n in sizes.items() if not (aside and both(False))):
             for k in range(rounds):

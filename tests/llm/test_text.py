@@ -517,3 +517,54 @@ def test_toxicity_learns_from_all_labelled_texts(spark):
     assert set(cuts) == {"en"}
     few, _ = toxicity.fit(docs, labels, **how | {"rounds": 0})
     assert sum((a != b).any(axis=1).sum() for a, b in zip(model.tables, few.tables, strict=True)) > 0
+
+
+def test_labelled_rows_are_whole(odd, labels):
+    """All labelled documents but the held-out ones, each once with its smallest text and its largest label."""
+    known = {}
+    for r in labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").collect():
+        known[r.doc_id] = max(r.toxic, known.get(r.doc_id, 0))
+    expected = {}
+    for r in odd.filter("doc_id IS NOT NULL").collect():
+        if r.doc_id in known and not _held_out(r.doc_id):
+            expected[r.doc_id] = min(expected.get(r.doc_id, (r.text, r.lang)), (r.text, r.lang), key=lambda x: (x[0] is not None, x[0], x[1] or ""))
+    for short in (labels, labels.withColumn("doc_id", F.col("doc_id").cast("int"))):
+        rows = labelled.everything(odd, short, F.col("toxic"), 5, 2, 18, more={"lang": F.col("lang")})
+        out = rows.withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((r.doc_id, r.y) for r in out) == sorted((i, known[i]) for i in expected)
+        assert {r.doc_id: (r.text, r.lang) for r in out} == expected
+        assert all(r.task == r.block % 2 and 0 <= r.block < 5 for r in out)
+    assert labelled.everything(odd.limit(0), labels, F.col("toxic"), 1, 1, 18).count() == labelled.everything(odd, labels.limit(0), F.col("toxic"), 1, 1, 0).count() == 0
+
+
+def test_only_labelled_texts_are_shuffled(spark):
+    docs = spark.range(40000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    known = spark.range(0, 40000, 40).select(F.col("id").alias("doc_id"))
+    found = {r.doc_id for r in labelled.candidates(docs, known, 1000).select("doc_id").collect()}
+    assert found >= set(range(0, 40000, 40)) and len(found) < 1000 + 40000 / 16
+    assert {r.doc_id for r in labelled.candidates(docs, known, 1).select("doc_id").collect()} >= set(range(0, 40000, 40))  # too few bits lose nothing
+
+
+def test_toxicity_moves_texts_once_and_few_to_the_driver(spark, monkeypatch):
+    from raretide.llm import toxicity
+
+    seen = []
+
+    def watched(model, rows, seed, rate):
+        plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        seen.append((len(re.findall(r"(?<!Broadcast)Exchange ", plan)), rows.groupBy(F.spark_partition_id()).count().count()))
+        picked = labelled.first(rows, 5, 2)
+        assert re.findall(r"TakeOrderedAndProject\(.*?output=\[([a-z_]+)#\d+L?\]", picked._jdf.queryExecution().executedPlan().toString())[:2] == ["doc_id", "doc_id"]
+        texts = {(r.doc_id, r.y, r.text) for r in rows.collect()}
+        assert picked.count() == 10 and {(r.doc_id, r.y, r.text) for r in picked.collect()} <= texts
+
+    monkeypatch.setattr(toxicity, "_pass", watched)
+    r = random.Random(3)
+    docs = table(spark, [(i, " ".join(words(r, 12)), "en", "s") for i in range(900)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        toxicity.fit(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(900)], "doc_id long, toxic int"), per_class=5, epochs=1, block=100, rounds=1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert seen == [(2, 2)]  # the maps and the rows; ten blocks in two tasks
