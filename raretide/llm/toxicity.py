@@ -26,7 +26,7 @@ U = np.uint64
 WIDTHS, FILTERS, SIZE = (1, 2, 3), 8, 16
 BITS = (16, 13, 14)  # of the three embedding tables
 PREFIXES = (4, 6)
-GAP = max(WIDTHS) - 1
+GAP = max(WIDTHS)
 
 
 def _prefix(words: K.Words, k: int) -> np.ndarray:
@@ -68,13 +68,15 @@ class Model:
     def pooled(self, x: np.ndarray, starts: np.ndarray, where: bool = False):
         """The largest answer of each filter in each text, at least 0; with ``where`` also its place."""
         rows = len(x) - GAP
+        ends = np.r_[starts[1:], rows][: len(starts)]
+        between = (ends[:, None] - np.arange(1, GAP + 1)).ravel()
         best, at = [], []
         for w, filt, bias in zip(WIDTHS, self.filters, self.bias, strict=True):
             c = sum(x[j : j + rows] @ filt[j] for j in range(w)) + bias
+            c[between] = bias  # a window that begins in a gap must not see the next text
             top = np.maximum.reduceat(c, starts, axis=0)
             best.append(top)
             if where:
-                ends = np.r_[starts[1:], rows]
                 at.append(np.stack([a + c[a:b].argmax(0) for a, b in zip(starts, ends, strict=True)]))
         best = np.maximum(np.concatenate(best, axis=1), 0)
         return (best, at) if where else best

@@ -568,3 +568,16 @@ def test_toxicity_moves_texts_once_and_few_to_the_driver(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert seen == [(2, 2)]  # the maps and the rows; ten blocks in two tasks
+
+
+def test_toxicity_of_a_text_is_its_own():
+    """The same answers whatever texts stand beside it in a batch."""
+    from raretide.llm import toxicity
+
+    r = random.Random(4)
+    texts = [" ".join(words(r, n)) for n in (0, 1, 2, 3, 5, 9, 1, 0, 30) * 9]
+    model = toxicity.Model(1)
+    for b in model.bias:
+        b -= np.float32(0.2)
+    alone = np.concatenate([model.logits(pa.array([t])) for t in texts])
+    assert np.allclose(model.logits(pa.array(texts)), alone, rtol=0, atol=1e-5)
