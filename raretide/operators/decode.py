@@ -15,20 +15,43 @@ from raretide.functions.decoders import BpOsd
 BLOCK = 2048
 
 
-def shots_of_weight(spark: SparkSession, plan: DataFrame, n: int, seed: int) -> DataFrame:
-    """plan (w, shots) -> w, shot, column: each shot draws w different columns; weight 0 draws none.
+def _blocks(plan: DataFrame) -> DataFrame:
+    """plan (w, shots) -> w, start, n: blocks of at most ``BLOCK`` shots of one weight; weight 0 has none."""
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shots") - 1, F.lit(BLOCK).cast("long")))
+    return plan.filter("w > 0 AND shots > 0").select("w", "shots", starts.alias("start")).select("w", "start", F.least(F.col("shots") - F.col("start"), F.lit(BLOCK)).alias("n"))
+
 
-    Draws come from a generator seeded by (seed, w, shot), so that any task recomputes the same shots.
+def _drawn(seed: int, w: int, start: int, shots: int, n: int) -> Iterator[np.ndarray]:
+    """The columns of a block's shots, w different ones of n a row, in parts of bounded size: those of the w least keys.
+
+    Keys come from a generator seeded by (seed, w, block) row by row, so that any task draws the same shots.
     """
-    shots = plan.filter("w > 0").select("w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shots") - 1)).alias("shot"))
+    r, part = np.random.default_rng([seed, w, start // BLOCK]), max(1, (1 << 22) // n)
+    for i in range(0, shots, part):
+        yield np.argpartition(r.random((min(part, shots - i), n)), w - 1, axis=1)[:, :w]
+
+
+def shots_of_weight(spark: SparkSession, plan: DataFrame, n: int, seed: int) -> DataFrame:
+    """plan (w, shots) -> w, shot, column: each shot draws w different columns; weight 0 draws none."""
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for w, shot in zip(b.w, b.shot, strict=True):
-                picked = np.random.default_rng([seed, int(w), int(shot)]).choice(n, int(w), replace=False)
-                yield pd.DataFrame({"w": np.full(len(picked), w), "shot": np.full(len(picked), shot), "column": np.sort(picked)})
+            for w, start, shots in zip(b.w, b.start, b.n, strict=True):
+                first = int(start)
+                for picked in _drawn(seed, int(w), int(start), int(shots), n):
+                    yield pd.DataFrame({"w": np.full(picked.size, w), "shot": np.repeat(np.arange(first, first + len(picked)), w), "column": np.sort(picked, axis=1).ravel()})
+                    first += len(picked)
+
+    return _blocks(plan).mapInPandas(draw, f"w {plan.schema['w'].dataType.simpleString()}, shot long, column long")
 
-    return shots.mapInPandas(draw, f"w {plan.schema['w'].dataType.simpleString()}, shot long, column long")
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of bits, and which of them each row is."""
+    wide = np.zeros((len(rows), -(-max(rows.shape[1], 1) // 64) * 64), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    keys = np.packbits(wide, axis=1).view(np.uint64)
+    _, first, of = np.unique(keys[:, 0], return_index=True, return_inverse=True) if keys.shape[1] == 1 else np.unique(keys, axis=0, return_index=True, return_inverse=True)
+    return rows[first], of.reshape(-1)
 
 
 def spectrum_of_weights(spark: SparkSession, plan: DataFrame, h: np.ndarray, priors: np.ndarray, logical: np.ndarray, seed: int, **how) -> DataFrame:
@@ -38,23 +61,21 @@ def spectrum_of_weights(spark: SparkSession, plan: DataFrame, h: np.ndarray, pri
     once, and only its counts leave the task. Shots are never rows.
     """
     shared = spark.sparkContext.broadcast((BpOsd(h, priors, **how), np.asarray(h, np.float32), np.asarray(logical, np.float32)))  # the code's own size
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shots") - 1, F.lit(BLOCK).cast("long")))
-    blocks = plan.filter("w > 0 AND shots > 0").select("w", "shots", starts.alias("start"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder, h, logical = shared.value
         for b in batches:
             rows = []
-            for w, shots, start in zip(b.w, b.shots, b.start, strict=True):
-                w, picked = int(w), range(int(start), min(int(start) + BLOCK, int(shots)))
-                faults = np.zeros((len(picked), h.shape[1]), np.uint8)
-                for i, shot in enumerate(picked):
-                    faults[i, np.random.default_rng([seed, w, shot]).choice(h.shape[1], w, replace=False)] = 1
-                once, of = np.unique((faults @ h.T % 2).astype(np.uint8), axis=0, return_inverse=True)
-                left = faults ^ decoder.many(once)[of.reshape(-1)]
-                rows.append((w, len(picked), int((left @ logical.T % 2).any(1).sum())))
+            for w, start, shots in zip(b.w, b.start, b.n, strict=True):
+                for picked in _drawn(seed, int(w), int(start), int(shots), h.shape[1]):
+                    faults = np.zeros((len(picked), h.shape[1]), np.uint8)
+                    np.put_along_axis(faults, picked, 1, axis=1)
+                    once, of = _distinct((faults @ h.T % 2).astype(np.uint8))
+                    left = faults ^ decoder.many(once)[of]
+                    rows.append((int(w), len(picked), int((left @ logical.T % 2).any(1).sum())))
             yield pd.DataFrame(rows, columns=["w", "t", "f"])
 
+    blocks = _blocks(plan)
     tasks = max(64, 16 * spark.sparkContext.defaultParallelism)
     done = blocks.repartition(tasks).mapInPandas(run, "w long, t long, f long")
     return done.groupBy("w").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pytest
 
-from raretide.functions import relay
-from raretide.functions.decoders import Lanes
+from raretide.functions import gf2, relay
+from raretide.functions.decoders import BpOsd, Lanes
+from raretide.operators import decode
 
 
 def _plainly(h, prior, syndrome, memories, rounds, scale, capped):
@@ -83,3 +86,44 @@ def test_relay_answers_do_not_depend_on_company():
     events = (r.random((150, 30)) < 0.1).astype(np.uint8) @ h.T % 2
     together = decoder.corrections(events)
     assert all(np.array_equal(decoder.corrections(events[i : i + 1])[0], together[i]) for i in range(0, 150, 5))
+
+
+def test_closing_answers_are_the_least_of_those_tried():
+    """Ordered statistics over more rows than a word holds, rows that depend on others, unequal and equal priors."""
+    r = np.random.default_rng(11)
+    for rows, n, equal in ((5, 9, False), (6, 8, True), (40, 44, False)):
+        h = (r.random((rows, n)) < 0.4).astype(np.uint8)
+        h[-1] = h[0] ^ h[1]
+        d = BpOsd(h, np.full(n, 0.02) if equal else r.uniform(0.01, 0.3, n), sweep=4, pairs=3)
+        order = np.array([r.permutation(n) for _ in range(60)])
+        syndromes = (r.random((60, n)) < 0.3).astype(np.uint8) @ h.T % 2
+        syndromes[7, -1] ^= 1
+        got = d.closed(order, syndromes)
+        assert not got[7].any()
+        for i in set(range(60)) - {7}:
+            pivots = order[i][gf2.rref(h[:, order[i]])[1]]
+            others = [c for c in order[i] if c not in set(pivots)][:4]
+            best = np.inf
+            for some in [(), *((c,) for c in others), *itertools.combinations(others[:3], 2)]:
+                x = np.zeros(n, np.uint8)
+                x[list(some)] = 1
+                x[pivots] = gf2.solve(h[:, pivots], syndromes[i] ^ h @ x % 2)
+                best = min(best, d.prior @ x)
+            assert np.array_equal(h @ got[i] % 2, syndromes[i]) and abs(d.prior @ got[i] - best) < 1e-6
+
+
+def test_blocks_draw_every_column_alike(spark, monkeypatch):
+    """Shots of a block come from one generator, in parts of bounded size or at once; a smaller plan draws the first of them."""
+    monkeypatch.setattr(np.random, "default_rng", lambda seed, made=np.random.default_rng: asked.append(seed) or made(seed))
+    asked = []
+    picked = np.concatenate(list(decode._drawn(5, 3, 2048, 2048, 8)))
+    assert len(asked) == 1 and (np.sort(picked, 1)[:, 1:] > np.sort(picked, 1)[:, :-1]).all()
+    assert np.array_equal(picked[:100], np.concatenate(list(decode._drawn(5, 3, 2048, 100, 8))))
+    assert abs(np.bincount(picked.ravel(), minlength=8) - 768).max() < 5 * np.sqrt(2048 * 3 / 8 * 5 / 8)
+    sets = np.unique(np.sort(picked, 1), axis=0, return_counts=True)[1]
+    assert len(sets) == 56 and ((sets - 2048 / 56) ** 2).sum() / (2048 / 56) < 110
+    wide = list(decode._drawn(5, 3, 0, 20, 1 << 20))
+    assert len(wide) == 5 and all(p.shape == (4, 3) for p in wide)
+    for rows in (np.eye(5, 70, dtype=np.uint8)[[0, 3, 0, 4]], np.eye(5, 9, dtype=np.uint8)[[2, 2, 1]]):
+        once, of = decode._distinct(rows)
+        assert len(once) == len({bytes(x) for x in rows}) and np.array_equal(once[of], rows)
