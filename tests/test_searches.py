@@ -57,6 +57,18 @@ def test_sets_are_made_once(spark):
     assert plan.count("Aggregate") <= 4 and "Aggregate" not in plan[: plan.index("Join")]
 
 
+def test_no_pair_is_shuffled(spark):
+    """The values of an XOR are; masks of more values, and negative ones, list the same sets."""
+    columns = spark.range(60).select(F.col("id").alias("mech"), (F.col("id") * 37 % 64).alias("det"), (F.col("id") % 5).alias("obs"))
+    plan = dem.half_pairs(columns)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning(s" in plan and "ENSURE_REQUIREMENTS" not in "".join(x for x in plan.splitlines() if "hashpartitioning(s" in x)
+    for rows in ([(i, i * 37 % 32, i * i % 3, 1) for i in range(16)], [(i, (i * 37 % 8 - 4) << 58 | i * 5 % 4, i * i % 3, 1) for i in range(16)]):
+        want = sorted(_silent(rows, 4))
+        got = dem.half_pairs(spark.createDataFrame(rows, "mech long, det long, obs long, m long"))
+        assert want and sorted(list(x.members) for x in got.collect()) == want
+    assert dem.half_pairs(columns.limit(0)).count() == 0
+
+
 def test_meeting_in_the_middle_and_votes(spark):
     rows, columns = _toy(spark)
     four = _silent(rows, 4)
